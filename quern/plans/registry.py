@@ -1,0 +1,37 @@
+"""Name -> query and name -> SQL of the library's own operators."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from quern.session import table
+
+
+def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First document of each normalised text within its source, and the bytes that later copies repeat."""
+    norm = F.regexp_replace(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")), r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2(norm, 256).alias("digest"), F.octet_length("text").alias("bytes"))
+    first = F.min("doc_id").over(W.partitionBy("source", "digest"))
+    return docs.select("source", "doc_id", first.alias("first_doc_id"), F.when(F.col("doc_id") > first, F.col("bytes")).otherwise(0).cast("long").alias("saved_bytes"))
+
+
+DEDUP_EXACT_SQL = r"""
+WITH d AS (
+  SELECT source, doc_id, strlen(text) AS bytes,
+         sha256(regexp_replace(replace(text, E'\r\n', E'\n'), '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g')) AS digest
+  FROM documents
+), f AS (SELECT *, min(doc_id) OVER (PARTITION BY source, digest) AS first_doc_id FROM d)
+SELECT source, doc_id, first_doc_id, CASE WHEN doc_id > first_doc_id THEN bytes ELSE 0 END::BIGINT AS saved_bytes FROM f
+"""
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"dedup_exact": dedup_exact}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"dedup_exact": DEDUP_EXACT_SQL}
