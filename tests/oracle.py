@@ -54,7 +54,7 @@ if __name__ == "__main__":
     import __spark_entry__ as e
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.builder.master("local[8]").config(map={"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.sql.session.timeZone": "UTC"}).getOrCreate()
+    spark = SparkSession.builder.master("local[8]").config(map={"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", "spark.sql.session.timeZone": "UTC"}).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     sf = f"/root/testdata/{sys.argv[1]}"
     q, o = e.queries(), e.oracle_sql()
