@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, exact_dedup, mixing, quality_rules, sharding, url_filter
+from quern.llm import chat_format, exact_dedup, language_id, mixing, quality_rules, sharding, toxicity, url_filter
 from quern.session import table
 
 
@@ -72,6 +72,16 @@ FROM v GROUP BY conv_id
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs, language_id.train(docs))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "start")
@@ -198,6 +208,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_language_id": op2_language_id,
+        "op3_toxicity": op3_toxicity,
         "op4_sharding": op4_sharding,
         "op6_mixing": op6_mixing,
         "op7_url_filter": op7_url_filter,
