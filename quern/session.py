@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,22 +36,27 @@ def ship(spark: SparkSession) -> None:
     sc._quern_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    The folder is the one in spark.checkpoint.dir. A local session without that setting (tests)
-    gets a temporary one; on a cluster the setting is required.
+    A local session without that setting (tests) gets a temporary one; on a cluster it is required.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="quern-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quern-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder as Parquet and go on from there: its lineage ends, and only the
+    columns that are used later are read again. The files stay until the folder is cleared."""
+    path = f"{shared_folder(df.sparkSession)}/quern-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
