@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, exact_dedup, language_id, mixing, quality_rules, sharding, toxicity, url_filter
+from quern.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, quality_rules, sentencepiece_codec, sharding, toxicity, url_filter
 from quern.session import table
 
 
@@ -205,16 +205,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.encode_decode(docs, sentencepiece_codec.load())
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+links AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM g x JOIN g y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n m ON m.doc_id = p.a JOIN n o ON o.doc_id = p.b WHERE 100 * p.i >= 85 * (m.n + o.n - p.i)
+), reach(doc_id, peer) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.peer
+)
+SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(peer) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_language_id": op2_language_id,
         "op3_toxicity": op3_toxicity,
         "op4_sharding": op4_sharding,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_mixing": op6_mixing,
         "op7_url_filter": op7_url_filter,
         "op8_quality_rules": op8_quality_rules,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
@@ -225,4 +252,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": OP7_SQL,
         "op8_quality_rules": OP8_SQL,
         "op9_exact_dedup": OP9_SQL,
+        "op10_ngram_join": OP10_SQL,
     }

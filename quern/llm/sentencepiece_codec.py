@@ -9,12 +9,12 @@ prefix gives. So the ids are those of SentencePiece for either kind of model.
 The search keeps backpointers for a window of the longest piece only. Whenever the paths of all
 boundaries in the window run through one boundary, the ids up to it are committed and forgotten; that
 happens between words, which no piece crosses, and long texts never need more than the window and the
-uncommitted tail. Words are the committed units that a bounded cache keeps.
+uncommitted tail. Short words are searched side by side, a boundary of all of them at a time, and each
+distinct one of a block once; only a word longer than LOOK characters is searched on its own.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,8 +26,10 @@ from quern.session import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Entries of a worker's caches of words and of piece pairs.
-WORDS, PAIRS = 200_000, 1_000_000
+#: Entries of a worker's cache of piece pairs, as strings and (a power of two) as ids.
+PAIRS, PAIR_BITS = 200_000, 22
+#: Bytes of text that are searched at once.
+BLOCK = 2 << 20
 #: Characters after which an unfinished search looks for a boundary that all paths share.
 LOOK = 64
 
@@ -86,34 +88,171 @@ def merge(text: str, voc: Vocabulary) -> list[str]:
     return parts
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each key among the distinct ones, and the first place of each of those."""
+    import pandas as pd
+
+    code, names = pd.factorize(keys)
+    first = np.empty(len(names), np.int64)
+    first[code[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    return code, first
+
+
+class Pieces:
+    """Lookup of pieces by a rolling hash of their code points: two tables of open slots, no collisions in the second."""
+
+    BITS = 19
+
+    def __init__(self, voc: Vocabulary):
+        self.power, self.inverse = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        ids = np.array(sorted(voc.ids.values()), np.int64)
+        keys = np.array([self.one(voc.pieces[i]) for i in ids], np.uint64)
+        self.tables = []
+        for shift in range(64 - self.BITS, -1, -3):
+            slot = self._slot(keys, shift)
+            first = np.unique(slot, return_index=True)[1]
+            if self.tables and len(first) < len(keys):
+                continue  # a table without collisions for what is left
+            at, name = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)
+            at[slot[first]], name[slot[first]] = keys[first], ids[first]
+            self.tables.append((shift, at, name))
+            left = np.setdiff1d(np.arange(len(keys)), first)
+            keys, ids = keys[left], ids[left]
+            if not len(keys):
+                break
+
+    def _slot(self, keys: np.ndarray, shift: int) -> np.ndarray:
+        return (keys >> np.uint64(shift) & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
+
+    def powers(self, n: int) -> None:
+        if len(self.power) < n:
+            base = 0x9E3779B97F4A7C15
+            for name, x in (("power", base), ("inverse", pow(base, -1, 1 << 64))):
+                p = np.full(n, x, np.uint64)
+                p[:1] = 1
+                setattr(self, name, np.multiply.accumulate(p))
+
+    def sums(self, points: np.ndarray) -> np.ndarray:
+        """Prefix sums from which the hash of any stretch follows."""
+        self.powers(len(points) + 1)
+        out = np.zeros(len(points) + 1, np.uint64)
+        spread = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        spread ^= spread >> np.uint64(29)
+        np.cumsum(spread * self.power[: len(points)], out=out[1:])
+        return out
+
+    def hashes(self, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        h = (sums[stop] - sums[start]) * self.inverse[start]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h
+
+    def one(self, piece: str) -> int:
+        points = np.array([ord(c) for c in piece], np.uint32)
+        return int(self.hashes(self.sums(points), np.array([0]), np.array([len(points)]))[0])
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The id of each hash, -1 if it is no piece."""
+        out = np.full(len(keys), -1, np.int32)
+        for shift, at, name in self.tables:
+            slot = self._slot(keys, shift)
+            hit = at[slot] == keys
+            out[hit] = name[slot[hit]]
+        return out
+
+
 class Codec:
-    """Encoder and decoder of one task, with bounded caches."""
+    """Encoder and decoder of a worker, with bounded caches."""
 
     def __init__(self, voc: Vocabulary):
         self.voc = voc
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.floor = min(voc.scores) - 10.0
+        self.rank = {p: -voc.scores[i] for p, i in voc.ids.items()}
+        self.steps: dict[str, tuple | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
-        self.split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         # What each id decodes to.
         self.bytes = [bytes([voc.byte_of[i]]) if i in voc.byte_of else p.replace(SPACE, " ").encode() if voc.normal[i] else b"" for i, p in enumerate(voc.pieces)]
+        self.pieces = Pieces(voc)
+        self.none = len(voc.pieces)  # stands before a unit's first piece
+        known = np.zeros(0x110000, bool)
+        known[[ord(p) for p in voc.ids if len(p) == 1]] = True
+        self.known = known
+        # Whether one id may follow another, by hash of the pair: 2 * pair + answer. A fixed-size cache.
+        self.follow = np.full(1 << PAIR_BITS, -1, np.int64)
+
+    def _steps(self, a: str) -> tuple | None:
+        """The merges that make the piece a of its characters: ranks, last part after each, first part after each; None if they make something else."""
+        if a in self.steps:
+            return self.steps[a]
+        parts, ranks, rights, lefts = list(a), [], [], []
+        while len(parts) > 1:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                r = self.rank.get(parts[i] + parts[i + 1])
+                if r is not None and (best is None or r < best):
+                    best, at = r, i
+            if at < 0:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            ranks.append(best)
+            rights.append(parts[-1])
+            lefts.append(parts[0])
+        out = self.steps[a] = (ranks, rights, lefts) if len(parts) == 1 else None
+        return out
+
+    def _compatible(self, a: str, b: str) -> bool:
+        """Merging leaves the pieces a, b of their joined text: no merge over their border ever comes first."""
+        x, y = self._steps(a), self._steps(b)
+        if x is None or y is None:
+            return False
+        never = float("inf")
+        (xs, rights, _), (ys, _, lefts) = x, y
+        i = j = 0
+        right, left = a[-1], b[0]
+        while True:
+            p = xs[i] if i < len(xs) else never
+            q = ys[j] if j < len(ys) else never
+            over = self.rank.get(right + left, never)
+            if over < p and over <= q and over < never:
+                return False
+            if p == q == never:
+                return True
+            if p <= q:
+                right = rights[i]
+                i += 1
+            else:
+                left = lefts[j]
+                j += 1
 
     def _follows(self, a: str, b: str) -> bool:
-        """Merging leaves the pieces a, b of their joined text."""
         key = (a, b)
         ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[key] = merge(a + b, self.voc) == [a, b]
+            ok = self.pairs[key] = self._compatible(a, b)
         return ok
 
     def _alone(self, a: str) -> bool:
         """Merging leaves the piece a of its own text."""
-        ok = self.whole.get(a)
-        if ok is None:
-            ok = self.whole[a] = merge(a, self.voc) == [a]
-        return ok
+        return self._steps(a) is not None
+
+    def _may_follow(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """_follows for arrays of ids; before may hold `none`."""
+        key = before.astype(np.int64) * (self.none + 1) + piece
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        got = self.follow[slot]
+        miss = got >> 1 != key
+        if miss.any():
+            names = self.voc.pieces
+            fresh = np.unique(key[miss])
+            answers = np.array([self._alone(names[k % (self.none + 1)]) if k // (self.none + 1) == self.none else self._compatible(names[k // (self.none + 1)], names[k % (self.none + 1)]) for k in fresh.tolist()], bool)
+            found = answers[np.searchsorted(fresh, key[miss])]
+            self.follow[slot[miss]] = key[miss] * 2 + found
+            out = (got & 1).astype(bool)
+            out[miss] = found
+            return out
+        return (got & 1).astype(bool)
 
     def _ids(self, piece: str) -> list[int]:
         k = self.voc.ids.get(piece)
@@ -126,7 +265,7 @@ class Codec:
         """Ids of a text, committed as soon as all surviving paths agree."""
         voc, n, longest = self.voc, len(text), self.voc.longest
         bpe = voc.kind == "bpe"
-        floor = min(voc.scores) - 10.0
+        floor = self.floor
         back: dict[int, int] = {0: -1}  # boundary -> boundary before it on its path
         value: dict[int, float] = {0: 0.0}
         done = 0  # all boundaries up to here are committed
@@ -182,32 +321,121 @@ class Codec:
             out += self._ids(text[i:j])
         return out
 
+    def _lattices(self, sums: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many units at once, flat, and how many each has: the search of `viterbi`, one boundary of all units at a time.
+
+        Units are known characters between two boundaries that every path runs through, and short, so
+        the backpointers of a block of them are the window.
+        """
+        order = np.argsort(-length, kind="stable")
+        start, size = start[order], length[order]
+        node = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
+        last = np.full(int((size + 1).sum()), -1, np.int32)
+        back = np.zeros(len(last), np.uint8)
+        last[node] = self.none
+        at_least = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right")
+        for j in range(1, int(size[0]) + 1):
+            open_ = np.arange(at_least[j - 1])
+            for k in range(min(j, self.voc.longest), 0, -1):
+                before = last[node[open_] + j - k]
+                some = np.flatnonzero(before >= 0)
+                from_ = start[open_[some]] + j - k
+                piece = self.pieces.find(self.pieces.hashes(sums, from_, from_ + k))
+                hit = np.flatnonzero(piece >= 0)
+                some, piece = some[hit], piece[hit]
+                ok = self._may_follow(before[some], piece)
+                some, piece = some[ok], piece[ok]
+                to = node[open_[some]] + j
+                last[to], back[to] = piece, k
+                rest = np.ones(len(open_), bool)
+                rest[some] = False
+                open_ = open_[rest]
+                if not len(open_):
+                    break
+        # Back from the ends: the n-th id before a unit's end, for all units.
+        seen, ids, unit = [], [], np.arange(len(size))
+        at = node + size
+        count = np.zeros(len(size), np.int64)
+        while len(unit):
+            ids.append(last[at])
+            seen.append(unit)
+            count[unit] += 1
+            at = at - back[at]
+            more = at > node[unit]
+            unit, at = unit[more], at[more]
+        counts = np.empty(len(size), np.int64)
+        counts[order] = count
+        end = np.cumsum(counts)[order]
+        flat = np.empty(int(counts.sum()), np.int32)
+        for n, (u, x) in enumerate(zip(seen, ids)):
+            flat[end[u] - 1 - n] = x
+        return flat, counts
+
+    def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, flat, and how many each has."""
+        voc = self.voc
+        if voc.kind != "bpe" or voc.crossing:
+            each = [list(self.viterbi((SPACE if voc.dummy_prefix else "") + t.replace(" ", SPACE))) if t else [] for t in texts]
+            return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
+        lead = SPACE if voc.dummy_prefix else ""
+        marked = [lead + t if t else "" for t in texts]
+        sizes = np.array([len(t) for t in marked], np.int64)
+        points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        if not len(points):
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        space = ord(SPACE)
+        points[points == 32] = space
+        # Units: a run of blanks and the word after it, and every character that no piece has.
+        mark, known = points == space, self.known[points]
+        begin = np.ones(len(points), bool)
+        begin[1:] = (mark[1:] & ~mark[:-1]) | ~known[1:] | ~known[:-1]
+        text_start = np.cumsum(sizes) - sizes
+        begin[text_start[sizes > 0]] = True
+        start = np.flatnonzero(begin)
+        stop = np.append(start[1:], len(points))
+        sums = self.pieces.sums(points)
+        code, first = _distinct(self.pieces.hashes(sums, start, stop) + (stop - start).astype(np.uint64))
+        s, e = start[first], stop[first]
+        plain = known[s] & (e - s <= LOOK)
+        counts = np.zeros(len(first), np.int64)
+        flat, counts_plain = self._lattices(sums, s[plain], e[plain] - s[plain]) if plain.any() else (np.empty(0, np.int32), np.empty(0, np.int64))
+        counts[plain] = counts_plain
+        offset = np.zeros(len(first), np.int64)
+        offset[plain] = np.cumsum(counts_plain) - counts_plain
+        extra, total = [flat], len(flat)
+        for u in np.flatnonzero(~plain):  # characters without a piece, and long units
+            unit = points[s[u] : e[u]].tobytes().decode("utf-32-le", "surrogatepass")
+            ids = np.array(self._ids(unit) if len(unit) == 1 else list(self.viterbi(unit)), np.int32)
+            offset[u], counts[u] = total, len(ids)
+            extra.append(ids)
+            total += len(ids)
+        flat = np.concatenate(extra)
+        n = counts[code]
+        out = flat[np.repeat(offset[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        edge = np.searchsorted(start, np.append(text_start, len(points)))
+        return out, np.diff(ends[edge])
+
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        marked = text.replace(" ", SPACE)
-        if self.voc.dummy_prefix:
-            marked = SPACE + marked
-        if self.voc.crossing:
-            return list(self.viterbi(marked))
-        out: list[int] = []
-        words = self.words
-        for w in self.split(marked):
-            ids = words.get(w)
-            if ids is None:
-                ids = tuple(self.viterbi(w))
-                if len(w) <= LOOK:
-                    if len(words) >= WORDS:
-                        words.clear()
-                    words[w] = ids
-            out += ids
-        return out
+        return self.encode_block([text])[0].tolist()
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
         return raw[1:] if self.voc.dummy_prefix and raw[:1] == " " else raw
 
 
+_codecs: dict[int, Codec] = {}
+
+
+def _codec(voc: Vocabulary) -> Codec:
+    """The worker's codec of a vocabulary; a worker that goes on to another task keeps its caches."""
+    key = hash((voc.kind, len(voc.pieces), tuple(voc.pieces[-50:]), voc.dummy_prefix))
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(voc)
+    return _codecs[key]
+
+
 def encode_decode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id_col, ids array<int>, n_ids long, decoded string.
 
@@ -216,6 +444,7 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
     Repeated rows give equal rows; no rows, no rows; other columns aren't read.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     spark = docs.sparkSession
     ship(spark)
@@ -223,18 +452,20 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
     id_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(sent.value)
+        codec = _codec(sent.value)
         for batch in batches:
-            ids, offsets, texts = [], [0], []
-            for t in batch.column(1):
-                text = t.as_py()
-                got = np.array(codec.encode(text), np.int32) if text else np.empty(0, np.int32)
-                ids.append(got)
-                offsets.append(offsets[-1] + len(got))
-                texts.append(None if text is None else codec.decode(got.tolist()))
-            flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=batch.column(1).is_null())
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], ["id", "ids", "decoded"])
+            size = np.array(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+            ends, i = np.cumsum(size), 0
+            while i < len(size):  # blocks of texts; a longer one is a block of its own
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK, "right")))
+                column = batch.column(1).slice(i, j - i)
+                texts = column.to_pylist()
+                flat, counts = codec.encode_block([t or "" for t in texts])
+                offsets = np.concatenate([[0], np.cumsum(counts)])
+                decoded = [None if t is None else codec.decode(flat[offsets[k] : offsets[k + 1]].tolist()) for k, t in enumerate(texts)]
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat), mask=column.is_null())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+                i = j
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(run, f"id {id_type.simpleString()}, ids array<int>, decoded string")
