@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.sampling import held_out, sample_ids, sample_texts
 from quern.session import ship
@@ -30,6 +31,8 @@ CONTEXT = 16
 BATCH, LENGTH, STEPS, RATE = 256, 48, 300, 0.02
 #: Windows that are run at once.
 BLOCK = 2048
+#: Bytes of text that are labelled at once.
+BYTES = 4 << 20
 UNDETERMINED = "und"
 
 
@@ -205,37 +208,51 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id
     return fit(sample_texts(docs.filter(F.col(label_col).isNotNull()), picked, id_col, text_col), steps)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """One row per row of `docs`: id_col, held_out, lang_pred, score.
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One row per row of `docs`: id_col, held_out, lang_pred, score; with `keep`, those columns of docs, lang_pred, score.
 
     lang_pred is a label of the model, `und` with score 0 if the text is null or has no letter (or the
     model no labels). score is the mean probability of the label over the text's bytes; ties go to
-    the label that sorts first. Repeated rows get equal rows; no rows, no predictions. Other columns
-    aren't read.
+    the label that sorts first. Repeated rows get equal rows; no rows, no predictions. Columns besides
+    those named aren't read; kept columns called lang_pred or score are replaced.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     ship(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(1).cast(pa.large_string())
-            offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-            raw = text.buffers()[2]
-            data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(1, np.uint8)
-            lettered = np.array(batch.column(2).to_pylist(), bool)
-            starts, stops = offsets[:-1].copy(), offsets[1:].copy()
-            stops[~lettered] = starts[~lettered]
-            names, scores = [UNDETERMINED] * len(text), np.zeros(len(text))
-            if model.labels:
-                pooled = predict_texts(model, data, starts, stops)
-                best = pooled.argmax(1)
-                scores = np.where(lettered, np.clip(pooled[np.arange(len(best)), best], 0, 1), 0.0)
-                names = [model.labels[k] if ok else UNDETERMINED for k, ok in zip(best, lettered)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+            sizes = np.array(pc.binary_length(batch.column(0)).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+            ends, i = np.cumsum(sizes), 0
+            while i < len(sizes):  # blocks of texts; a longer one is a block of its own
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BYTES, "right")))
+                part = batch.slice(i, j - i)
+                names, scores = label(part.column(0), part.column(1))
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], names, scores], [*part.schema.names[2:], "lang_pred", "score"])
+                i = j
 
+    def label(column: pa.Array, letters: pa.Array) -> tuple[pa.Array, pa.Array]:
+        text = column.cast(pa.large_string())
+        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        raw = text.buffers()[2]
+        data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(1, np.uint8)
+        lettered = np.array(letters.to_pylist(), bool)
+        starts, stops = offsets[:-1].copy(), offsets[1:].copy()
+        stops[~lettered] = starts[~lettered]
+        names, scores = [UNDETERMINED] * len(text), np.zeros(len(text))
+        if model.labels:
+            pooled = predict_texts(model, data, starts, stops)
+            best = pooled.argmax(1)
+            scores = np.where(lettered, np.clip(pooled[np.arange(len(best)), best], 0, 1), 0.0)
+            names = [model.labels[k] if ok else UNDETERMINED for k, ok in zip(best, lettered)]
+        return pa.array(names, pa.string()), pa.array(scores, pa.float64())
+
+    kept = [c for c in ([id_col] if keep is None else keep) if c not in ("lang_pred", "score")]
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
-    found = rows.mapInArrow(run, f"id {id_type.simpleString()}, lang_pred string, score double")
-    return found.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    rows = docs.select(text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__lettered"), *kept)
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = rows.mapInArrow(run, schema)
+    if keep is not None:
+        return found
+    return found.select(id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -13,10 +13,11 @@ n-gram, from a fixed-size sketch counted over all documents; costly segments are
 segments without cost or against a one-deletion allowance.
 
 Equal sets are one class from the start. Within a bucket of equal signatures every class first meets
-the bucket's pivot only, and of its pivots the one that it shares most buckets with; verified links are
-contracted to components; then the pairs of each bucket that are still in different components are
-verified too. So a large group of near copies costs a star, and no link between components is lost.
-Every pair is verified on whole texts.
+the bucket's pivot only (the class that meets most others), and of its pivots the one that it shares
+most buckets with; verified links are contracted to components. Then the pairs of each bucket that are
+still in different components are verified too, but for those whose parity bitmaps already differ in
+more bits than similar sets have different elements. So a large group of near copies costs a star, and
+no link between components is lost. Every pair is verified on whole texts.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from quern.session import bounded, cut, ship
 BAND = 1.35
 #: One segment in so many has its one-deletion neighbours indexed (one at least).
 NEIGHBOURS = 32
+#: 64-bit words of a set's parity bitmap: as many bits differ between two bitmaps as elements at most.
+BITS = 8
 #: Counters of the frequency sketch.
 SKETCH = 1 << 16
 #: Bytes of text that are tokenised at once; longer texts are a block of their own.
@@ -253,29 +256,39 @@ def set_signatures(s: np.ndarray, bands: Bands, costs: np.ndarray, everything: f
     return sigs, roles
 
 
+def parities(s: np.ndarray) -> list[int]:
+    """The parity bitmap of a set: bit i tells whether an odd number of elements fall on it."""
+    odd = np.bincount((s >> U(20) & U(64 * BITS - 1)).astype(np.int64), minlength=64 * BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _profile(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """A row per document (id, n, d1, d2) and, per task, a row with its frequency sketch (counts)."""
+    """A row per document (id, n, d1, d2, bits) and, per task, a row with its frequency sketch (counts)."""
     import pyarrow as pa
 
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "d1", "d2", "counts"]
+        names = ["id", "n", "d1", "d2", "bits", "counts"]
+        kind = pa.struct([(f"b{i}", pa.int64()) for i in range(BITS)])
         counts = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            n, d1, d2 = [], [], []
+            n, d1, d2, bits = [], [], [], []
             for s in column_sets(batch.column(1), words):
                 n.append(len(s))
                 a, b = digests(s, seed)
                 d1.append(a)
                 d2.append(b)
-                counts += np.bincount((s & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(s) > 4096 else 0
-                if len(s) <= 4096:
-                    np.add.at(counts, (s & U(SKETCH - 1)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.nulls(len(n), pa.binary())], names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts.astype(np.int64).tobytes()], pa.binary())], names)
+                bits.append(parities(s))
+                np.add.at(counts, (s & U(SKETCH - 1)).astype(np.int64), 1)
+            words_ = np.array(bits, np.int64).reshape(len(n), BITS)
+            packed = pa.StructArray.from_arrays([pa.array(words_[:, i]) for i in range(BITS)], fields=list(kind))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), packed, pa.nulls(len(n), pa.binary())], names)
+        none = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), kind)]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([counts.tobytes()], pa.binary())], names)
 
-    return docs.mapInArrow(run, "id long, n int, d1 long, d2 long, counts binary")
+    words_type = ", ".join(f"b{i}: bigint" for i in range(BITS))
+    return docs.mapInArrow(run, f"id long, n int, d1 long, d2 long, bits struct<{words_type}>, counts binary")
 
 
 def _sketch(profile: DataFrame) -> np.ndarray:
@@ -341,17 +354,17 @@ def _signatures(docs: DataFrame, words: int, percent: int, seed: int, sketch: np
 
 
 def _buckets(signatures: DataFrame) -> DataFrame:
-    """sig, d1, n, role, pivot of the buckets with several classes, a row per class."""
+    """sig, cls, role of the buckets with several classes, a row per class."""
     bucket = Window.partitionBy("sig")
     rows = signatures.select(
         "sig",
         F.struct("d1", F.shiftright("size", 2).alias("n")).alias("cls"),
         F.col("size").bitwiseAND(3).alias("role"),
     )
-    met = rows.select("*", F.min("cls").over(bucket).alias("pivot"), F.max("cls").over(bucket).alias("last")).filter("pivot != last")
+    met = rows.select("*", F.min("cls").over(bucket).alias("least"), F.max("cls").over(bucket).alias("most")).filter("least != most")
     # A class comes from several tasks if its copies do; the rows of a bucket are sorted next to each other.
     once = met.withColumn("before", F.lag("cls").over(bucket.orderBy("cls"))).filter("before is null or before != cls")
-    return once.select("sig", "cls", "role", "pivot")
+    return once.select("sig", "cls", "role")
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -424,8 +437,8 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str =
     seed = 0
     while True:
         profile = cut(_profile(base, words, seed))
-        rows = profile.filter("counts is null").select("id", F.struct("d1", "n").alias("cls"), "d2")
-        facts = rows.filter("cls.n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.min("d2").alias("low"), F.max("d2").alias("high"))
+        rows = profile.filter("counts is null").select("id", F.struct("d1", "n").alias("cls"), "d2", "bits")
+        facts = rows.filter("cls.n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.min("d2").alias("low"), F.max("d2").alias("high"), F.first("bits").alias("bits"))
         classes = cut(facts)
         if classes.filter("low != high").isEmpty():
             break
@@ -434,23 +447,24 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str =
     everything = rows.count()
     buckets = cut(_buckets(_signatures(base, words, percent, seed, sketch, everything)))
 
-    # First the pivots: for each class the pivot that it meets most often.
-    met = buckets.filter((F.col("cls") != F.col("pivot")) & _similar_sizes(F.col("cls.n"), F.col("pivot.n"), percent)).groupBy("pivot", "cls").agg(F.count(F.lit(1)).alias("times"))
-    stars = cut(met.groupBy("cls").agg(F.max(F.struct("times", "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("cls").alias("b")))
+    # First the pivots: in each bucket the class that meets most others, and for each class the pivot that it meets most often.
+    met = buckets.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("sig"))).groupBy("cls").agg(F.sum("k").alias("weight"))
+    pivoted = buckets.join(met, "cls").withColumn("pivot", F.max(F.struct("weight", "cls")).over(Window.partitionBy("sig"))["cls"])
+    pairs = pivoted.filter((F.col("cls") != F.col("pivot")) & _similar_sizes(F.col("cls.n"), F.col("pivot.n"), percent)).groupBy("pivot", "cls").agg(F.count(F.lit(1)).alias("times"))
+    stars = cut(pairs.groupBy("cls").agg(F.max(F.struct("times", "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("cls").alias("b")))
     links = cut(_verify(stars, _class_texts(base, classes, stars, words, seed), words, percent))
     roots = components(links)
 
     # Then what is still apart: pairs of a probe and an index row of one bucket in different components.
-    placed = buckets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", "role", F.coalesce("root", "cls").alias("root"))
-    bucket = Window.partitionBy("sig")
-    apart = placed.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).filter("low != high").select("sig", "cls", "role", "root")
+    apart = _apart(buckets, roots).join(classes.select("cls", "bits"), "cls")
     a, b = apart.alias("a"), apart.alias("b")
-    crossing = (
-        a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.role").bitwiseAND(2) != 0) & (F.col("b.role").bitwiseAND(1) != 0) & (F.col("a.cls.n") <= F.col("b.cls.n")) & (F.col("a.cls.n") * 100 >= F.col("b.cls.n") * percent))
-        .select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b"))
-        .distinct()
-    )
-    rest = cut(crossing.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    met = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.role").bitwiseAND(2) != 0) & (F.col("b.role").bitwiseAND(1) != 0)
+    differ = sum((F.bit_count(F.col(f"a.bits.b{i}").bitwiseXOR(F.col(f"b.bits.b{i}"))) for i in range(BITS)), F.lit(0))
+    near = differ * (100 + percent) <= (F.col("a.cls.n") + F.col("b.cls.n")) * (100 - percent)
+    on = met & (F.col("a.root") != F.col("b.root")) & (F.col("a.cls.n") <= F.col("b.cls.n")) & _similar_sizes(F.col("a.cls.n"), F.col("b.cls.n"), percent) & near
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    crossing = a.join(b, on).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).select(*ordered).distinct()
+    rest = cut(crossing.join(stars.select(*ordered), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = cut(_verify(rest, _class_texts(base, classes, rest, words, seed), words, percent))
         if not more.isEmpty():
@@ -463,6 +477,14 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str =
     return out.select(F.col("id").alias(id_col), F.col("cls.n").cast("long").alias("n_shingles"), F.when(F.col("cls.n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _apart(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets that still hold several components, with the component of each class."""
+    rooted = buckets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    bucket = Window.partitionBy("sig")
+    ends = rooted.select("*", F.min("root").over(bucket).alias("least"), F.max("root").over(bucket).alias("most"))
+    return ends.filter("least != most").drop("least", "most")
+
+
 def _class_texts(base: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, seed: int) -> DataFrame:
     """cls and a compressed text of every class in the pairs, written once.
 
