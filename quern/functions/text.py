@@ -1,0 +1,99 @@
+"""Column functions over texts: tokens, normal forms, classes, secrets."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Patterns in the common subset of Java and RE2 syntax.
+ANSI = r"\x1B\[[0-9;?]*[A-Za-z]"
+CJK = r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7A3}]"
+SECRETS = {
+    "aws_key": r"AKIA[0-9A-Z]{16}",
+    "github_token": r"gh[pousr]_[A-Za-z0-9]{36}",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "bearer": r"[Bb]earer [A-Za-z0-9._-]{20,}",
+    "assignment": r"(?i)(api_key|secret|password|token)[\"']?[ ]*[:=][ ]*[\"']?[A-Za-z0-9_/+-]{12,}",
+}
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+HOME = r"/(home|Users)/[A-Za-z0-9._-]+"
+IMPORTANT = r"(?i)(error|fail|panic|fatal|warn|exception|denied|refused|timeout|todo)"
+
+
+def trim_all(text: Column) -> Column:
+    """CRLF to LF, then white space off both ends."""
+    return F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+
+
+def token_estimate(text: Column) -> Column:
+    """A quarter of the bytes, at least 1; nothing for no text."""
+    n = F.coalesce(F.octet_length(text), F.lit(0))
+    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 4))).cast("long")
+
+
+def token_estimate_calibrated(text: Column) -> Column:
+    """Bytes by 3.5 plus a third of the CJK characters, at least 1."""
+    n = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    cjk = F.coalesce(F.regexp_count(text, F.lit(CJK)), F.lit(0)).cast("long")
+    return F.when(n == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(n * 1000 / 3500) + F.floor(cjk / 3))).cast("long")
+
+
+def strip_ansi(text: Column) -> Column:
+    """Escape sequences off, CRLF to LF, lone CR off."""
+    return F.replace(F.replace(F.regexp_replace(text, ANSI, ""), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit(""))
+
+
+def redact(text: Column) -> Column:
+    """Secrets, mail addresses and home folders replaced by their names."""
+    out = text
+    for name, pattern in SECRETS.items():
+        out = F.regexp_replace(out, pattern, f"[REDACTED:{name}]")
+    return F.regexp_replace(F.regexp_replace(out, EMAIL, "[EMAIL]"), HOME, "/home/USER")
+
+
+def content_class(text: Column) -> Column:
+    """The first class whose test holds: json, html, diff, log, code, table, list, prose; empty for nothing."""
+    t = F.coalesce(text, F.lit(""))
+    ladder = [
+        (F.trim(t) == "", "empty"),
+        (t.rlike(r"^[ \n\t]*[\[{]") & t.rlike(r"[\]}][ \n\t]*$"), "json"),
+        (t.rlike(r"(?i)<(html|body|div|p|span|script)[ >]"), "html"),
+        (t.rlike(r"(?m)^(diff --git |@@ -[0-9]+)"), "diff"),
+        (t.rlike(r"(?m)^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}"), "log"),
+        (t.rlike(r"(?m)^(def |class |func |import |#include |package )"), "code"),
+        (t.rlike(r"(?m)^\|.*\|"), "table"),
+        (t.rlike(r"(?m)^[-*] "), "list"),
+    ]
+    out = F
+    for test, name in ladder:
+        out = out.when(test, name)
+    return out.otherwise("prose")
+
+
+def task_shape(text: Column) -> Column:
+    """What a request asks for, by the first word group that occurs."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    ladder = [
+        ("fix|bug|broken|crash", "repair"),
+        ("test", "test"),
+        ("refactor|rename|clean up", "refactor"),
+        ("explain|why|what|how", "explain"),
+        ("review|check", "review"),
+        ("write|create|add|implement|build", "create"),
+        ("list|show|find", "lookup"),
+    ]
+    out = F
+    for words, name in ladder:
+        out = out.when(t.rlike(words), name)
+    return out.otherwise("unknown")
+
+
+def words(text: Column) -> Column:
+    """Words between white space."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\r]+"), lambda w: w != "")
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Similarity of two arrays as sets; 0 if both are empty."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)

@@ -4,34 +4,396 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from quern.functions import text as T
+from quern.operators import chunks, echo, lines, rollups, sessions
 from quern.session import table
+from quern.streaming import collector
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
-def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First document of each normalised text within its source, and the bytes that later copies repeat."""
-    norm = F.regexp_replace(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")), r"^[ \t\n\r]+|[ \t\n\r]+$", "")
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2(norm, 256).alias("digest"), F.octet_length("text").alias("bytes"))
-    first = F.min("doc_id").over(W.partitionBy("source", "digest"))
-    return docs.select("source", "doc_id", first.alias("first_doc_id"), F.when(F.col("doc_id") > first, F.col("bytes")).otherwise(0).cast("long").alias("saved_bytes"))
 
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that says the same."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
-DEDUP_EXACT_SQL = r"""
+
+@query(r"""
 WITH d AS (
   SELECT source, doc_id, strlen(text) AS bytes,
          sha256(regexp_replace(replace(text, E'\r\n', E'\n'), '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g')) AS digest
   FROM documents
 ), f AS (SELECT *, min(doc_id) OVER (PARTITION BY source, digest) AS first_doc_id FROM d)
 SELECT source, doc_id, first_doc_id, CASE WHEN doc_id > first_doc_id THEN bytes ELSE 0 END::BIGINT AS saved_bytes FROM f
-"""
+""")
+def dedup_exact(spark, sf):
+    """First document of each normalised text within its source, and the bytes that later copies repeat."""
+    docs = table(spark, sf, "documents").select("source", "doc_id", F.sha2(T.trim_all(F.col("text")), 256).alias("digest"), F.octet_length("text").alias("bytes"))
+    first = F.min("doc_id").over(Window.partitionBy("source", "digest"))
+    return docs.select("source", "doc_id", first.alias("first_doc_id"), F.when(F.col("doc_id") > first, F.col("bytes")).otherwise(0).cast("long").alias("saved_bytes"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total, round(max(value), 4) AS largest FROM events GROUP BY event_type")
+def events_by_type(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"), F.round(F.max("value"), 4).alias("largest"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def events_by_day(spark, sf):
+    return table(spark, sf, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("""
+WITH b AS (SELECT max(ts) - INTERVAL 7 DAY AS lo, max(ts) AS hi FROM events)
+SELECT event_type, count(*) AS n FROM events, b WHERE ts BETWEEN lo AND hi GROUP BY event_type
+""")
+def events_last_week(spark, sf):
+    """The period filter, closed at both ends. The newest time is one aggregated value."""
+    events = table(spark, sf, "events").select("ts", "event_type")
+    hi = events.agg(F.max("ts")).first()[0]
+    return events.filter(F.col("ts").between(F.lit(hi).cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS"), F.lit(hi).cast("timestamp_ntz"))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, quantile_cont(value, 0.95) AS interpolated, max(value) FILTER (i = floor((n - 1) * 0.95)) AS floored, max(value) FILTER (i = greatest(ceil(n * 0.95) - 1, 0)) AS nearest FROM r GROUP BY event_type
+""")
+def event_percentiles(spark, sf):
+    return rollups.percentiles(table(spark, sf, "events"), "event_type", "value", 0.95)
+
+
+@query("SELECT event_id, event_type, user_id FROM events ORDER BY event_id DESC LIMIT 100")
+def last_events(spark, sf):
+    return rollups.last_n(table(spark, sf, "events").select("event_id", "event_type", "user_id"), "event_id", 100)
+
+
+@query("""
+SELECT event_id, CASE WHEN count(*) OVER w = 50 THEN round(avg((event_type = 'purchase')::INT) OVER w, 6) END AS rate
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)
+""")
+def rolling_hit_rate(spark, sf):
+    out = sessions.rolling_rate(table(spark, sf, "events").select("event_id", "user_id", "event_type"), "user_id", ["event_id"], F.col("event_type") == "purchase")
+    return out.select("event_id", F.round("rate", 6).alias("rate"))
+
+
+@query("""
+WITH t AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS turn FROM events)
+SELECT event_id, turn, coalesce(turn - lag(turn) OVER (PARTITION BY user_id, event_type ORDER BY turn) <= 10, false) AS reread FROM t
+""")
+def reread_detector(spark, sf):
+    return sessions.rereads(table(spark, sf, "events").select("event_id", "user_id", "event_type"), "user_id", ["event_id"], "event_type").select("event_id", "turn", "reread")
+
+
+_RUNS = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS run FROM events"
+
+
+@query(f"WITH r AS ({_RUNS}), c AS (SELECT user_id, count(*) AS n FROM r GROUP BY user_id, event_type, run) SELECT user_id, max(n) AS longest FROM c GROUP BY user_id")
+def longest_streaks(spark, sf):
+    return sessions.longest_streaks(table(spark, sf, "events").select("event_id", "user_id", "event_type"), "user_id", ["event_id"], "event_type")
+
+
+@query(f"WITH r AS ({_RUNS}) SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, run ORDER BY event_id) AS streak, row_number() OVER (PARTITION BY user_id, event_type, run ORDER BY event_id) >= 2 AS hot FROM r")
+def prefix_stability(spark, sf):
+    out = sessions.streaks(table(spark, sf, "events").select("event_id", "user_id", "event_type"), "user_id", ["event_id"], "event_type")
+    return out.select("event_id", "streak", (F.col("streak") >= 2).alias("hot"))
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY event_id DESC) > 1 AS superseded FROM events")
+def superseded_calls(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "user_id", F.struct("event_type", "props").alias("call"))
+    return sessions.superseded(rows, "user_id", ["event_id"], "call").select("event_id", "superseded")
+
+
+@query("""
+WITH t AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events),
+w AS (SELECT *, min(CASE WHEN event_type = 'purchase' THEN place END) OVER (PARTITION BY user_id ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS write_at FROM t)
+SELECT event_id, place, write_at FROM w WHERE event_type = 'view'
+""")
+def obsolete_reads(spark, sf):
+    kind = F.col("event_type")
+    rows = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    return sessions.obsolete(rows, "user_id", ["event_id"], kind == "view", kind == "purchase").select("event_id", F.col("at").alias("place"), "write_at")
+
+
+@query("""
+SELECT event_id, row_number() OVER w > 1 AND first_value(props) OVER w IS NOT DISTINCT FROM props AS repeated
+FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id)
+""")
+def repeated_collapse(spark, sf):
+    return sessions.repeated_calls(table(spark, sf, "events").select("event_id", "user_id", "event_type", "props"), "user_id", ["event_id"], "event_type", "props").select("event_id", "repeated")
+
+
+@query("""
+SELECT e.event_id, (SELECT CASE WHEN epoch_us(x.ts) - epoch_us(e.ts) <= 86400000000 THEN x.event_id END FROM events x
+  WHERE x.user_id = e.user_id AND x.event_type <> 'error' AND (x.ts, x.event_id) > (e.ts, e.event_id) ORDER BY x.ts, x.event_id LIMIT 1) AS retry_id
+FROM events e WHERE event_type = 'error'
+""")
+def next_retry(spark, sf):
+    kind = F.col("event_type")
+    rows = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    return sessions.next_after(rows, "user_id", "ts", kind == "error", kind != "error", 86400, "event_id").select("event_id", "retry_id")
+
+
+@query("""
+WITH c AS (SELECT user_id, event_type, CASE WHEN substr(sha256(user_id::VARCHAR), 1, 1) < '8' THEN 'control' ELSE 'treatment' END AS cohort FROM events),
+r AS (SELECT cohort, count(*) AS n, count(*) FILTER (event_type = 'error') AS failures, round(count(*) FILTER (event_type = 'error') / count(*), 9) AS rate FROM c GROUP BY cohort)
+SELECT *, coalesce((SELECT n FROM r WHERE cohort = 'treatment') >= 50 AND (SELECT rate FROM r WHERE cohort = 'treatment') - (SELECT rate FROM r WHERE cohort = 'control') > 0.05, false) AS rollback FROM r
+""")
+def ab_cohort_rates(spark, sf):
+    return sessions.cohort_rates(table(spark, sf, "events").select("user_id", "event_type"), "user_id", F.col("event_type") == "error")
+
+
+@query("""
+WITH t AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events),
+s AS (SELECT *, sum(CASE WHEN t - before <= 1800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS session FROM (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS before FROM t))
+SELECT user_id, session::BIGINT AS session, count(*) AS n, (max(t) - min(t)) / 1000000 AS seconds FROM s GROUP BY user_id, session
+""")
+def event_sessions(spark, sf):
+    return rollups.sessionise(table(spark, sf, "events").select("user_id", "event_id", "ts"), "user_id", "ts", 1800, "event_id")
+
+
+@query("SELECT (epoch_us(ts) // 3600000000) * 3600 AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def hourly_counts(spark, sf):
+    out = collector.windowed_counts(table(spark, sf, "events"))
+    return out.withColumn("total", F.round("total", 4))
+
+
+@query("""
+SELECT ((epoch_us(ts) // 900000000) - k) * 900 AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(0, 4) r(k) GROUP BY 1, 2
+""")
+def sliding_counts(spark, sf):
+    out = collector.windowed_counts(table(spark, sf, "events"), "1 hour", "15 minutes")
+    return out.withColumn("total", F.round("total", 4))
+
+
+@query("""
+SELECT event_type, CASE WHEN bit_count(n) > 0 THEN concat_ws(',', CASE WHEN n > 2000 THEN 'few_rows' END, CASE WHEN total < 1e9 THEN NULL ELSE 'total' END, CASE WHEN users < 100 THEN 'users' END) END AS failures
+FROM (SELECT event_type, count(*) AS n, sum(value) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY event_type)
+""")
+def category_gates(spark, sf):
+    sums = table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.countDistinct("user_id").alias("users"))
+    return rollups.gates(sums, "event_type", [("few_rows", F.col("n") <= 2000), ("total", F.col("total") < 1e9), ("users", F.col("users") >= 100)])
+
+
+@query("""
+SELECT user_id, sha256(array_to_string(list_sort(list(DISTINCT props)), chr(0))) AS fingerprint, count(DISTINCT props) AS n FROM events WHERE props IS NOT NULL GROUP BY user_id
+""")
+def set_fingerprint(spark, sf):
+    """Digest of each user's sorted distinct values."""
+    rows = table(spark, sf, "events").select("user_id", "props").filter("props is not null").distinct()
+    sets = rows.groupBy("user_id").agg(F.sort_array(F.collect_list("props")).alias("s"))
+    return sets.select("user_id", F.sha2(F.array_join("s", "\0"), 256).alias("fingerprint"), F.size("s").cast("long").alias("n"))
+
+
+@query("""
+(SELECT user_id, event_type, 'removed' AS change FROM (SELECT user_id, event_type FROM events WHERE event_id % 2 = 0 EXCEPT SELECT user_id, event_type FROM events WHERE event_id % 2 = 1))
+UNION ALL (SELECT user_id, event_type, 'added' FROM (SELECT user_id, event_type FROM events WHERE event_id % 2 = 1 EXCEPT SELECT user_id, event_type FROM events WHERE event_id % 2 = 0))
+""")
+def set_delta(spark, sf):
+    """What two runs (even and odd events) have apart from each other."""
+    rows = table(spark, sf, "events").select("user_id", "event_type", (F.col("event_id") % 2).alias("run"))
+    sides = rows.groupBy("user_id", "event_type").agg(F.min("run").alias("lo"), F.max("run").alias("hi"))
+    return sides.filter("lo = hi").select("user_id", "event_type", F.when(F.col("lo") == 0, "removed").otherwise("added").alias("change"))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS total FROM conversations)
+SELECT conv_id, turn, CASE WHEN total = 0 THEN true ELSE coalesce(since, 0) >= 2 END AS compressible FROM t
+""")
+def compressible_prefix(spark, sf):
+    return sessions.compressible_prefix(table(spark, sf, "conversations").select("conv_id", "turn", "role")).select("conv_id", "turn", "compressible")
+
+
+@query(r"""
+WITH u AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(coalesce(lower(text), ''), '[ \t\n\r]+'), lambda x: x <> '')) AS w FROM conversations WHERE role = 'user'),
+l AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM u),
+j AS (SELECT *, CASE WHEN b IS NULL THEN 1 WHEN len(list_distinct(list_concat(w, b))) = 0 THEN 1 WHEN len(list_intersect(w, b)) / len(list_distinct(list_concat(w, b))) < 0.75 THEN 1 ELSE 0 END AS new FROM l),
+r AS (SELECT conv_id, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM j),
+c AS (SELECT conv_id, count(*) AS n FROM r GROUP BY conv_id, run)
+SELECT conv_id, max(n) AS longest FROM c GROUP BY conv_id
+""")
+def loop_streak(spark, sf):
+    return sessions.loop_streaks(table(spark, sf, "conversations"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN regexp_matches(t, 'fix|bug|broken|crash') THEN 'repair' WHEN regexp_matches(t, 'test') THEN 'test' WHEN regexp_matches(t, 'refactor|rename|clean up') THEN 'refactor'
+  WHEN regexp_matches(t, 'explain|why|what|how') THEN 'explain' WHEN regexp_matches(t, 'review|check') THEN 'review' WHEN regexp_matches(t, 'write|create|add|implement|build') THEN 'create'
+  WHEN regexp_matches(t, 'list|show|find') THEN 'lookup' ELSE 'unknown' END AS shape FROM t
+""")
+def task_shape(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.task_shape(F.col("text")).alias("shape"))
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, strlen(text) // 4) END::BIGINT AS tokens,
+  CASE WHEN strlen(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, (strlen(text) * 1000) // 3500 + len(regexp_extract_all(text, '[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7A3}]')) // 3) END::BIGINT AS calibrated FROM documents
+""")
+def token_estimate(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"), T.token_estimate_calibrated(F.col("text")).alias("calibrated"))
+
+
+_SECRET_COUNTS = ", ".join(f"len(regexp_extract_all(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}'))::BIGINT AS {n}" for n, p in T.SECRETS.items())
+
+
+@query(f"SELECT doc_id, {_SECRET_COUNTS} FROM documents")
+def secret_scan(spark, sf):
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf, "documents").select("doc_id", *[F.regexp_count(text, F.lit(p)).cast("long").alias(n) for n, p in T.SECRETS.items()])
+
+
+def _redact_sql() -> str:
+    out = "text"
+    for n, p in T.SECRETS.items():
+        out = f"regexp_replace({out}, '{p.replace(chr(39), chr(39) * 2)}', '[REDACTED:{n}]', 'g')"
+    return f"SELECT doc_id, md5(regexp_replace(regexp_replace({out}, '{T.EMAIL}', '[EMAIL]', 'g'), '{T.HOME}', '/home/USER', 'g')) AS redacted FROM documents"
+
+
+@query(_redact_sql())
+def redaction(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.redact(F.col("text"))).alias("redacted"))
+
+
+@query(r"""
+SELECT page_id, CASE WHEN trim(t) = '' THEN 'empty' WHEN regexp_matches(t, '^[ \n\t]*[\[{]') AND regexp_matches(t, '[\]}][ \n\t]*$') THEN 'json' WHEN regexp_matches(t, '(?i)<(html|body|div|p|span|script)[ >]') THEN 'html'
+  WHEN regexp_matches(t, '(?m)^(diff --git |@@ -[0-9]+)') THEN 'diff' WHEN regexp_matches(t, '(?m)^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}') THEN 'log'
+  WHEN regexp_matches(t, '(?m)^(def |class |func |import |#include |package )') THEN 'code' WHEN regexp_matches(t, '(?m)^\|.*\|') THEN 'table' WHEN regexp_matches(t, '(?m)^[-*] ') THEN 'list' ELSE 'prose' END AS class
+FROM (SELECT page_id, coalesce(html, '') AS t FROM pages)
+""")
+def content_class(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.content_class(F.col("html")).alias("class"))
+
+
+@query("""
+WITH c AS (SELECT page_id, unnest(string_split(url, '')) AS ch FROM pages), n AS (SELECT page_id, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ALL),
+p AS (SELECT page_id, n / sum(n) OVER (PARTITION BY page_id) AS p FROM n)
+SELECT page_id, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY page_id
+""")
+def shannon_entropy(spark, sf):
+    chars = table(spark, sf, "pages").select("page_id", F.explode(F.split("url", "")).alias("ch")).filter("ch <> ''")
+    n = chars.groupBy("page_id", "ch").agg(F.count(F.lit(1)).alias("n"))
+    p = n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("page_id")))
+    return p.groupBy("page_id").agg(F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy"))
+
+
+@query(r"""
+WITH h AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*/([^/?#]*)', 1) AS dir FROM pages),
+g AS (SELECT host, dir, count(*) AS n FROM h GROUP BY host, dir)
+SELECT host, dir, n FROM g ORDER BY n DESC, host, dir LIMIT 10
+""")
+def path_groups(spark, sf):
+    parts = table(spark, sf, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.regexp_extract("url", "://[^/?#]*/([^/?#]*)", 1).alias("dir"))
+    return parts.groupBy("host", "dir").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "host", "dir").limit(10)
+
+
+_LINES = "l AS (SELECT doc_id, unnest(range(0, len(a))) AS pos, unnest(a) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents))"
+
+
+@query(f"WITH {_LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY regexp_matches(line, '{T.IMPORTANT}') DESC, pos) AS rank, count(*) OVER (PARTITION BY doc_id) AS n FROM l) SELECT doc_id, pos::INT AS pos, md5(line) AS line, greatest(0, n - 5)::BIGINT AS dropped FROM r WHERE rank <= 5")
+def topk_evidence_lines(spark, sf):
+    return lines.evidence_top_k(table(spark, sf, "documents")).withColumn("line", F.md5("line"))
+
+
+@query(f"WITH {_LINES}, m AS (SELECT *, CASE WHEN line = lag(line) OVER w THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m) SELECT doc_id, min(pos)::INT AS pos, md5(min(line)) AS line, count(*) AS times FROM r GROUP BY doc_id, run")
+def collapse_line_runs(spark, sf):
+    return lines.collapse_runs(table(spark, sf, "documents")).withColumn("line", F.md5("line"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, min(pos)::INT AS pos, md5(arg_min(line, pos)) AS line, count(*) AS times FROM l GROUP BY doc_id, regexp_replace(line, '[0-9]+', '#', 'g')")
+def log_line_dedup(spark, sf):
+    return lines.dedup_log_lines(table(spark, sf, "documents")).withColumn("line", F.md5("line"))
+
+
+PROSE = lines.Rule(replace=[("[0-9]{4,}", "N")], drop=["^[ ]*$"], max_width=60, head=3, tail=2, on_empty="(nothing)")
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+x AS (SELECT doc_id, t, replace(replace(regexp_replace(t, '\x1B\[[0-9;?]*[A-Za-z]', '', 'g'), E'\r\n', E'\n'), E'\r', '') AS s FROM d),
+r AS (SELECT doc_id, t, list_transform(list_filter(list_transform(string_split(s, chr(10)), lambda y: regexp_replace(y, '[0-9]{4,}', 'N', 'g')), lambda y: NOT regexp_matches(y, '^[ ]*$')), lambda y: left(y, 60)) AS a FROM x),
+o AS (SELECT doc_id, t, array_to_string(CASE WHEN len(a) > 5 THEN list_concat(a[1:3], a[-2:]) ELSE a END, chr(10)) AS o FROM r),
+e AS (SELECT doc_id, t, CASE WHEN trim(o) = '' THEN '(nothing)' ELSE o END AS o FROM o)
+SELECT doc_id, 'prose' AS rule, md5(CASE WHEN strlen(o) < strlen(t) THEN o ELSE t END) AS reduced FROM e
+""")
+def rule_apply(spark, sf):
+    return lines.apply_rules(table(spark, sf, "documents").select("doc_id", "text"), [(F.lit(True), "prose", PROSE)]).select("doc_id", "rule", F.md5("reduced").alias("reduced"))
+
+
+_SHINGLES = r"SELECT DISTINCT {id}, array_to_string(w[i:i + 7], ' ') AS gram FROM (SELECT {id}, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {id}, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), lambda x: x <> '') AS w FROM {table}) WHERE len(w) >= 8)"
+
+
+@query(f"WITH d AS ({_SHINGLES.format(id='doc_id', table='documents')}), b AS ({_SHINGLES.format(id='item_id', table='benchmark')}) SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (gram) GROUP BY doc_id, item_id")
+def echo_match(spark, sf):
+    return echo.echoes(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def chunk_dedup(spark, sf):
+    return chunks.repeated_chunks(table(spark, sf, "documents").select("doc_id", "source", "text"))
+
+
+@query("""
+SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus
+""")
+def q1_like(spark, sf):
+    rows = table(spark, sf, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(
+        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n")
+    )
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def top_orders(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'F')")
+def customers_without_finished(spark, sf):
+    done = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf, "customer").select("c_custkey", "c_mktsegment").join(done, "c_custkey", "left_anti")
+
+
+@query("SELECT r_name, n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
+def region_rollup(spark, sf):
+    c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
+    rows = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    return rows.rollup("r_name", "n_name").agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("""
+SELECT o_orderkey, max((l_shipdate, l_linenumber, l_partkey))[3] AS last_part, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey
+""")
+def last_item_wins(spark, sf):
+    """Calls with their result: of several under one key the last one counts."""
+    items = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(F.struct("l_shipdate", "l_linenumber", "l_partkey"))["l_partkey"].alias("last_part"), F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "orders").select("o_orderkey").join(items, "o_orderkey", "left").select("o_orderkey", "last_part", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""
+WITH m AS (SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS month, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL)
+SELECT o_custkey, month, total, round(total - coalesce(lag(total) OVER (PARTITION BY o_custkey ORDER BY month), 0), 2) AS change FROM m
+""")
+def monthly_change(spark, sf):
+    m = table(spark, sf, "orders").groupBy("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    before = F.coalesce(F.lag("total").over(Window.partitionBy("o_custkey").orderBy("month")), F.lit(0.0))
+    return m.select("o_custkey", "month", "total", F.round(F.col("total") - before, 2).alias("change"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"dedup_exact": dedup_exact}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"dedup_exact": DEDUP_EXACT_SQL}
+    return dict(_SQL)

@@ -58,7 +58,7 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("ERROR")
     sf = f"/root/testdata/{sys.argv[1]}"
     q, o = e.queries(), e.oracle_sql()
-    for name in sys.argv[2:] or q:
+    for name in [n for a in sys.argv[2:] for n in (sorted(x for x in q if not x.startswith(("op", "pipeline"))) if a == "own" else [a])] or q:
         t = time.time()
         try:
             df = q[name](spark, sf)

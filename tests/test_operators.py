@@ -1,0 +1,68 @@
+from pyspark.sql import functions as F
+
+from quern.functions import text as T
+from quern.operators import chunks, lines, sessions
+from quern.sources import logs
+
+
+def test_chunks_join_to_the_text():
+    import random
+
+    rng = random.Random(1)
+    for n in (0, 1, 31, 511, 5000, 70_000):
+        data = bytes(rng.randrange(256) for _ in range(n))
+        ends = chunks.cuts(data)
+        starts = [0, *ends[:-1]]
+        assert b"".join(data[a:b] for a, b in zip(starts, ends)) == data
+        assert all(b - a <= chunks.MOST for a, b in zip(starts, ends))
+
+
+def test_chunk_cuts_move_with_an_insertion():
+    import random
+
+    rng = random.Random(2)
+    data = bytes(rng.randrange(256) for _ in range(60_000))
+    parts = lambda d: {d[a:b] for a, b in zip([0, *chunks.cuts(d)[:-1]], chunks.cuts(d))}
+    assert len(parts(data) & parts(b"inserted" + data)) >= len(parts(data)) // 2
+
+
+def test_rule_is_never_longer_and_says_when_empty(spark):
+    rows = spark.createDataFrame([(1, "a 12345\n\n\nb"), (2, "\x1b[31mred\x1b[0m text that goes on"), (3, ""), (4, None), (5, "all good\nreally")], "doc_id int, text string")
+    rule = lines.Rule(replace=[("[0-9]{4,}", "N")], drop=["^$"], short_circuit=[("all good", "ok", "error")])
+    got = {r.doc_id: r.reduced for r in lines.apply_rules(rows, [(F.lit(True), "r", rule)]).collect()}
+    assert got == {1: "a N\nb", 2: "red text that goes on", 3: "", 4: "", 5: "ok"}
+
+
+def test_strip_ansi_is_idempotent(spark):
+    row = spark.createDataFrame([("\x1b[1;31mx\x1b[0m\r\ny\rz",)], "t string").select(T.strip_ansi(F.col("t")).alias("a"), T.strip_ansi(T.strip_ansi(F.col("t"))).alias("b")).first()
+    assert row.a == row.b == "x\nyz"
+
+
+def test_compressible_prefix_without_user_turns(spark):
+    rows = spark.createDataFrame([(1, 0, "system"), (1, 1, "assistant"), (2, 0, "user"), (2, 1, "assistant"), (2, 2, "user"), (2, 3, "user")], "conv_id int, turn int, role string")
+    got = {(r.conv_id, r.turn): r.compressible for r in sessions.compressible_prefix(rows).collect()}
+    assert got == {(1, 0): True, (1, 1): True, (2, 0): True, (2, 1): True, (2, 2): False, (2, 3): False}
+
+
+def test_replay_keeps_the_newest_line_at_the_first_place(spark):
+    rows = spark.createDataFrame([(0, '{"req_id": "a", "v": 1}'), (1, '{"v": 2}'), (2, '{"req_id": "b"}'), (3, '{"req_id": "a", "v": 3}'), (4, "broken")], "line int, value string")
+    got = {r.req_id: (r.first_line, r.value) for r in logs.replay(rows).collect()}
+    assert got == {"a": (0, '{"req_id": "a", "v": 3}'), "b": (2, '{"req_id": "b"}')}
+
+
+def test_envelopes_round_trip(spark, tmp_path):
+    events = spark.sql("SELECT 'analytics_event' AS type, timestamp'2024-05-01 10:00:00' AS ts, named_struct('tokens', 5) AS payload UNION ALL SELECT 'session_snapshot', timestamp'2024-05-02 10:00:00', named_struct('tokens', 7)")
+    logs.write_envelopes(events, str(tmp_path / "log"))
+    got = logs.read_envelopes(spark, str(tmp_path / "log"), "session_snapshot", "2024-05-02").collect()
+    assert len(got) == 1 and got[0].payload == '{"tokens":7}'
+
+
+def test_archive_keeps_newest_within_budget(spark):
+    rows = spark.createDataFrame([(1, "aaaa"), (2, "bbbb"), (3, "aaaa"), (4, "cccc")], "n int, text string")
+    assert {r.text for r in logs.archive(rows, "text", "n", 8).collect()} == {"aaaa", "cccc"}
+
+
+def test_streaks_do_not_depend_on_partitions(spark):
+    rows = spark.range(2000).select((F.col("id") % 7).alias("u"), "id", (F.floor(F.col("id") / 21) % 2).alias("k"))
+    sums = {rows.repartition(n).transform(lambda d: sessions.streaks(d, "u", ["id"], "k")).agg(F.sum(F.col("streak") * F.col("id"))).first()[0] for n in (1, 4, 200)}
+    assert len(sums) == 1
