@@ -14,9 +14,17 @@ from pyspark.sql import functions as F
 #: Rows up to which a side may be broadcast once its count is known (about 100 MB of narrow rows).
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of an Arrow batch of whole texts.
+ARROW_ROWS = 2000
+
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, as `--py-files` would; once per context."""
+    """Send this package to the Python workers, as `--py-files` would; once per context.
+
+    Rows are whole texts, so Arrow batches are made smaller unless the session has its own size for them.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_quern_shipped", False):
         return
