@@ -32,7 +32,7 @@ BATCH, LENGTH, STEPS, RATE = 256, 48, 300, 0.02
 #: Windows that are run at once.
 BLOCK = 2048
 #: Bytes of text that are labelled at once.
-BYTES = 4 << 20
+BYTES = 1 << 20
 UNDETERMINED = "und"
 
 

@@ -40,7 +40,7 @@ BITS = 8
 #: Counters of the frequency sketch.
 SKETCH = 1 << 16
 #: Bytes of text that are tokenised at once; longer texts are a block of their own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Classes that a task remembers, so that it emits a copy's signatures once.
 SEEN = 500_000
 
@@ -344,7 +344,7 @@ def _signatures(docs: DataFrame, words: int, percent: int, seed: int, sketch: np
                 sizes.append(len(s))
                 lengths.append(sum(map(len, x)))
                 rows += lengths[-1]
-                if rows >= 200_000:
+                if rows >= 100_000:
                     yield flush()
                     sigs, roles, owner, sizes, lengths, rows = [], [], [], [], [], 0
         if rows:

@@ -27,9 +27,9 @@ from quern.session import ship
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Entries of a worker's cache of piece pairs, as strings and (a power of two) as ids.
-PAIRS, PAIR_BITS = 200_000, 22
+PAIRS, PAIR_BITS = 200_000, 20
 #: Bytes of text that are searched at once.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 #: Characters after which an unfinished search looks for a boundary that all paths share.
 LOOK = 64
 
