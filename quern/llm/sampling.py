@@ -6,9 +6,16 @@ so it is the same on every run and spread over the whole table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a sample over all labels, but for one row of each label.
+TOTAL_ROWS = 64_000
+#: Slices of a label in the first stage of the top-k.
+SLICES = 64
+
 
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of ids that no model may learn from."""
@@ -16,16 +23,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample_ids(labelled: DataFrame, id_col: str, label_col: str, per_label: int) -> list[tuple]:
-    """(id, label) of at most per_label rows of each label, at most 64 labels.
+    """(id, label) of at most per_label rows of each label, however many labels there are.
 
-    `labelled` is narrow (id and label); each label's smallest hashes are found by a two-stage top-k.
+    Beyond TOTAL_ROWS // per_label labels every label gives fewer rows (at least 1), so that the sample
+    stays near TOTAL_ROWS; no label is dropped. `labelled` is narrow (id and label). One grouped top-k finds each label's smallest hashes: ranks
+    within slices of a label first, so a frequent label isn't sorted in one task, then over what is left.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")).alias("h")).filter("id is not null and label is not null")
-    labels = [r[0] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(64).collect()]
-    picked = []
-    for label in labels:
-        picked += [(r["id"], r["label"]) for r in rows.filter(F.col("label") == F.lit(label)).orderBy("h", "id").limit(per_label).collect()]
-    return picked
+    n_labels = rows.select("label").distinct().count()
+    per_label = max(1, min(per_label, TOTAL_ROWS // max(1, n_labels)))
+    top = rows.withColumn("slice", F.pmod("h", F.lit(SLICES)))
+    for by in (["label", "slice"], ["label"]):
+        top = top.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))).filter(F.col("rank") <= per_label)
+    picked = top.select("id", "label", "rank").collect()
+    n = Counter(r["label"] for r in picked)
+    return [(r["id"], r["label"]) for r in sorted(picked, key=lambda r: (-n[r["label"]], str(r["label"]), r["rank"]))]
 
 
 def sample_texts(docs: DataFrame, picked: list[tuple], id_col: str, text_col: str) -> list[tuple]:

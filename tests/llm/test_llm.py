@@ -1,12 +1,13 @@
 """Operators of the training-data list: SQL, brute force, round trips, held-out accuracy and edge rows."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, quality_rules, queries, sentencepiece_codec, sharding, toxicity, url_filter
+from quern.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, quality_rules, queries, sampling, sentencepiece_codec, sharding, toxicity, url_filter
 from quern.session import table
 from tests.oracle import compare
 
@@ -162,6 +163,16 @@ def test_gradients_are_those_of_the_loss():
         assert abs((up - down) / (2 * step) - g[at]) < 0.05 * abs(g[at]) + 1e-3
 
 
+def test_sample_has_every_label(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") < 2000, "common").otherwise(F.concat(F.lit("l"), F.col("id") % 100)).alias("label"))
+    picked = sampling.sample_ids(rows, "id", "label", 20)
+    n = Counter(label for _, label in picked)
+    assert len(n) == 101 and n["common"] == 20 and all(n[f"l{k}"] == 10 for k in range(100))
+    # The rows of the smallest hashes, in their order.
+    want = rows.filter("label = 'common'").orderBy(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), "id").limit(20)
+    assert [i for i, label in picked if label == "common"] == [r.id for r in want.collect()]
+
+
 def test_toxicity_separates_and_edges(spark, edge, empty):
     docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     model = toxicity.train(docs.select("doc_id", "text"), labels)
