@@ -33,6 +33,64 @@ REFERENCE_SECRETS = [
 ]
 #: The characters that a match of the last pattern can hold.
 ENTROPY_CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/="
+#: The reference's English and German phrases by the shape of a request; "complaint" keeps a request for output from being a relay.
+SHAPE_PHRASES = {
+    "exact_reply": [
+        "reply exactly", "respond exactly", "answer exactly", "say exactly", "output exactly", "reply only", "respond only", "answer only", "say only",
+        "output only", "return only", "just reply", "just respond", "just answer", "just say", "json only", "only json", "antworte exakt", "antwort exakt",
+        "gib exakt", "sage exakt", "nur mit:", "antworte nur", "gib nur", "sage nur", "nur ausgeben", "nur json",
+    ],
+    "command_output_relay": [
+        "show the output", "show me the output", "paste the output", "print the output", "relay the output", "return the output", "include the output",
+        "full output", "exact output", "terminal output", "shell output", "command output", "tool output", "zeige die ausgabe", "zeig die ausgabe",
+        "gib die ausgabe", "poste die ausgabe", "kopiere die ausgabe", "vollständige ausgabe", "vollstaendige ausgabe", "komplette ausgabe",
+        "terminal-ausgabe", "terminal ausgabe", "befehl ausgabe", "kommando ausgabe", "fehlerausgabe",
+    ],
+    "complaint": [
+        "you skipped", "you omitted", "missing detail", "too short", "explain more", "du hast übersprungen", "du hast ausgelassen", "zu kurz",
+        "mehr details", "erklär mehr", "erklaer mehr", "du hast nicht", "fehlt", "nochmal", "patch failed", "apply_patch failed", "malformed patch",
+        "invalid patch", "did not apply", "could not apply", "build failed after your change", "test failed after your change", "kaputter patch",
+        "patch ging nicht",
+    ],
+    "repair_followup": [
+        "you skipped", "you omitted", "missing detail", "too short", "explain more", "what did you do", "what changed", "give details",
+        "du hast übersprungen", "du hast ausgelassen", "zu kurz", "mehr details", "erklär mehr", "erklaer mehr", "was hast du gemacht", "was wurde geändert",
+        "du hast nicht", "fehlt", "nochmal ausführlicher", "nochmal genauer", "patch failed", "apply_patch failed", "malformed patch", "invalid patch",
+        "did not apply", "could not apply", "build failed after your change", "test failed after your change", "kaputter patch", "patch ging nicht",
+    ],
+    "final_summary": [
+        "final answer", "final summary", "final report", "wrap up", "summarize what you did", "abschlussbericht", "finale zusammenfassung",
+        "fass abschließend zusammen", "fasse abschließend zusammen",
+    ],
+    "read_only_analysis": [
+        "read-only", "read only", "do not edit", "don't edit", "do not modify", "do not write", "no edits", "inspect", "analyze", "analyse", "audit",
+        "report in", "nur analysieren", "analysiere", "untersuche", "bewerte", "nichts anfassen", "nicht anfassen",
+    ],
+    "explanation_deep_analysis": [
+        "explain", "explanation", "deep dive", "deep analysis", "detailed analysis", "detailed explanation", "go deep", "forensic", "walk me through",
+        "why is", "how does", "how it works", "erklär", "erklaer", "erklärung", "erklaerung", "detailliert", "detailiert", "tief", "forensisch",
+    ],
+    "new_file_generation": [
+        "create file", "new file", "write a file", "add file", "*** add file",
+    ],
+    "code_edit": [
+        "apply_patch", "patch", "diff", "edit", "modify", "fix this file", "implement",
+    ],
+    "debugging": [
+        "error", "failed", "panic", "stack trace", "debug", "why does", "root cause",
+    ],
+    "review": [
+        "review", "audit", "find issues", "severity",
+    ],
+    "planning": [
+        "plan", "roadmap", "steps", "todo",
+    ],
+    "tool_result_reasoning": [
+        "tool_result", "stdout", "stderr", "exit code", "command output",
+    ],
+}
+#: Any character but white space.
+NON_BLANK = r"[^\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 HOME = r"/(home|Users)/[A-Za-z0-9._-]+"
 IMPORTANT = r"(?i)(error|fail|panic|fatal|warn|exception|denied|refused|timeout|todo)"
@@ -153,6 +211,16 @@ def task_shape(text: Column) -> Column:
     return out.otherwise("unknown")
 
 
+def request_shape(text: Column) -> Column:
+    """The reference's shape of a request: 13 shapes by ordered phrases, unknown for blank texts."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    says = {name: t.rlike("|".join(rf"\Q{p}\E" for p in phrases)) for name, phrases in SHAPE_PHRASES.items()}
+    out = F.when(says["exact_reply"], "exact_reply").when(says["command_output_relay"] & ~says["complaint"], "command_output_relay")
+    for name in ("repair_followup", "final_summary", "read_only_analysis", "explanation_deep_analysis", "new_file_generation", "code_edit", "debugging", "review", "planning", "command_output_relay", "tool_result_reasoning"):
+        out = out.when(says[name], name)
+    return out.when(t.rlike(NON_BLANK), "direct_answer").otherwise("unknown")
+
+
 def words(text: Column) -> Column:
     """Words between white space."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\r]+"), lambda w: w != "")

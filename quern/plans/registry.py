@@ -236,6 +236,29 @@ def task_shape(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.task_shape(F.col("text")).alias("shape"))
 
 
+@query(r"""
+WITH t AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations)
+SELECT conv_id, turn, CASE
+  WHEN list_bool_or(list_transform(['reply exactly', 'respond exactly', 'answer exactly', 'say exactly', 'output exactly', 'reply only', 'respond only', 'answer only', 'say only', 'output only', 'return only', 'just reply', 'just respond', 'just answer', 'just say', 'json only', 'only json', 'antworte exakt', 'antwort exakt', 'gib exakt', 'sage exakt', 'nur mit:', 'antworte nur', 'gib nur', 'sage nur', 'nur ausgeben', 'nur json'], lambda x: contains(t, x))) THEN 'exact_reply'
+  WHEN list_bool_or(list_transform(['show the output', 'show me the output', 'paste the output', 'print the output', 'relay the output', 'return the output', 'include the output', 'full output', 'exact output', 'terminal output', 'shell output', 'command output', 'tool output', 'zeige die ausgabe', 'zeig die ausgabe', 'gib die ausgabe', 'poste die ausgabe', 'kopiere die ausgabe', 'vollständige ausgabe', 'vollstaendige ausgabe', 'komplette ausgabe', 'terminal-ausgabe', 'terminal ausgabe', 'befehl ausgabe', 'kommando ausgabe', 'fehlerausgabe'], lambda x: contains(t, x)))
+    AND NOT list_bool_or(list_transform(['you skipped', 'you omitted', 'missing detail', 'too short', 'explain more', 'du hast übersprungen', 'du hast ausgelassen', 'zu kurz', 'mehr details', 'erklär mehr', 'erklaer mehr', 'du hast nicht', 'fehlt', 'nochmal', 'patch failed', 'apply_patch failed', 'malformed patch', 'invalid patch', 'did not apply', 'could not apply', 'build failed after your change', 'test failed after your change', 'kaputter patch', 'patch ging nicht'], lambda x: contains(t, x))) THEN 'command_output_relay'
+  WHEN list_bool_or(list_transform(['you skipped', 'you omitted', 'missing detail', 'too short', 'explain more', 'what did you do', 'what changed', 'give details', 'du hast übersprungen', 'du hast ausgelassen', 'zu kurz', 'mehr details', 'erklär mehr', 'erklaer mehr', 'was hast du gemacht', 'was wurde geändert', 'du hast nicht', 'fehlt', 'nochmal ausführlicher', 'nochmal genauer', 'patch failed', 'apply_patch failed', 'malformed patch', 'invalid patch', 'did not apply', 'could not apply', 'build failed after your change', 'test failed after your change', 'kaputter patch', 'patch ging nicht'], lambda x: contains(t, x))) THEN 'repair_followup'
+  WHEN list_bool_or(list_transform(['final answer', 'final summary', 'final report', 'wrap up', 'summarize what you did', 'abschlussbericht', 'finale zusammenfassung', 'fass abschließend zusammen', 'fasse abschließend zusammen'], lambda x: contains(t, x))) THEN 'final_summary'
+  WHEN list_bool_or(list_transform(['read-only', 'read only', 'do not edit', 'don''t edit', 'do not modify', 'do not write', 'no edits', 'inspect', 'analyze', 'analyse', 'audit', 'report in', 'nur analysieren', 'analysiere', 'untersuche', 'bewerte', 'nichts anfassen', 'nicht anfassen'], lambda x: contains(t, x))) THEN 'read_only_analysis'
+  WHEN list_bool_or(list_transform(['explain', 'explanation', 'deep dive', 'deep analysis', 'detailed analysis', 'detailed explanation', 'go deep', 'forensic', 'walk me through', 'why is', 'how does', 'how it works', 'erklär', 'erklaer', 'erklärung', 'erklaerung', 'detailliert', 'detailiert', 'tief', 'forensisch'], lambda x: contains(t, x))) THEN 'explanation_deep_analysis'
+  WHEN list_bool_or(list_transform(['create file', 'new file', 'write a file', 'add file', '*** add file'], lambda x: contains(t, x))) THEN 'new_file_generation'
+  WHEN list_bool_or(list_transform(['apply_patch', 'patch', 'diff', 'edit', 'modify', 'fix this file', 'implement'], lambda x: contains(t, x))) THEN 'code_edit'
+  WHEN list_bool_or(list_transform(['error', 'failed', 'panic', 'stack trace', 'debug', 'why does', 'root cause'], lambda x: contains(t, x))) THEN 'debugging'
+  WHEN list_bool_or(list_transform(['review', 'audit', 'find issues', 'severity'], lambda x: contains(t, x))) THEN 'review'
+  WHEN list_bool_or(list_transform(['plan', 'roadmap', 'steps', 'todo'], lambda x: contains(t, x))) THEN 'planning'
+  WHEN list_bool_or(list_transform(['show the output', 'show me the output', 'paste the output', 'print the output', 'relay the output', 'return the output', 'include the output', 'full output', 'exact output', 'terminal output', 'shell output', 'command output', 'tool output', 'zeige die ausgabe', 'zeig die ausgabe', 'gib die ausgabe', 'poste die ausgabe', 'kopiere die ausgabe', 'vollständige ausgabe', 'vollstaendige ausgabe', 'komplette ausgabe', 'terminal-ausgabe', 'terminal ausgabe', 'befehl ausgabe', 'kommando ausgabe', 'fehlerausgabe'], lambda x: contains(t, x))) THEN 'command_output_relay'
+  WHEN list_bool_or(list_transform(['tool_result', 'stdout', 'stderr', 'exit code', 'command output'], lambda x: contains(t, x))) THEN 'tool_result_reasoning'
+  WHEN regexp_matches(t, '[^\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]') THEN 'direct_answer' ELSE 'unknown' END AS shape FROM t
+""")
+def request_shape(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.request_shape(F.col("text")).alias("shape"))
+
+
 @query(r"""
 SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, strlen(text) // 4) END::BIGINT AS tokens,
   CASE WHEN strlen(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, (strlen(text) * 1000) // 3500 + len(regexp_extract_all(text, '[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7A3}]')) // 3) END::BIGINT AS calibrated FROM documents

@@ -93,3 +93,25 @@ def test_all_secret_patterns_are_found_once(spark):
     names = F.filter(F.transform(spans, lambda x: x["name"]), lambda n: n.isNotNull())
     rows = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(cases)], "i int, text string").select("i", names.alias("names"), T.redact_spans(spans).alias("out"))
     assert {r.i: (r.names, r.out) for r in rows.collect()} == {i: ([n] if n else [], out) for i, (n, _, out) in enumerate(cases)}
+
+
+def test_request_shapes_of_the_reference(spark):
+    cases = {
+        "Reply exactly: ok": "exact_reply",
+        "Zeig die Ausgabe von ls": "command_output_relay",
+        "Du hast nicht die komplette Ausgabe gezeigt": "repair_followup",
+        "Finale Zusammenfassung bitte": "final_summary",
+        "Analysiere das Modul": "read_only_analysis",
+        "Erkläre den Ablauf": "explanation_deep_analysis",
+        "create file a.txt": "new_file_generation",
+        "modify line 3": "code_edit",
+        "panic in main": "debugging",
+        "review of the module": "review",
+        "a roadmap": "planning",
+        "nochmal die fehlerausgabe": "command_output_relay",
+        "stderr was empty": "tool_result_reasoning",
+        "Guten Morgen": "direct_answer",
+        " \n": "unknown",
+    }
+    rows = spark.createDataFrame(list(cases.items()), "text string, want string").select("text", T.request_shape(F.col("text")).alias("shape"))
+    assert {r.text: r.shape for r in rows.collect()} == cases
