@@ -11,8 +11,11 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast once its count is known (about 100 MB of narrow rows).
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a side may be broadcast once its rows are counted, at a stated width of a row.
+BROADCAST_BYTES = 64 << 20
+
+#: A key is hot if it holds more than this share of all rows (and more than HOT_LEAST), so at most this many keys are.
+HOT_KEYS, HOT_LEAST = 4096, 64
 
 #: Rows of an Arrow batch of whole texts.
 ARROW_ROWS = 2000
@@ -67,9 +70,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """`df` with a broadcast hint if the counted `rows` allow it, else as it is."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def bounded(df: DataFrame, rows: int, width: int = 64) -> DataFrame:
+    """`df` with a broadcast hint if the counted `rows` of at most `width` bytes allow it, else as it is."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
+
+
+def hot_keys(counts: DataFrame, key: str, total: int | None = None) -> DataFrame | None:
+    """The hot keys of `counts` (a row per key with its `rows`), at most HOT_KEYS of them; None if there are none.
+
+    They are collected: a bounded number of narrow values (keys of bounded width only).
+    """
+    if total is None:
+        total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    hot = counts.filter(F.col("rows") > max(HOT_LEAST, total // HOT_KEYS)).select(key)
+    found = hot.collect()
+    return counts.sparkSession.createDataFrame(found, hot.schema) if found else None
+
+
+def attach(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined to side (one row per key). The side of hot keys (from hot_keys) is broadcast, so no hot key is shuffled."""
+    if hot is None:
+        return rows.join(side, key, how)
+    few = F.broadcast(hot)
+    found = rows.join(F.broadcast(side.join(few, key, "left_semi")), key)
+    rest = rows.join(few, key, "left_anti").join(side.join(few, key, "left_anti"), key, how)
+    return found.unionByName(rest)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
