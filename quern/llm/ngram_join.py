@@ -17,19 +17,30 @@ the bucket's pivot only (the class that meets most others), and of its pivots th
 most buckets with; verified links are contracted to components. Then the pairs of each bucket that are
 still in different components are verified too, but for those whose parity bitmaps already differ in
 more bits than similar sets have different elements. So a large group of near copies costs a star, and
-no link between components is lost. Every pair is verified on whole texts.
+no link between components is lost.
+
+Hashes only find candidates; words decide. A word's hash is keyed BLAKE2b of its bytes. A pair is
+verified by comparing the n-grams themselves. Rows are one class if their sets' digests agree; where
+their word sequences differ (by a 128-bit BLAKE2b digest), the sorted n-grams themselves are digested
+with 256 bits and must agree, or all hashes are drawn anew under another key.
+
+Skew: signatures that many rows share are found on a sample of the classes, which decides their route
+only: their buckets are combined before they are shuffled, dropped if they can give no pair, and
+joined to broadcast sums. Classes and nodes that many rows share go the same way (`quern.session.attach`).
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import bounded, cut, ship
+from quern.session import attach, bounded, cut, hot_keys, ship
 
 #: Sizes of a band reach from its first one to this many times it.
 BAND = 1.35
@@ -39,19 +50,19 @@ NEIGHBOURS = 32
 BITS = 8
 #: Counters of the frequency sketch.
 SKETCH = 1 << 16
-#: Bytes of text that are tokenised at once; longer texts are a block of their own.
-BLOCK = 1 << 18
+#: Bytes of a text that are split into words at once.
+PIECE = 1 << 20
+#: Words that a task remembers the hashes of, and their longest.
+KNOWN, KNOWN_BYTES = 300_000, 32
+#: N-grams that are compared at once.
+SLICE = 100_000
 #: Classes that a task remembers, so that it emits a copy's signatures once.
 SEEN = 500_000
+#: One class in so many is read to find the signatures that many rows share.
+SAMPLED = 64
 
 U = np.uint64
-_TABLE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_STEP = 0x9E3779B97F4A7C15
-_BACK = pow(_STEP, -1, 1 << 64)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 _PLACES = [int(x) | 1 for x in np.random.default_rng(12).integers(0, 1 << 63, 64, dtype=np.uint64)]
 
 
@@ -65,99 +76,109 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: list[np.ndarray] = []
-
-
-def _power_arrays(n: int) -> list[np.ndarray]:
-    """Powers of the hash's base and of its inverse, at least n of each."""
-    if not _powers or len(_powers[0]) < n:
-        made = []
-        for base in (_STEP, _BACK):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        _powers[:] = made
-    return _powers
-
-
-def ngram_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram hashes of the texts data[start:stop] (adjoining, in order), and how many each text has."""
-    texts = len(starts)
-    base, end = int(starts[0]), int(stops[-1])
-    if end <= base:
-        return np.empty(0, np.uint64), np.zeros(texts, np.int64)
-    b = _LOWER[data[base:end]]
-    word = ~_BLANK[b]
-    first = np.zeros(len(b) + 1, bool)  # a text starts here
-    first[starts - base] = True
-    begin = word.copy()
-    begin[1:] &= ~word[:-1] | first[1:-1]
-    close = word.copy()
-    close[:-1] &= ~word[1:] | first[1:-1]
-    w0, w1 = np.flatnonzero(begin), np.flatnonzero(close) + 1
-    if not len(w0):
-        return np.empty(0, np.uint64), np.zeros(texts, np.int64)
-    power, inverse = _power_arrays(len(b))
-    sums = np.empty(len(b) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_TABLE[b] * power[: len(b)], out=sums[1:])
-    hashes = mix((sums[w1] - sums[w0]) * inverse[w0] + (w1 - w0).astype(np.uint64) * U(_PLACES[63]))
-    edge = np.searchsorted(w0, np.append(starts, stops[-1]) - base)
-    n_words = np.diff(edge)
-    total = len(hashes)
-    grams = np.zeros(max(0, total - words + 1), np.uint64)
-    for k in range(words):
-        grams += hashes[k : total - words + 1 + k] * U(_PLACES[k])
-    grams = mix(grams)
-    # A window is inside one text if it starts before the text's last words - 1 words.
-    counts = np.maximum(n_words - words + 1, 0)
-    owner = np.repeat(np.arange(texts), n_words)[: len(grams)]
-    grams = grams[np.arange(len(grams)) - edge[owner] < counts[owner]]
-    short = np.flatnonzero((n_words > 0) & (n_words < words))
-    if len(short):
-        out, at = [], np.concatenate([[0], np.cumsum(counts)])
-        last = 0
-        for i in short:  # the whole sequence is the one element
-            seq = hashes[edge[i] : edge[i + 1]]
-            one = sum(int(h) * _PLACES[k] for k, h in enumerate(seq)) + len(seq) * _PLACES[62]
-            out += [grams[at[last] : at[i]], mix(np.array([one % (1 << 64)], np.uint64))]
-            last = i
-        grams = np.concatenate([*out, grams[at[last] :]])
-        counts = counts.copy()
-        counts[short] = 1
-    return grams, counts
-
-
-def text_sets(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, words: int) -> Iterator[np.ndarray]:
-    """The sorted set of n-gram hashes of each text."""
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(stops, starts[i] + BLOCK, "right")))
-        grams, counts = ngram_hashes(data, starts[i:j], stops[i:j], words)
-        at = np.concatenate([[0], np.cumsum(counts)])
-        for k in range(j - i):
-            yield np.unique(grams[at[k] : at[k + 1]])
-        i = j
-
-
-def column_sets(column, words: int) -> Iterator[np.ndarray]:
-    """The same for an Arrow column of strings; a null text has the empty set."""
+class Words(dict):
+    """Word (bytes) -> 64-bit hash, keyed by the seed; a bounded cache that forgets everything when full."""
+
+    def __init__(self, seed: int):
+        super().__init__()
+        self.key = seed.to_bytes(8, "little")
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(blake2b(word, digest_size=8, key=self.key).digest(), "little")
+        if len(word) <= KNOWN_BYTES:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[word] = h
+        return h
+
+
+def word_lists(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, lower-cased in A-Z, in pieces of about PIECE bytes that end between words."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            blank = _BLANK.search(text, end)
+            end = blank.start() if blank else len(text)
+        yield text[at:end].lower().split()
+        at = end
+
+
+def grams_of(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Hash of every n-gram of a sequence of word hashes, in order; of fewer words the one of them all."""
+    n = len(hashes)
+    if 0 < n < words:
+        one = sum(int(h) * _PLACES[k] for k, h in enumerate(hashes)) + n * _PLACES[62]
+        return mix(np.array([one % (1 << 64)], np.uint64))
+    grams = np.zeros(max(0, n - words + 1), np.uint64)
+    for k in range(words if n else 0):
+        grams += hashes[k : n - words + 1 + k] * U(_PLACES[k])
+    return mix(grams)
+
+
+def hashed(pieces: list[list[bytes]], known: Words) -> np.ndarray:
+    each = [np.fromiter(map(known.__getitem__, p), np.uint64, len(p)) for p in pieces]
+    return each[0] if len(each) == 1 else np.concatenate([np.empty(0, np.uint64), *each])
+
+
+def text_set(text: bytes, words: int, known: Words) -> np.ndarray:
+    """The sorted set of n-gram hashes of a text."""
+    return np.unique(grams_of(hashed(list(word_lists(text)), known), words))
+
+
+def texts_of(column) -> Iterator[bytes]:
+    """The texts of an Arrow column as bytes, one at a time; null is empty."""
     import pyarrow as pa
 
     text = column.cast(pa.large_string())
-    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
-    raw = text.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-    return text_sets(data, offsets[:-1], offsets[1:], words)
+    if not len(text):
+        return
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1].tolist()
+    data = memoryview(text.buffers()[2] or b"")
+    for a, b in zip(offsets, offsets[1:]):
+        yield bytes(data[a:b])
+
+
+def _grams_at(flat: list[bytes], at: Iterator[int], words: int) -> set[bytes]:
+    return {b" ".join(flat[i : i + words]) for i in at}
 
 
-def digests(s: np.ndarray, seed: int) -> tuple[int, int]:
-    """Two independent 64-bit digests of a set, signed."""
-    out = []
-    for k in (0, 1):
-        key = U(_PLACES[20 + 2 * (seed % 16) + k])
-        out.append(int(mix(s ^ key).sum(dtype=np.uint64)))
-    return tuple(x - (1 << 64) if x >= 1 << 63 else x for x in out)
+def overlap(a: bytes, b: bytes, words: int) -> tuple[int, int, int]:
+    """Sizes of the n-gram sets of two texts and of their intersection, by the n-grams themselves.
+
+    N-grams are compared in slices of their hashes, so that the sets in memory stay small.
+    """
+    known = Words(0)
+    sides = []
+    for text in (a, b):
+        flat = [w for piece in word_lists(text) for w in piece]
+        sides.append((flat, grams_of(hashed([flat], known), words)))
+    n = 1 + max(len(g) for _, g in sides) // SLICE
+    sizes = [0, 0, 0]
+    for k in range(n):
+        x, y = (_grams_at(flat, range(len(g)) if n == 1 else np.flatnonzero(g % U(n) == U(k)).tolist(), words) for flat, g in sides)
+        for i, part in enumerate((x, y, x & y)):
+            sizes[i] += len(part)
+    return tuple(sizes)
+
+
+def content_digest(text: bytes, words: int) -> bytes:
+    """256-bit digest of the sorted n-grams of a text themselves, slice by slice of their hashes."""
+    flat = [w for piece in word_lists(text) for w in piece]
+    g = grams_of(hashed([flat], Words(0)), words)
+    # As many slices whatever the text, so that equal sets of different texts are sliced alike.
+    size = len(np.unique(g))
+    n, out = 1 + size // SLICE, blake2b(digest_size=32)
+    for k in range(n):
+        for gram in sorted(_grams_at(flat, np.flatnonzero(g % U(n) == U(k)).tolist(), words)):
+            out.update(len(gram).to_bytes(8, "little") + gram)
+    return out.digest()
+
+
+def digest(s: np.ndarray) -> int:
+    """A 64-bit digest of a set, signed."""
+    x = int(mix(s ^ U(_PLACES[20])).sum(dtype=np.uint64))
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
 class Bands:
@@ -263,32 +284,37 @@ def parities(s: np.ndarray) -> list[int]:
 
 
 def _profile(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """A row per document (id, n, d1, d2, bits) and, per task, a row with its frequency sketch (counts)."""
+    """A row per document (id, th, n, d1, seq, bits) and, per task, a row with its frequency sketch (counts)."""
     import pyarrow as pa
 
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "d1", "d2", "bits", "counts"]
+        names = ["id", "th", "n", "d1", "seq", "bits", "counts"]
         kind = pa.struct([(f"b{i}", pa.int64()) for i in range(BITS)])
-        counts = np.zeros(SKETCH, np.int64)
+        counts, known = np.zeros(SKETCH, np.int64), Words(seed)
         for batch in batches:
-            n, d1, d2, bits = [], [], [], []
-            for s in column_sets(batch.column(1), words):
+            n, d1, seq, bits = [], [], [], []
+            for text in texts_of(batch.column(2)):
+                pieces = list(word_lists(text))
+                s = np.unique(grams_of(hashed(pieces, known), words))
+                order = blake2b(digest_size=16)
+                for p in pieces:
+                    if p:
+                        order.update(b" ".join(p) + b" ")
                 n.append(len(s))
-                a, b = digests(s, seed)
-                d1.append(a)
-                d2.append(b)
+                d1.append(digest(s))
+                seq.append(order.digest())
                 bits.append(parities(s))
                 np.add.at(counts, (s & U(SKETCH - 1)).astype(np.int64), 1)
             words_ = np.array(bits, np.int64).reshape(len(n), BITS)
             packed = pa.StructArray.from_arrays([pa.array(words_[:, i]) for i in range(BITS)], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), packed, pa.nulls(len(n), pa.binary())], names)
-        none = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), kind)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(seq, pa.binary()), packed, pa.nulls(len(n), pa.binary())], names)
+        none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), kind)]
         yield pa.RecordBatch.from_arrays([*none, pa.array([counts.tobytes()], pa.binary())], names)
 
     words_type = ", ".join(f"b{i}: bigint" for i in range(BITS))
-    return docs.mapInArrow(run, f"id long, n int, d1 long, d2 long, bits struct<{words_type}>, counts binary")
+    return docs.select("id", "th", "text").mapInArrow(run, f"id long, th long, n int, d1 long, seq binary, bits struct<{words_type}>, counts binary")
 
 
 def _sketch(profile: DataFrame) -> np.ndarray:
@@ -317,6 +343,7 @@ def _signatures(docs: DataFrame, words: int, percent: int, seed: int, sketch: np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         seen: set[tuple[int, int]] = set()
+        known = Words(seed)
 
         def flush():
             return pa.RecordBatch.from_arrays(
@@ -326,10 +353,11 @@ def _signatures(docs: DataFrame, words: int, percent: int, seed: int, sketch: np
 
         sigs, roles, owner, sizes, lengths, rows = [], [], [], [], [], 0
         for batch in batches:
-            for s in column_sets(batch.column(0), words):
+            for text in texts_of(batch.column(0)):
+                s = text_set(text, words, known)
                 if not len(s):
                     continue
-                key = (digests(s, seed)[0], len(s))
+                key = (digest(s), len(s))
                 if key in seen:
                     continue
                 if len(seen) >= SEEN:
@@ -353,47 +381,54 @@ def _signatures(docs: DataFrame, words: int, percent: int, seed: int, sketch: np
     return docs.select("text").mapInArrow(run, "sig long, d1 long, size int")
 
 
-def _buckets(signatures: DataFrame) -> DataFrame:
-    """sig, cls, role of the buckets with several classes, a row per class."""
-    bucket = Window.partitionBy("sig")
+def _over(rows: DataFrame, key: str, **sums: Column) -> DataFrame:
+    """rows with sums over all rows of the same key. Hot rows are combined before they are shuffled, the others meet in windows."""
+    cold = rows.filter("not hot").select("*", *[c.over(Window.partitionBy(key)).alias(name) for name, c in sums.items()])
+    hot = rows.filter("hot")
+    totals = hot.groupBy(key).agg(*[c.alias(name) for name, c in sums.items()])
+    return cold.unionByName(hot.join(F.broadcast(totals), key).select(*cold.columns))  # totals: a row per hot signature
+
+
+def _buckets(signatures: DataFrame, sample: DataFrame) -> DataFrame:
+    """sig, cls, role, hot of the buckets that can give a pair (several classes, a probe and an index row), a row per class."""
+    shared = hot_keys(sample.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")), "sig")
     rows = signatures.select(
         "sig",
         F.struct("d1", F.shiftright("size", 2).alias("n")).alias("cls"),
         F.col("size").bitwiseAND(3).alias("role"),
     )
-    met = rows.select("*", F.min("cls").over(bucket).alias("least"), F.max("cls").over(bucket).alias("most")).filter("least != most")
-    # A class comes from several tasks if its copies do; the rows of a bucket are sorted next to each other.
-    once = met.withColumn("before", F.lag("cls").over(bucket.orderBy("cls"))).filter("before is null or before != cls")
-    return once.select("sig", "cls", "role")
+    rows = rows.withColumn("hot", F.lit(False)) if shared is None else rows.join(F.broadcast(shared.withColumn("hot", F.lit(True))), "sig", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    met = _over(rows, "sig", least=F.min("cls"), most=F.max("cls"), roles=F.bit_or("role")).filter("least != most and roles = 3").select("sig", "cls", "role", "hot")
+    # A class comes from several tasks if its copies do.
+    return met.groupBy("sig", "cls").agg(F.bit_or("role").alias("role"), F.bool_or("hot").alias("hot"))
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _near_bits(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parity bitmaps differ in no more bits than similar sets have different elements."""
+    side = lambda name: classes.select(F.col("cls").alias(name), F.col("bits").alias(f"{name}_bits"))
+    shared = hot_keys(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rows")), "a")
+    both = attach(pairs.join(side("b"), "b"), side("a"), "a", shared)
+    differ = sum((F.bit_count(F.col(f"a_bits.b{i}").bitwiseXOR(F.col(f"b_bits.b{i}"))) for i in range(BITS)), F.lit(0))
+    return both.filter(differ * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)).select("a", "b")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of classes those that are similar. texts: cls, packed."""
+    """Of the pairs (a, b) of classes those that are similar, by their n-grams themselves. texts: cls, packed."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        last, kept = None, None
-
-        def one(z: bytes) -> np.ndarray:
-            raw = np.frombuffer(unpack(z), np.uint8)
-            return next(text_sets(raw, np.array([0]), np.array([len(raw)]), words))
-
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = x.as_py(), y.as_py()
-                if x != last:
-                    last, kept = x, one(x)
-                other = one(y)
-                both = len(kept) + len(other) - len(np.union1d(kept, other))
-                keep.append(100 * both >= percent * (len(kept) + len(other) - both))
+                m, n, both = overlap(unpack(x.as_py()), unpack(y.as_py()), words)
+                keep.append(100 * both >= percent * (m + n - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left = texts.select(F.col("cls").alias("a"), F.col("packed").alias("za"))
@@ -405,9 +440,15 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node that it reaches) of every node of the links (a, b).
 
-    Large-star and small-star steps in turn until nothing changes; each step is windows over a node's
-    links, which spill, and its result is written.
+    Large-star and small-star steps in turn until nothing changes. A node's smallest neighbour is a
+    combined aggregate; nodes with many links get it by a broadcast of a proven bound. Each step is written.
     """
+
+    def least(rows: DataFrame, total: int | None = None) -> DataFrame:
+        """rows (u, v) with m: the smallest v of the row's u."""
+        found = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("rows"))
+        return attach(rows, found.select("u", "m"), "u", hot_keys(found, "u", total))
+
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     before = None
     while True:
@@ -416,104 +457,145 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = tuple(state)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        large = least(both, 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u != v").distinct()
+        small = least(cut(large))
         moved = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-        edges = cut(least.select(moved.alias("e")).select("e.u", "e.v").filter("u != v").distinct())
+        edges = cut(small.select(moved.alias("e")).select("e.u", "e.v").filter("u != v").distinct())
 
 
-def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: id_col, n_shingles, component_id.
+def _classes(base: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(profile, rows, classes, seed): every row with its class, and the classes, each checked on content.
 
-    A text's set is its distinct n-grams of `words` words, lower-cased in A-Z; a text with fewer words
-    has its whole sequence as the one element, a text without words (or null) the empty set, which is
-    linked with nothing: its component_id is its own id. Two rows are linked if their sets' similarity
-    is at least `percent` hundredths; component_id is the smallest id reachable by links. Repeated rows
-    and ids are rows like others. Null ids are members of components, but never name one unless all its
-    ids are null. No rows give no rows. Other columns aren't read.
+    rep is the smallest id of a class, at the place (id and text hash) of one of its rows.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ship(docs.sparkSession)
     seed = 0
     while True:
         profile = cut(_profile(base, words, seed))
-        rows = profile.filter("counts is null").select("id", F.struct("d1", "n").alias("cls"), "d2", "bits")
-        facts = rows.filter("cls.n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.min("d2").alias("low"), F.max("d2").alias("high"), F.first("bits").alias("bits"))
-        classes = cut(facts)
-        if classes.filter("low != high").isEmpty():
-            break
-        seed += 1  # two different sets had one digest and one size
+        rows = profile.filter("counts is null").select("id", F.struct("id", "th").alias("at"), F.struct("d1", "n").alias("cls"), "seq", "bits")
+        facts = rows.filter("cls.n > 0").groupBy("cls")
+        classes = cut(facts.agg(F.min("id").alias("rep"), F.min("at").alias("at"), F.count(F.lit(1)).alias("rows"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.first("bits").alias("bits")))
+        mixed = classes.filter("low != high").select("cls")
+        if mixed.isEmpty() or _same_content(base, rows, mixed, words):
+            return profile, rows, classes, seed
+        seed += 1  # different sets had one digest and one size
+
+
+def _read(base: DataFrame, places: DataFrame) -> DataFrame:
+    """The columns of places beside `at`, and the text of every row at one of them."""
+    places = cut(places)
+    side = bounded(places, places.count(), 64)
+    on = F.col("id").eqNullSafe(F.col("at.id")) & F.col("th").eqNullSafe(F.col("at.th"))
+    return base.join(side, on).select(*[c for c in places.columns if c != "at"], "text")
+
+
+def _same_content(base: DataFrame, rows: DataFrame, mixed: DataFrame, words: int) -> bool:
+    """Whether all rows of each of the classes have the same n-grams; each word sequence is read once."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([content_digest(t, words) for t in texts_of(batch.column(1))], pa.binary())], ["cls", "content"])
+
+    members = rows.join(mixed, "cls", "left_semi").groupBy("cls", "seq").agg(F.min("at").alias("at")).select("cls", "at")
+    found = _read(base, members).mapInArrow(run, "cls struct<d1:bigint,n:int>, content binary")
+    return found.groupBy("cls").agg((F.min("content") == F.max("content")).alias("same")).filter("not same").isEmpty()
+
+
+def _class_texts(base: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, seed: int) -> DataFrame:
+    """cls and a compressed text of every class in the pairs, a row each, written once."""
+    import pyarrow as pa
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z(t) for t in texts_of(batch.column(1))], pa.binary())], ["cls", "packed"])
+
+    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    texts = _read(base, classes.join(wanted, "cls", "left_semi").select("cls", "at"))
+    return cut(texts.mapInArrow(pack, "cls struct<d1:bigint,n:int>, packed binary").groupBy("cls").agg(F.min("packed").alias("packed")))
+
+
+def _meetings(base: DataFrame, profile: DataFrame, rows: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+    """The buckets: sig, cls, role, hot."""
     sketch = _sketch(profile)
     everything = rows.count()
-    buckets = cut(_buckets(_signatures(base, words, percent, seed, sketch, everything)))
+    signatures = lambda docs: _signatures(docs, words, percent, seed, sketch, everything)
+    return cut(_buckets(signatures(base), signatures(base.filter(F.pmod(F.xxhash64("id", "th"), F.lit(SAMPLED)) == 0))))
 
-    # First the pivots: in each bucket the class that meets most others, and for each class the pivot that it meets most often.
-    met = buckets.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("sig"))).groupBy("cls").agg(F.sum("k").alias("weight"))
-    pivoted = buckets.join(met, "cls").withColumn("pivot", F.max(F.struct("weight", "cls")).over(Window.partitionBy("sig"))["cls"])
-    pairs = pivoted.filter((F.col("cls") != F.col("pivot")) & _similar_sizes(F.col("cls.n"), F.col("pivot.n"), percent)).groupBy("pivot", "cls").agg(F.count(F.lit(1)).alias("times"))
-    stars = cut(pairs.groupBy("cls").agg(F.max(F.struct("times", "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("cls").alias("b")))
-    links = cut(_verify(stars, _class_texts(base, classes, stars, words, seed), words, percent))
-    roots = components(links)
 
-    # Then what is still apart: pairs of a probe and an index row of one bucket in different components.
-    apart = _apart(buckets, roots).join(classes.select("cls", "bits"), "cls")
-    a, b = apart.alias("a"), apart.alias("b")
+def _crossing(meeting: DataFrame, percent: int, apart: bool) -> DataFrame:
+    """Distinct pairs (a < b) of a probe and an index row of one bucket whose sizes and bitmaps let them be similar."""
+    a, b = meeting.alias("a"), meeting.alias("b")
     met = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.role").bitwiseAND(2) != 0) & (F.col("b.role").bitwiseAND(1) != 0)
     differ = sum((F.bit_count(F.col(f"a.bits.b{i}").bitwiseXOR(F.col(f"b.bits.b{i}"))) for i in range(BITS)), F.lit(0))
     near = differ * (100 + percent) <= (F.col("a.cls.n") + F.col("b.cls.n")) * (100 - percent)
-    on = met & (F.col("a.root") != F.col("b.root")) & (F.col("a.cls.n") <= F.col("b.cls.n")) & _similar_sizes(F.col("a.cls.n"), F.col("b.cls.n"), percent) & near
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    crossing = a.join(b, on).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).select(*ordered).distinct()
-    rest = cut(crossing.join(stars.select(*ordered), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = cut(_verify(rest, _class_texts(base, classes, rest, words, seed), words, percent))
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+    other = F.col("a.root") != F.col("b.root") if apart else F.col("a.cls") != F.col("b.cls")
+    on = met & other & (F.col("a.cls.n") <= F.col("b.cls.n")) & _similar_sizes(F.col("a.cls.n"), F.col("b.cls.n"), percent) & near
+    return a.join(b, on).select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct()
 
-    placed = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = placed.join(least, "root").select("cls", "component_id")
-    out = rows.join(named, "cls", "left")
-    return out.select(F.col("id").alias(id_col), F.col("cls.n").cast("long").alias("n_shingles"), F.when(F.col("cls.n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    ship(docs.sparkSession)
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
 
-def _apart(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of buckets that still hold several components, with the component of each class."""
-    rooted = buckets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    bucket = Window.partitionBy("sig")
-    ends = rooted.select("*", F.min("root").over(bucket).alias("least"), F.max("root").over(bucket).alias("most"))
-    return ends.filter("least != most").drop("least", "most")
 
+def ngram_links(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links, members): all pairs a < b of linked classes, and id_col and cls of every row with words.
+
+    A class is the rows with equal sets of n-grams; links inside a class aren't listed. No link is left
+    out, so a group of near copies that are all linked costs its pairs, which `ngram_join` doesn't make.
+    Texts without words are in no class. No rows give no rows.
+    """
+    base = _base(docs, id_col, text_col)
+    profile, rows, classes, seed = _classes(base, words)
+    buckets = _meetings(base, profile, rows, words, percent, seed)
+    pairs = cut(_crossing(buckets.join(classes.select("cls", "bits"), "cls"), percent, False))
+    links = cut(_verify(pairs, _class_texts(base, classes, pairs, words, seed), words, percent))
+    return links, rows.filter("cls.n > 0").select(F.col("id").alias(id_col), "cls")
 
-def _class_texts(base: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, seed: int) -> DataFrame:
-    """cls and a compressed text of every class in the pairs, written once.
 
-    A class is found by the smallest id that has it. An id may repeat with other texts, so the set of
-    each text that is read is digested again.
+def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: id_col, n_shingles, component_id.
+
+    A text's set is its distinct n-grams of `words` words, lower-cased in A-Z; a text with fewer words
+    has its whole sequence as the one element, a text without words (or null) the empty set, which is
+    linked with nothing: its component_id is its own id. Two rows are linked if their sets' similarity
+    is at least `percent` hundredths; component_id is the smallest id reachable by links. Repeated rows
+    and ids are rows like others. Null ids are members of components, but never name one unless all its
+    ids are null. No rows give no rows. Other columns aren't read.
     """
-    import pyarrow as pa
+    base = _base(docs, id_col, text_col)
+    profile, rows, classes, seed = _classes(base, words)
+    buckets = _meetings(base, profile, rows, words, percent, seed)
 
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    ids = cut(classes.join(wanted, "cls", "left_semi").select(F.col("rep").alias("id"), F.col("cls").alias("want")))
+    # First the pivots: in each bucket the class that meets most others, and for each class the pivot that it meets most often.
+    met = _over(buckets, "sig", k=F.count(F.lit(1))).groupBy("cls").agg(F.sum("k").alias("weight"))
+    pivoted = _over(buckets.join(met, "cls"), "sig", first=F.max(F.struct("weight", "cls"))).withColumn("pivot", F.col("first.cls"))
+    pairs = pivoted.filter((F.col("cls") != F.col("pivot")) & _similar_sizes(F.col("cls.n"), F.col("pivot.n"), percent)).groupBy("pivot", "cls").agg(F.count(F.lit(1)).alias("times"))
+    stars = cut(pairs.groupBy("cls").agg(F.max(F.struct("times", "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("cls").alias("b")))
+    near = cut(_near_bits(stars, classes, percent))
+    links = cut(_verify(near, _class_texts(base, classes, near, words, seed), words, percent))
+    roots = components(links)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+    # Then what is still apart: pairs of a probe and an index row of one bucket in different components.
+    rooted = buckets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    apart = _over(rooted, "sig", least=F.min("root"), most=F.max("root")).filter("least != most").drop("least", "most")
+    crossing = _crossing(apart.join(classes.select("cls", "bits"), "cls"), percent, True)
+    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = cut(crossing.join(seen, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        more = cut(_verify(rest, _class_texts(base, classes, rest, words, seed), words, percent))
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
 
-        z = zstandard.ZstdCompressor(level=3).compress
-        packed_here = set()
-        for batch in batches:
-            keep, packed = [], []
-            for s, want, text in zip(column_sets(batch.column(1), words), batch.column(0), batch.column(1)):
-                want = want.as_py()
-                key = (want["d1"], want["n"])
-                same = (digests(s, seed)[0], len(s)) == key and key not in packed_here
-                packed_here.add(key)
-                keep.append(same)
-                if same:
-                    packed.append(z(text.as_py().encode("utf-8", "replace")))
-            cls = batch.column(0).filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([cls, pa.array(packed, pa.binary())], ["cls", "packed"])
-
-    # Null-safe: a class whose ids are all null is represented by those rows.
-    found = base.join(bounded(ids, ids.count()).withColumnRenamed("id", "rep"), F.col("id").eqNullSafe(F.col("rep"))).select("want", "text")
-    return cut(found.mapInArrow(pack, "cls struct<d1:bigint,n:int>, packed binary"))
+    # Most classes are a component of their own; of the others, large components are attached by broadcast.
+    member = cut(roots.withColumnRenamed("node", "cls").join(classes.select("cls", "rep"), "cls"))
+    least = member.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    joined = attach(member.select("cls", "root"), least.select("root", "component_id"), "root", hot_keys(least, "root"))
+    named = cut(classes.select("cls", "rep", "rows").join(joined.select("cls", "component_id"), "cls", "left").select("cls", "rows", F.coalesce("component_id", "rep").alias("component_id")))
+    full, blank = rows.filter("cls.n > 0").select("id", "cls"), rows.filter("cls.n = 0").select("id", "cls", F.col("id").alias("component_id"))
+    out = attach(full, named.select("cls", "component_id"), "cls", hot_keys(named, "cls")).select("id", "cls", "component_id").unionByName(blank)
+    return out.select(F.col("id").alias(id_col), F.col("cls.n").cast("long").alias("n_shingles"), "component_id")

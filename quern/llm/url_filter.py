@@ -8,7 +8,7 @@ time is an added one.
 
 Every URL stands for a few keys (its host's suffixes and its path's prefixes up to the deepest
 listed), so the join is an equality on the key plus the interval. The interval side is broadcast when
-its count allows it; beyond that, intervals are repeated under SALTS salts and captures pick one, so a
+its measured bytes allow it; beyond that, intervals are repeated under SALTS salts and captures pick one, so a
 host with a third of all captures is spread.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import BROADCAST_ROWS
+from quern.session import BROADCAST_BYTES
 
 SALTS = 16
 FOREVER = "9999-12-31 00:00:00"
@@ -63,7 +63,7 @@ def _keys(host: Column, path: Column, depth: int) -> Column:
     return found
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetch_time", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetch_time", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per capture: id_col, url_col, time_col, host, lists, matched, blocked.
 
     lists are the names of the lists that hold the capture at its fetch time, sorted and distinct;
@@ -73,14 +73,15 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     read.
     """
     spans = intervals(entries).filter("added").select("list", "kind", "key", "valid_from", "valid_to")
-    # Driver-side facts about the list, two numbers: how many intervals, how deep its prefixes.
-    facts = spans.agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("kind") == "prefix", F.size(F.split("key", "/")) - 1)).alias("depth")).first()
+    # Driver-side facts about the list, two numbers: how many bytes its intervals have, how deep its prefixes are.
+    width = F.octet_length("list") + F.octet_length("kind") + F.octet_length("key") + 64
+    facts = spans.agg(F.sum(width).alias("bytes"), F.max(F.when(F.col("kind") == "prefix", F.size(F.split("key", "/")) - 1)).alias("depth")).first()
     host = host_of(F.col(url_col))
     rows = captures.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).cast("timestamp").alias("at"), host.alias("host"))
     keys = F.when(F.col("host").isNotNull(), F.array_distinct(_keys(F.col("host"), path_of(F.col("url")), facts["depth"] or 0)))
     probes = rows.select("*", F.explode_outer(keys).alias("k")).select("row", "id", "url", "at", "host", "k.kind", "k.key")
     on = ["kind", "key"]
-    if facts["n"] <= broadcast_rows:
+    if (facts["bytes"] or 0) <= broadcast_bytes:
         side = F.broadcast(spans)
     else:
         side, on = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["kind", "key", "salt"]

@@ -74,6 +74,51 @@ def test_ngram_join_equals_brute_force(spark, words, percent):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def _thue_morse(n):
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_decide_in_the_ngram_join(spark, n):
+    a, b = _thue_morse(n)
+    texts = [a, b, f"x {a} y z", f"x {b} y z", f"x {a} y z"]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in ngram_join.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(5)] == list(zip(*_brute_components(texts, 4, 85)))
+    assert got[0][0] != got[1][0] and got[2] == got[4]
+
+
+def test_ngram_join_checks_classes_and_pairs_on_content(spark, monkeypatch):
+    """With a word hash that maps words to one letter, different sets share digests and n-grams until another key is drawn."""
+    texts = ["aa b c d e", "ab b c d e", "ac b c d e f", "aa b c d e", "q"]
+    fine, seeds = ngram_join.Words.__missing__, []
+
+    def weak(self, word):
+        seeds.append(self.key)
+        return fine(self, word[:1] if int.from_bytes(self.key, "little") == 0 else word)
+
+    rows, known = list(enumerate(texts)), ngram_join.Words(0)
+    sizes = [ngram_join.overlap(a.encode(), b.encode(), 4) for a in texts for b in texts]
+    brute = [{tuple(t.split()[i : i + 4]) for i in range(max(1, len(t.split()) - 3))} for t in texts]
+    assert sizes == [(len(a), len(b), len(a & b)) for a in brute for b in brute]
+    assert ngram_join.content_digest(b"a b c d a b c d a", 4) == ngram_join.content_digest(b"a b c d a b c d a b c d", 4) != ngram_join.content_digest(b"a b c d a b c e", 4)
+    monkeypatch.setattr(ngram_join.Words, "__missing__", weak)
+    monkeypatch.setattr(ngram_join, "SLICE", 1)
+    assert ngram_join.overlap(b"aa b c d e f", b"ab b c d e f", 4) == (3, 3, 2) and len(rows) == 5 and known is not None and seeds
+    assert ngram_join.digest(ngram_join.text_set(b"aa b c d e", 4, ngram_join.Words(0))) == ngram_join.digest(ngram_join.text_set(b"ab b c d e", 4, ngram_join.Words(0)))
+    assert ngram_join.content_digest(b"aa b c d e", 4) != ngram_join.content_digest(b"ab b c d e", 4)
+
+
+def test_ngram_links_are_all_links(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in (3, 4, 30, 50)] + [" ".join(base), " ".join(base), "", "other words of a text"]
+    links, members = ngram_join.ngram_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    cls = {r.doc_id: tuple(r.cls) for r in members.collect()}
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    want = {tuple(sorted((cls[i], cls[j]))) for i in cls for j in cls if cls[i] != cls[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert {(tuple(r.a), tuple(r.b)) for r in links.collect()} == want and len(want) >= 4 and set(cls) == {0, 1, 2, 3, 4, 5, 7}
+
+
 def test_allocation_always_reaches_the_need():
     rng = np.random.default_rng(1)
     for _ in range(300):
@@ -221,8 +266,8 @@ def test_url_list_is_judged_as_of_the_fetch(spark):
       ('ads', 'host', 'x.bad.com', timestamp'2024-03-01', 'add'), ('ads', 'prefix', 'ok.org/en', timestamp'2024-01-01', 'add'), (null, 'host', 'ok.org', timestamp'2024-01-01', 'add') AS t(list, kind, key, date, action)""")
     captures = spark.sql("""SELECT * FROM VALUES (1, 'http://a.bad.com/', timestamp'2024-01-10'), (2, 'http://a.bad.com/', timestamp'2024-02-10'), (3, 'http://u@X.bad.com.:80/z', timestamp'2024-03-02'),
       (4, 'https://ok.org/EN/page?q', timestamp'2024-05-01'), (5, null, timestamp'2024-05-01'), (6, 'http://a.bad.com/', null), (1, 'http://a.bad.com/', timestamp'2024-01-10') AS t(page_id, url, fetch_time)""")
-    for rows in (1_000_000, 0):  # broadcast, and salted
-        got = url_filter.filter_urls(captures, entries, broadcast_rows=rows).collect()
+    for size in (1_000_000, 0):  # broadcast, and salted
+        got = url_filter.filter_urls(captures, entries, broadcast_bytes=size).collect()
         assert sorted((r.page_id, r.blocked) for r in got) == [(1, True), (1, True), (2, False), (3, True), (4, True), (5, False), (6, False)]
 
 
