@@ -19,7 +19,7 @@ still in different components are verified too, but for those whose parity bitma
 more bits than similar sets have different elements. So a large group of near copies costs a star, and
 no link between components is lost.
 
-Hashes only find candidates; words decide. A word's hash is keyed BLAKE2b of its bytes. A pair is
+Hashes only find candidates; words decide. A word's hash is keyed and not linear in its bytes. A pair is
 verified by comparing the n-grams themselves. Rows are one class if their sets' digests agree; where
 their word sequences differ (by a 128-bit BLAKE2b digest), the sorted n-grams themselves are digested
 with 256 bits and must agree, or all hashes are drawn anew under another key.
@@ -52,8 +52,8 @@ BITS = 8
 SKETCH = 1 << 16
 #: Bytes of a text that are split into words at once.
 PIECE = 1 << 20
-#: Words that a task remembers the hashes of, and their longest.
-KNOWN, KNOWN_BYTES = 300_000, 32
+#: Bytes of short texts that are hashed together, and bytes of a word beyond which it is hashed on its own.
+BLOCK, LONG = 1 << 18, 256
 #: N-grams that are compared at once.
 SLICE = 100_000
 #: Classes that a task remembers, so that it emits a copy's signatures once.
@@ -62,7 +62,11 @@ SEEN = 500_000
 SAMPLED = 64
 
 U = np.uint64
-_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+_BLANKS = re.compile(rb"[\x20\x09-\x0d]")
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: The first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _PLACES = [int(x) | 1 for x in np.random.default_rng(12).integers(0, 1 << 63, 64, dtype=np.uint64)]
 
 
@@ -76,34 +80,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Words(dict):
-    """Word (bytes) -> 64-bit hash, keyed by the seed; a bounded cache that forgets everything when full."""
-
-    def __init__(self, seed: int):
-        super().__init__()
-        self.key = seed.to_bytes(8, "little")
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(blake2b(word, digest_size=8, key=self.key).digest(), "little")
-        if len(word) <= KNOWN_BYTES:
-            if len(self) >= KNOWN:
-                self.clear()
-            self[word] = h
-        return h
-
-
 def word_lists(text: bytes) -> Iterator[list[bytes]]:
     """The words of a text, lower-cased in A-Z, in pieces of about PIECE bytes that end between words."""
+    for piece in pieces(text):
+        yield piece.lower().split()
+
+
+def pieces(text: bytes) -> Iterator[bytes]:
     at = 0
     while at < len(text):
         end = at + PIECE
         if end < len(text):
-            blank = _BLANK.search(text, end)
+            blank = _BLANKS.search(text, end)
             end = blank.start() if blank else len(text)
-        yield text[at:end].lower().split()
+        yield text[at:end]
         at = end
 
 
+def word_hashes(text: bytes, edges: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of adjoining texts, text i from edges[i] to edges[i + 1], and how many each text has.
+
+    A hash takes in 8 bytes at a time, each step a multiplication and a mixing, so it isn't linear in the
+    bytes; words of up to 8 bytes and one length never collide. Words over LONG bytes are BLAKE2b's.
+    """
+    b = np.frombuffer(text.lower() + bytes(8), np.uint8)
+    word = ~_BLANK[b]
+    word[len(text) :] = False
+    first = np.zeros(len(b) + 1, bool)  # a text starts here
+    first[edges] = True
+    begin = word.copy()
+    begin[1:] &= ~word[:-1] | first[1:-1]
+    close = word
+    close[:-1] &= ~word[1:] | first[1:-1]
+    w0, w1 = np.flatnonzero(begin), np.flatnonzero(close) + 1
+    n_words = np.diff(np.searchsorted(w0, edges))
+    size = w1 - w0
+    loads = np.ndarray((len(b) - 7,), "<u8", b, strides=(1,))
+    h = mix(size.astype(np.uint64) * U(_PLACES[63]) + U((seed * _PLACES[61] + _PLACES[60]) % (1 << 64)))
+    at, left, some = w0, size, slice(None)
+    while len(at):
+        h[some] = mix(h[some] * U(_PLACES[59]) ^ (loads[at] & _FIRST[np.minimum(left, 8)]))
+        keep = np.flatnonzero((left > 8) & (left <= LONG))
+        some = keep if isinstance(some, slice) else some[keep]
+        at, left = at[keep] + 8, left[keep] - 8
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(blake2b(b[w0[i] : w1[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
+    return h, n_words
+
+
+def sequence(text: bytes, seed: int) -> np.ndarray:
+    """Hashes of the words of one text, piece by piece."""
+    each = [word_hashes(p, np.array([0, len(p)]), seed)[0] for p in pieces(text)]
+    return np.concatenate([np.empty(0, np.uint64), *each])
+
+
 def grams_of(hashes: np.ndarray, words: int) -> np.ndarray:
     """Hash of every n-gram of a sequence of word hashes, in order; of fewer words the one of them all."""
     n = len(hashes)
@@ -116,27 +146,34 @@ def grams_of(hashes: np.ndarray, words: int) -> np.ndarray:
     return mix(grams)
 
 
-def hashed(pieces: list[list[bytes]], known: Words) -> np.ndarray:
-    each = [np.fromiter(map(known.__getitem__, p), np.uint64, len(p)) for p in pieces]
-    return each[0] if len(each) == 1 else np.concatenate([np.empty(0, np.uint64), *each])
-
-
-def text_set(text: bytes, words: int, known: Words) -> np.ndarray:
-    """The sorted set of n-gram hashes of a text."""
-    return np.unique(grams_of(hashed(list(word_lists(text)), known), words))
+def text_sets(texts: list[bytes], words: int, seed: int) -> Iterator[np.ndarray]:
+    """The sorted set of n-gram hashes of each text; short texts are hashed together."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= BLOCK):
+            size += len(texts[j])
+            j += 1
+        if j == i + 1:
+            yield np.unique(grams_of(sequence(texts[i], seed), words))
+        else:
+            h, n = word_hashes(b"".join(texts[i:j]), np.cumsum([0, *map(len, texts[i:j])]), seed)
+            at = np.cumsum([0, *n]).tolist()
+            for k in range(j - i):
+                yield np.unique(grams_of(h[at[k] : at[k + 1]], words))
+        i = j
 
 
-def texts_of(column) -> Iterator[bytes]:
-    """The texts of an Arrow column as bytes, one at a time; null is empty."""
+def texts_of(column) -> list[bytes]:
+    """The texts of an Arrow column as bytes; null is empty."""
     import pyarrow as pa
 
     text = column.cast(pa.large_string())
     if not len(text):
-        return
+        return []
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1].tolist()
     data = memoryview(text.buffers()[2] or b"")
-    for a, b in zip(offsets, offsets[1:]):
-        yield bytes(data[a:b])
+    return [bytes(data[a:b]) for a, b in zip(offsets, offsets[1:])]
 
 
 def _grams_at(flat: list[bytes], at: Iterator[int], words: int) -> set[bytes]:
@@ -148,11 +185,7 @@ def overlap(a: bytes, b: bytes, words: int) -> tuple[int, int, int]:
 
     N-grams are compared in slices of their hashes, so that the sets in memory stay small.
     """
-    known = Words(0)
-    sides = []
-    for text in (a, b):
-        flat = [w for piece in word_lists(text) for w in piece]
-        sides.append((flat, grams_of(hashed([flat], known), words)))
+    sides = [([w for piece in word_lists(text) for w in piece], grams_of(sequence(text, 0), words)) for text in (a, b)]
     n = 1 + max(len(g) for _, g in sides) // SLICE
     sizes = [0, 0, 0]
     for k in range(n):
@@ -165,7 +198,7 @@ def overlap(a: bytes, b: bytes, words: int) -> tuple[int, int, int]:
 def content_digest(text: bytes, words: int) -> bytes:
     """256-bit digest of the sorted n-grams of a text themselves, slice by slice of their hashes."""
     flat = [w for piece in word_lists(text) for w in piece]
-    g = grams_of(hashed([flat], Words(0)), words)
+    g = grams_of(sequence(text, 0), words)
     # As many slices whatever the text, so that equal sets of different texts are sliced alike.
     size = len(np.unique(g))
     n, out = 1 + size // SLICE, blake2b(digest_size=32)
@@ -292,14 +325,13 @@ def _profile(docs: DataFrame, words: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "th", "n", "d1", "seq", "bits", "counts"]
         kind = pa.struct([(f"b{i}", pa.int64()) for i in range(BITS)])
-        counts, known = np.zeros(SKETCH, np.int64), Words(seed)
+        counts = np.zeros(SKETCH, np.int64)
         for batch in batches:
             n, d1, seq, bits = [], [], [], []
-            for text in texts_of(batch.column(2)):
-                pieces = list(word_lists(text))
-                s = np.unique(grams_of(hashed(pieces, known), words))
+            texts = texts_of(batch.column(2))
+            for text, s in zip(texts, text_sets(texts, words, seed)):
                 order = blake2b(digest_size=16)
-                for p in pieces:
+                for p in word_lists(text):
                     if p:
                         order.update(b" ".join(p) + b" ")
                 n.append(len(s))
@@ -343,7 +375,6 @@ def _signatures(docs: DataFrame, words: int, percent: int, seed: int, sketch: np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         seen: set[tuple[int, int]] = set()
-        known = Words(seed)
 
         def flush():
             return pa.RecordBatch.from_arrays(
@@ -353,8 +384,7 @@ def _signatures(docs: DataFrame, words: int, percent: int, seed: int, sketch: np
 
         sigs, roles, owner, sizes, lengths, rows = [], [], [], [], [], 0
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                s = text_set(text, words, known)
+            for s in text_sets(texts_of(batch.column(0)), words, seed):
                 if not len(s):
                     continue
                 key = (digest(s), len(s))

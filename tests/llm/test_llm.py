@@ -88,25 +88,34 @@ def test_words_decide_in_the_ngram_join(spark, n):
     assert got[0][0] != got[1][0] and got[2] == got[4]
 
 
-def test_ngram_join_checks_classes_and_pairs_on_content(spark, monkeypatch):
-    """With a word hash that maps words to one letter, different sets share digests and n-grams until another key is drawn."""
-    texts = ["aa b c d e", "ab b c d e", "ac b c d e f", "aa b c d e", "q"]
-    fine, seeds = ngram_join.Words.__missing__, []
-
-    def weak(self, word):
-        seeds.append(self.key)
-        return fine(self, word[:1] if int.from_bytes(self.key, "little") == 0 else word)
-
-    rows, known = list(enumerate(texts)), ngram_join.Words(0)
-    sizes = [ngram_join.overlap(a.encode(), b.encode(), 4) for a in texts for b in texts]
-    brute = [{tuple(t.split()[i : i + 4]) for i in range(max(1, len(t.split()) - 3))} for t in texts]
-    assert sizes == [(len(a), len(b), len(a & b)) for a in brute for b in brute]
-    assert ngram_join.content_digest(b"a b c d a b c d a", 4) == ngram_join.content_digest(b"a b c d a b c d a b c d", 4) != ngram_join.content_digest(b"a b c d a b c e", 4)
-    monkeypatch.setattr(ngram_join.Words, "__missing__", weak)
-    monkeypatch.setattr(ngram_join, "SLICE", 1)
-    assert ngram_join.overlap(b"aa b c d e f", b"ab b c d e f", 4) == (3, 3, 2) and len(rows) == 5 and known is not None and seeds
-    assert ngram_join.digest(ngram_join.text_set(b"aa b c d e", 4, ngram_join.Words(0))) == ngram_join.digest(ngram_join.text_set(b"ab b c d e", 4, ngram_join.Words(0)))
-    assert ngram_join.content_digest(b"aa b c d e", 4) != ngram_join.content_digest(b"ab b c d e", 4)
+def test_ngram_sets_and_digests_are_of_the_words(monkeypatch):
+    texts = ["aa b c d e", "ab b c d e", "ac b c d e f", "AA  b\tc d e", "q", "", "x" * 300 + " y", "x" * 299 + "z y", "\0 a", "a \0\0", "é" * 9 + " b c d e f g h i j k l m n"]
+    brute = [{tuple(t.lower().split()[i : i + 4]) for i in range(max(1, len(t.split()) - 3))} - {()} for t in texts]
+    raw = [t.encode() for t in texts]
+    for slice_, piece, block in ((100_000, 1 << 20, 1 << 18), (1, 3, 8)):
+        monkeypatch.setattr(ngram_join, "SLICE", slice_)
+        monkeypatch.setattr(ngram_join, "PIECE", piece)
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        assert [ngram_join.overlap(a, b, 4) for a in raw for b in raw] == [(len(a), len(b), len(a & b)) for a in brute for b in brute]
+        sets = [frozenset(s.tolist()) for s in ngram_join.text_sets(raw, 4, 3)]
+        assert [len(a & b) for a in sets for b in sets] == [len(a & b) for a in brute for b in brute]
+        digests = [ngram_join.content_digest(t, 4) for t in raw]
+        assert [a == b for a in digests for b in digests] == [a == b for a in brute for b in brute]
+        assert ngram_join.content_digest(b"a b c d a b c d a", 4) == ngram_join.content_digest(b"a b c d a b c d a b c d", 4) != ngram_join.content_digest(b"a b c d a b c e", 4)
+
+
+def test_ngram_classes_are_drawn_anew_when_digests_collide(spark, monkeypatch):
+    """The first key's digests are equal for all sets of one size; content tells them apart."""
+    fine = ngram_join._profile
+
+    def weak(base, words, seed):
+        return fine(base, words, seed) if seed else fine(base, words, seed).withColumn("d1", F.lit(5).cast("long"))
+
+    texts = ["a b c d e", "v w x y z", "a b c d e", "one", "two", None, "a b c d e f"]
+    want = list(zip(*_brute_components(texts, 4, 85)))
+    monkeypatch.setattr(ngram_join, "_profile", weak)
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in ngram_join.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(7)] == want
 
 
 def test_ngram_links_are_all_links(spark):
