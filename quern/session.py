@@ -75,14 +75,14 @@ def bounded(df: DataFrame, rows: int, width: int = 64) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
-def hot_keys(counts: DataFrame, key: str, total: int | None = None) -> DataFrame | None:
+def hot_keys(counts: DataFrame, key: str, total: int | None = None, least: int = HOT_LEAST) -> DataFrame | None:
     """The hot keys of `counts` (a row per key with its `rows`), at most HOT_KEYS of them; None if there are none.
 
     They are collected: a bounded number of narrow values (keys of bounded width only).
     """
     if total is None:
         total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    hot = counts.filter(F.col("rows") > max(HOT_LEAST, total // HOT_KEYS)).select(key)
+    hot = counts.filter(F.col("rows") > max(least, total // HOT_KEYS)).select(key)
     found = hot.collect()
     return counts.sparkSession.createDataFrame(found, hot.schema) if found else None
 
