@@ -419,18 +419,24 @@ def _over(rows: DataFrame, key: str, **sums: Column) -> DataFrame:
     return cold.unionByName(hot.join(F.broadcast(totals), key).select(*cold.columns))  # totals: a row per hot signature
 
 
+def _flagged(rows: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """rows with hot: their signature is one of the shared ones."""
+    if shared is None:
+        return rows.withColumn("hot", F.lit(False))
+    return rows.join(F.broadcast(shared.withColumn("hot", F.lit(True))), "sig", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
 def _buckets(signatures: DataFrame, sample: DataFrame) -> DataFrame:
-    """sig, cls, role, hot of the buckets that can give a pair (several classes, a probe and an index row), a row per class."""
-    shared = hot_keys(sample.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")), "sig")
+    """sig, cls, role of the buckets that can give a pair (several classes, a probe and an index row), a row per class."""
+    shared = hot_keys(sample.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")), "sig", least=8)
     rows = signatures.select(
         "sig",
         F.struct("d1", F.shiftright("size", 2).alias("n")).alias("cls"),
         F.col("size").bitwiseAND(3).alias("role"),
     )
-    rows = rows.withColumn("hot", F.lit(False)) if shared is None else rows.join(F.broadcast(shared.withColumn("hot", F.lit(True))), "sig", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    met = _over(rows, "sig", least=F.min("cls"), most=F.max("cls"), roles=F.bit_or("role")).filter("least != most and roles = 3").select("sig", "cls", "role", "hot")
+    met = _over(_flagged(rows, shared), "sig", least=F.min("cls"), most=F.max("cls"), roles=F.bit_or("role")).filter("least != most and roles = 3")
     # A class comes from several tasks if its copies do.
-    return met.groupBy("sig", "cls").agg(F.bit_or("role").alias("role"), F.bool_or("hot").alias("hot"))
+    return met.groupBy("sig", "cls").agg(F.bit_or("role").alias("role"))
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -552,7 +558,8 @@ def _meetings(base: DataFrame, profile: DataFrame, rows: DataFrame, words: int,
     sketch = _sketch(profile)
     everything = rows.count()
     signatures = lambda docs: _signatures(docs, words, percent, seed, sketch, everything)
-    return cut(_buckets(signatures(base), signatures(base.filter(F.pmod(F.xxhash64("id", "th"), F.lit(SAMPLED)) == 0))))
+    buckets = cut(_buckets(signatures(base), signatures(base.filter(F.pmod(F.xxhash64("id", "th"), F.lit(SAMPLED)) == 0))))
+    return _flagged(buckets, hot_keys(buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")), "sig"))
 
 
 def _crossing(meeting: DataFrame, percent: int, apart: bool) -> DataFrame:
