@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import exact_dedup, language_id, mixing, ngram_join, sentencepiece_codec
+from quern.llm.queries import PIECES
 from quern.session import cut
 
 #: Set to a DuckDB query where SQL can express every stage.
@@ -58,7 +59,7 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def stage_sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode_decode(docs, sentencepiece_codec.load())
+    return sentencepiece_codec.encode_decode(docs, sentencepiece_codec.load(PIECES))
 
 
 STAGES = [

@@ -205,9 +205,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
+#: The tokenizer of the SentencePiece queries, a public file.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentencepiece_codec.encode_decode(docs, sentencepiece_codec.load())
+    return sentencepiece_codec.encode_decode(docs, sentencepiece_codec.load(PIECES))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

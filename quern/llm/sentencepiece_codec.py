@@ -6,17 +6,23 @@ first-order: two pieces may follow each other only if byte-pair merging leaves e
 their joined text, and by that rule one path survives at each boundary, the one that merging the whole
 prefix gives. So the ids are those of SentencePiece for either kind of model.
 
-The search keeps backpointers for a window of the longest piece only. Whenever the paths of all
-boundaries in the window run through one boundary, the ids up to it are committed and forgotten; that
-happens between words, which no piece crosses, and long texts never need more than the window and the
-uncommitted tail. Short words are searched side by side, a boundary of all of them at a time, and each
-distinct one of a block once; only a word longer than LOOK characters is searched on its own.
+The search is a stream: boundaries are taken in order, each from the window of the longest piece before
+it, and whenever all surviving paths run through one boundary the ids up to it are committed and
+forgotten. Two kinds of boundaries are known to be such before the search: the start of a word (no piece
+of the model goes on over a word's start mark) and both sides of a character that no piece has. The
+stretches between them are therefore streams of their own, and they are searched side by side, one
+boundary of all of them at a time; equal stretches of a block are searched once. A stretch of more than
+LOOK characters is searched alone, and there the surviving paths are compared after every LOOK
+characters, so an endless word needs no more than the window and what isn't committed yet.
+
+Hashes find pieces and equal stretches, characters decide: every hit is compared character by character.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import sha256
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,7 +30,6 @@ from pyspark.sql import functions as F
 
 from quern.session import ship
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Entries of a worker's cache of piece pairs, as strings and (a power of two) as ids.
 PAIRS, PAIR_BITS = 200_000, 20
@@ -49,64 +54,85 @@ class Vocabulary:
     byte_ids: dict[int, int] = field(default_factory=dict)
     longest: int = 1
     crossing: bool = False  # a piece goes on after a word's start mark in its middle
+    key: str = ""  # a digest of all of the above
 
     def __post_init__(self):
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.normal[i]}
         self.byte_ids = {b: i for i, b in self.byte_of.items()}
         self.longest = max(map(len, self.ids), default=1)
         self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        whole = (self.kind, self.pieces, self.scores, self.normal, sorted(self.byte_of.items()), self.unk, self.dummy_prefix)
+        self.key = sha256(repr(whole).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def load(path: str = MODEL) -> Vocabulary:
-    """Read a model file on the driver. The public library is used as a reader of its own format only."""
+def load(path: str) -> Vocabulary:
+    """Read a model file on the driver. The public library is used as a reader of its own format only.
+
+    What the search doesn't do is an error: normaliser rules, dropping of extra blanks, blanks that
+    aren't marked or are marked behind a word, pieces that users defined, and models of words or characters.
+    """
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     model = pb.ModelProto()
     with open(path, "rb") as f:
         model.ParseFromString(f.read())
+    spec, kind = model.normalizer_spec, {1: "unigram", 2: "bpe"}.get(model.trainer_spec.model_type)
+    unfit = {
+        "a model of words or characters": kind is None,
+        "normaliser rules": bool(spec.precompiled_charsmap) or bool(spec.normalization_rule_tsv),
+        "dropping of extra blanks": spec.remove_extra_whitespaces,
+        "blanks without a mark": not spec.escape_whitespaces,
+        "marks behind words": model.trainer_spec.treat_whitespace_as_suffix,
+        "user-defined pieces": any(p.type == 4 for p in model.pieces),
+    }
+    if any(unfit.values()):
+        raise ValueError(f"{path} needs what isn't supported: {', '.join(k for k, v in unfit.items() if v)}")
     reader = sentencepiece.SentencePieceProcessor(model_file=path)
     n = reader.get_piece_size()
-    kind = {1: "unigram", 2: "bpe"}[model.trainer_spec.model_type]
     bytes_ = {i: int(reader.id_to_piece(i)[3:5], 16) for i in range(n) if reader.is_byte(i)}
     normal = [not (reader.is_byte(i) or reader.is_control(i) or reader.is_unknown(i) or reader.is_unused(i)) for i in range(n)]
     return Vocabulary(kind, [reader.id_to_piece(i) for i in range(n)], [reader.get_score(i) for i in range(n)], normal, bytes_, reader.unk_id(), model.normalizer_spec.add_dummy_prefix)
 
 
-def merge(text: str, voc: Vocabulary) -> list[str]:
-    """Byte-pair merging of a short text: best score first, then leftmost."""
-    parts = list(text)
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            k = voc.ids.get(parts[i] + parts[i + 1])
-            if k is not None and (best is None or voc.scores[k] > best):
-                best, at = voc.scores[k], i
-        if at < 0:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return parts
+def _distinct(keys: np.ndarray, points: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each stretch points[start:stop] among the distinct ones, and a place of each of those.
 
-
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each key among the distinct ones, and the first place of each of those."""
+    Stretches (adjoining, in order) are grouped by key; one that isn't equal to the first of its key in
+    length and every character is a distinct one of its own.
+    """
     import pandas as pd
 
     code, names = pd.factorize(keys)
     first = np.empty(len(names), np.int64)
     first[code[::-1]] = np.arange(len(keys) - 1, -1, -1)
-    return code, first
+    size = stop - start
+    other = size != size[first][code]
+    # The character at the same place of the first stretch, for all characters at once.
+    shift = np.where(other, 0, start[first][code] - start)
+    same = points == points[np.arange(len(points)) + np.repeat(shift, size)]
+    other |= np.logical_or.reduceat(~same, start)
+    alone = np.flatnonzero(other)
+    code = code.astype(np.int64)
+    code[alone] = len(first) + np.arange(len(alone))
+    return code, np.concatenate([first, alone])
 
 
 class Pieces:
-    """Lookup of pieces by a rolling hash of their code points: two tables of open slots, no collisions in the second."""
+    """Lookup of pieces by a rolling hash of their code points, then by the code points: tables of open slots, no collisions in the later ones."""
 
     BITS = 19
 
     def __init__(self, voc: Vocabulary):
-        self.power, self.inverse = np.empty(0, np.uint64), np.empty(0, np.uint64)
         ids = np.array(sorted(voc.ids.values()), np.int64)
-        keys = np.array([self.one(voc.pieces[i]) for i in ids], np.uint64)
+        self.points = np.zeros((len(voc.pieces), voc.longest), np.uint32)
+        for i in ids:
+            self.points[i, : len(voc.pieces[i])] = [ord(c) for c in voc.pieces[i]]
+        for base in range(0x9E3779B97F4A7C15, 1 << 64, 2):  # the first odd number under which no two pieces share a hash
+            self.base, self.power, self.inverse = base, np.empty(0, np.uint64), np.empty(0, np.uint64)
+            keys = np.array([self.one(voc.pieces[i]) for i in ids], np.uint64)
+            if len(np.unique(keys)) == len(keys):
+                break
         self.tables = []
         for shift in range(64 - self.BITS, -1, -3):
             slot = self._slot(keys, shift)
@@ -126,8 +152,7 @@ class Pieces:
 
     def powers(self, n: int) -> None:
         if len(self.power) < n:
-            base = 0x9E3779B97F4A7C15
-            for name, x in (("power", base), ("inverse", pow(base, -1, 1 << 64))):
+            for name, x in (("power", self.base), ("inverse", pow(self.base, -1, 1 << 64))):
                 p = np.full(n, x, np.uint64)
                 p[:1] = 1
                 setattr(self, name, np.multiply.accumulate(p))
@@ -151,14 +176,19 @@ class Pieces:
         points = np.array([ord(c) for c in piece], np.uint32)
         return int(self.hashes(self.sums(points), np.array([0]), np.array([len(points)]))[0])
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The id of each hash, -1 if it is no piece."""
+    def find(self, keys: np.ndarray, points: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+        """The id of each stretch points[start : start + size] with its hash, -1 if it is no piece."""
         out = np.full(len(keys), -1, np.int32)
         for shift, at, name in self.tables:
             slot = self._slot(keys, shift)
             hit = at[slot] == keys
             out[hit] = name[slot[hit]]
-        return out
+        hit = np.flatnonzero(out >= 0)
+        for c in range(size):
+            hit = hit[points[start[hit] + c] == self.points[out[hit], c]]
+        sure = np.full(len(keys), -1, np.int32)
+        sure[hit] = out[hit]
+        return sure
 
 
 class Codec:
@@ -166,7 +196,7 @@ class Codec:
 
     def __init__(self, voc: Vocabulary):
         self.voc = voc
-        self.floor = min(voc.scores) - 10.0
+        self.floor = min((voc.scores[i] for i in voc.ids.values()), default=0.0) - 10.0  # fixed value: the format's penalty
         self.rank = {p: -voc.scores[i] for p, i in voc.ids.items()}
         self.steps: dict[str, tuple | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -321,11 +351,11 @@ class Codec:
             out += self._ids(text[i:j])
         return out
 
-    def _lattices(self, sums: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _lattices(self, points: np.ndarray, sums: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many units at once, flat, and how many each has: the search of `viterbi`, one boundary of all units at a time.
 
-        Units are known characters between two boundaries that every path runs through, and short, so
-        the backpointers of a block of them are the window.
+        Units are known characters between two boundaries that every path runs through, so a unit's ids
+        are committed when its end is reached; at most LOOK boundaries wait for that.
         """
         order = np.argsort(-length, kind="stable")
         start, size = start[order], length[order]
@@ -340,7 +370,7 @@ class Codec:
                 before = last[node[open_] + j - k]
                 some = np.flatnonzero(before >= 0)
                 from_ = start[open_[some]] + j - k
-                piece = self.pieces.find(self.pieces.hashes(sums, from_, from_ + k))
+                piece = self.pieces.find(self.pieces.hashes(sums, from_, from_ + k), points, from_, k)
                 hit = np.flatnonzero(piece >= 0)
                 some, piece = some[hit], piece[hit]
                 ok = self._may_follow(before[some], piece)
@@ -376,7 +406,7 @@ class Codec:
         voc = self.voc
         if voc.kind != "bpe" or voc.crossing:
             each = [list(self.viterbi((SPACE if voc.dummy_prefix else "") + t.replace(" ", SPACE))) if t else [] for t in texts]
-            return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
+            return self._joined(np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64))
         lead = SPACE if voc.dummy_prefix else ""
         marked = [lead + t if t else "" for t in texts]
         sizes = np.array([len(t) for t in marked], np.int64)
@@ -394,11 +424,11 @@ class Codec:
         start = np.flatnonzero(begin)
         stop = np.append(start[1:], len(points))
         sums = self.pieces.sums(points)
-        code, first = _distinct(self.pieces.hashes(sums, start, stop) + (stop - start).astype(np.uint64))
+        code, first = _distinct(self.pieces.hashes(sums, start, stop) + (stop - start).astype(np.uint64), points, start, stop)
         s, e = start[first], stop[first]
         plain = known[s] & (e - s <= LOOK)
         counts = np.zeros(len(first), np.int64)
-        flat, counts_plain = self._lattices(sums, s[plain], e[plain] - s[plain]) if plain.any() else (np.empty(0, np.int32), np.empty(0, np.int64))
+        flat, counts_plain = self._lattices(points, sums, s[plain], e[plain] - s[plain]) if plain.any() else (np.empty(0, np.int32), np.empty(0, np.int64))
         counts[plain] = counts_plain
         offset = np.zeros(len(first), np.int64)
         offset[plain] = np.cumsum(counts_plain) - counts_plain
@@ -414,7 +444,16 @@ class Codec:
         out = flat[np.repeat(offset[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         ends = np.concatenate([[0], np.cumsum(n)])
         edge = np.searchsorted(start, np.append(text_start, len(points)))
-        return out, np.diff(ends[edge])
+        return self._joined(out, np.diff(ends[edge]))
+
+    def _joined(self, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unknown characters in a row are one id, as the format has it, if the model has no bytes."""
+        if self.voc.byte_of or not len(flat):
+            return flat, counts
+        owner = np.repeat(np.arange(len(counts)), counts)
+        keep = np.ones(len(flat), bool)
+        keep[1:] = (flat[1:] != self.voc.unk) | (flat[:-1] != self.voc.unk) | (owner[1:] != owner[:-1])
+        return flat[keep], np.bincount(owner[keep], minlength=len(counts))
 
     def encode(self, text: str) -> list[int]:
         return self.encode_block([text])[0].tolist()
@@ -424,23 +463,23 @@ class Codec:
         return raw[1:] if self.voc.dummy_prefix and raw[:1] == " " else raw
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
 def _codec(voc: Vocabulary) -> Codec:
     """The worker's codec of a vocabulary; a worker that goes on to another task keeps its caches."""
-    key = hash((voc.kind, len(voc.pieces), tuple(voc.pieces[-50:]), voc.dummy_prefix))
-    if key not in _codecs:
+    if voc.key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(voc)
-    return _codecs[key]
+        _codecs[voc.key] = Codec(voc)
+    return _codecs[voc.key]
 
 
 def encode_decode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id_col, ids array<int>, n_ids long, decoded string.
 
     Null texts give nulls, empty ones no ids and an empty string. decoded equals the text unless it
-    holds U+2581, which the format itself reads as a blank. Texts of any length are encoded whole.
+    holds U+2581, which the format itself reads as a blank, or characters that a model without bytes
+    doesn't know, which it drops. Texts of any length are encoded whole.
     Repeated rows give equal rows; no rows, no rows; other columns aren't read.
     """
     import pyarrow as pa

@@ -165,8 +165,8 @@ def test_exact_dedup_compares_content_when_digests_collide(spark):
 def test_sentencepiece_equals_the_library_and_round_trips(spark, edge, empty):
     import sentencepiece
 
-    voc = sentencepiece_codec.load()
-    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    voc = sentencepiece_codec.load(queries.PIECES)
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
     for docs in (edge, table(spark, SF, "documents")):
         rows = docs.select("doc_id", "text").join(sentencepiece_codec.encode_decode(docs, voc), "doc_id").collect()
         for r in rows:
@@ -177,13 +177,59 @@ def test_sentencepiece_equals_the_library_and_round_trips(spark, edge, empty):
 
 
 def test_streaming_search_equals_the_side_by_side_one():
-    codec = sentencepiece_codec.Codec(sentencepiece_codec.load())
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.load(queries.PIECES))
     rng = random.Random(3)
     for n in (1, 5, 60, 63):
         word = "▁" + "".join(rng.choice("abcdefghinorst") for _ in range(n - 1))
         assert list(codec.viterbi(word)) == codec.encode(word[1:]) or n == 1
 
 
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_characters_decide_in_the_codec(n):
+    """Stretches whose rolling hashes agree have their own ids, in one block and on their own."""
+    import sentencepiece
+
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.load(queries.PIECES))
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    a, b = _thue_morse(n)
+    texts = [f"q {a} {b}", f"{b} {a} {a}", a, b]
+    flat, counts = codec.encode_block(texts)
+    parts = np.split(flat, np.cumsum(counts)[:-1])
+    assert [p.tolist() for p in parts] == library.encode(texts) and [codec.decode(p.tolist()) for p in parts] == texts
+
+
+def _unigram_model(path, suffix=False):
+    """A unigram model file made by hand: letters but z, some longer pieces, with ties and a piece over a blank."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.trainer_spec.model_type, model.normalizer_spec.name = 1, "identity"
+    model.normalizer_spec.remove_extra_whitespaces, model.trainer_spec.treat_whitespace_as_suffix = False, suffix
+    rng = random.Random(8)
+    long = {"".join(rng.choice("abc") for _ in range(rng.randrange(2, 6))) for _ in range(60)} | {"▁a", "▁ab", "b▁c", "▁▁"}
+    for piece, score, kind in [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(c, -6.0 - i / 8, 1) for i, c in enumerate("▁abcdefgh")], *[(p, -rng.randrange(8, 40) / 2, 1) for p in sorted(long)]]:
+        model.pieces.add(piece=piece, score=score, type=kind)
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+def test_unigram_ids_are_those_of_the_library(tmp_path):
+    import sentencepiece
+
+    path = _unigram_model(tmp_path / "u.model")
+    codec, library, rng = sentencepiece_codec.Codec(sentencepiece_codec.load(path)), sentencepiece.SentencePieceProcessor(model_file=path), random.Random(9)
+    for k in range(200):
+        text = "".join(rng.choice("aaabbbccc  dzé") for _ in range(rng.choice([0, 1, 7, 60, 400])))
+        assert codec.encode(text) == library.encode(text), text
+    with pytest.raises(ValueError, match="marks behind words"):
+        sentencepiece_codec.load(_unigram_model(tmp_path / "s.model", True))
+
+
+def test_codecs_are_told_apart_by_the_whole_model():
+    one, two = (sentencepiece_codec.Vocabulary("unigram", ["<unk>", p, *[f"q{i}" for i in range(60)]], [0.0] + [-1.0] * 61, [False] + [True] * 61, {}, 0, False) for p in "ab")
+    assert sentencepiece_codec._codec(one).encode("a") == [1] and sentencepiece_codec._codec(two).encode("a") == [0]
+
+
 def test_unigram_viterbi_takes_the_best_path():
     voc = sentencepiece_codec.Vocabulary("unigram", ["<unk>", "▁", "a", "b", "ab", "abab"], [0.0, -1.0, -2.0, -2.0, -1.5, -9.0], [False, True, True, True, True, True], {}, 0)
     codec = sentencepiece_codec.Codec(voc)
