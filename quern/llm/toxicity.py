@@ -1,23 +1,26 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on a bounded sample of labelled texts: one on ordinary text by
-zstandard's own trainer; the toxic one has the same entropy tables and content, followed by the
-fragments that set toxic texts apart (below). Each window of a text is compressed with both, and the
-bytes that the toxic dictionary saves are its distance. Sharing the tables and the ordinary content
-makes the two lengths equal on ordinary windows, so what remains is due to toxic content.
-
-Fragments: byte grams of several lengths are counted by the number of different contexts that they occur in (different
-bytes before, different bytes after), so passages copied from text to text count once. Runs of grams
-that are far more frequent in toxic text are the fragments.
-
-A document's score is logistic in the histogram of its windows' distances. Its weights and its
-threshold, which becomes the score 0.3, are calibrated on sampled texts that the dictionaries have
-not seen. Scoring streams over Arrow batches; what is shipped is two dictionaries of a few kilobytes.
+Two zstandard dictionaries are trained, one on toxic text and one on ordinary text, of equal size and
+from equally many pieces. Each window of a text is compressed with both, and the bytes that the toxic
+dictionary saves are the window's distance.
+
+Toxic text is mostly ordinary text, so plain halves give two dictionaries of the same common words and a
+distance that is mostly noise. Therefore both dictionaries have one part in common in front, trained by
+zstandard on other ordinary texts, and are trained on what that part leaves: of each class the share of
+its pieces that the common part compresses worst. Ordinary windows then cost about the same with either.
+
+A document's distance is the mean of its windows'. Dictionaries are trained on pieces of several lengths
+and draws; the pair that tells the calibration texts (sampled rows that no dictionary has seen) apart
+best is taken. Two thresholds are calibrated on the same texts: the mean distance from which a document is
+toxic (best F1 at the corpus's rate of toxic labels; it becomes the score 0.3), and the distance from
+which a window is (more than all but one in a hundred ordinary windows).
+
+Scoring streams over Arrow batches; what is shipped is two dictionaries of half a megabyte, whatever
+the corpus.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,185 +34,139 @@ from quern.session import ship
 
 #: Labelled rows of each class that may be sampled.
 SAMPLE_ROWS = 1500
-WINDOW = 96
-STRIDE = 80
-GRAMS = (5, 8)
-CONTEXT = 10
-#: A gram is toxic if at least this share of the toxic sample's size has it, this many times as often as ordinary text.
-SHARE = 0.02
-RATIO = 15
-#: Bytes of the trained ordinary dictionary (mostly its entropy tables) and at most of the fragments.
-ORDINARY_BYTES = 400
-FRAGMENT_BYTES = 2048
+WINDOW = 160
+STRIDE = 144
+#: Bytes of the part that both dictionaries have in common, and of each one's own part.
+COMMON_BYTES, OWN_BYTES = 512 << 10, 4096
+#: Bytes of a piece of the common part's training, and the segments (k, d) that its trainer picks.
+COMMON_PIECE, COMMON_SEGMENT = 128, (48, 6)
+#: The same for the own parts, and how many draws of pieces each is trained on; those that calibrate best are taken.
+PIECES = [(20, (20, 6)), (32, (12, 6)), (48, (16, 6))]
+DRAWS = 2
+#: The share of a class's pieces, those that the common part compresses worst, that an own part is trained on.
+WORST = 0.3
 CUT = 0.3
 
 
 @dataclass
 class Model:
-    ordinary: bytes
-    toxic: bytes
-    weights: list[float]
-    bias: float
-
-
-def _contexts(b: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each gram of b: hashes of it, of what is before it and of what is after."""
-    n = len(b) - size + 1
-    if n <= 0:
-        return (np.empty(0, np.uint64),) * 3
-    pad = b"\0" * CONTEXT
-    a = np.frombuffer(pad + b + pad, np.uint8).astype(np.uint64)
-    gram, before, after = (np.zeros(n, np.uint64) for _ in range(3))
-    for k in range(size):
-        gram = gram * np.uint64(0x100000001B3) + a[CONTEXT + k : CONTEXT + k + n]
-    for k in range(CONTEXT):
-        before = (before * np.uint64(257) + a[k : k + n]) * np.uint64(0x100000001B3)
-        after = (after * np.uint64(257) + a[CONTEXT + size + k : CONTEXT + size + k + n]) * np.uint64(0x100000001B3)
-    return gram, before, after
-
-
-def _count_contexts(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of texts and in how many different contexts, on the side that has fewer, each occurs."""
-    if not texts:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    gram, *sides = map(np.concatenate, zip(*(_contexts(b, size) for b in texts)))
-    counts = []
-    for side in sides:
-        order = np.lexsort((side, gram))
-        g, s = gram[order], side[order]
-        first = np.ones(len(g), bool)
-        first[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])
-        grams, n = np.unique(g[first], return_counts=True)
-        counts.append(n)
-    return grams, np.minimum(*counts)
-
-
-def _toxic_grams(toxic: list[bytes], ordinary: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Grams that set toxic text apart, and their counts."""
-    grams, n = _count_contexts(toxic, size)
-    other, m = _count_contexts(ordinary, size)
-    seen = np.zeros(len(grams))
-    if len(other) and len(grams):
-        at = np.searchsorted(other, grams)
-        at[at == len(other)] = 0
-        seen = np.where(other[at] == grams, m[at], 0)
-    bytes_t, bytes_o = max(1, sum(map(len, toxic))), max(1, sum(map(len, ordinary)))
-    apart = (n >= max(3, SHARE * len(toxic))) & (n / bytes_t > RATIO * (seen + 0.5) / bytes_o)
-    return grams[apart], n[apart].astype(float)
-
-
-def fragments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
-    """Toxic fragments, the most frequent last."""
-    found: Counter[bytes] = Counter()
-    for size in GRAMS:
-        grams, n = _toxic_grams(toxic, ordinary, size)
-        for b in toxic if len(grams) else []:
-            gram, _, _ = _contexts(b, size)
-            if not len(gram):
-                continue
-            at = np.searchsorted(grams, gram)
-            at[at == len(grams)] = 0
-            value = np.where(grams[at] == gram, n[at], 0)
-            if not value.any():
-                continue
-            # Of overlapping grams only those near the strongest count: its neighbours hold random context.
-            strongest = value.copy()
-            for k in range(1, size):
-                strongest[k:] = np.maximum(strongest[k:], value[:-k])
-                strongest[:-k] = np.maximum(strongest[:-k], value[k:])
-            cover = np.zeros(len(b) + 2, np.int8)
-            for p in np.flatnonzero((value > 0) & (value >= 0.4 * strongest)):
-                cover[p + 1 : p + 1 + size] = 1
-            edge = np.flatnonzero(np.diff(cover))
-            for start, stop in zip(edge[::2], edge[1::2]):
-                found[b[start:stop]] += 1
-    out = b""
-    for piece, times in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        if times >= 3 and piece not in out and len(out) + len(piece) <= FRAGMENT_BYTES:
-            out = piece + out
-    return out
-
-
-def compressors(model: Model) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+    ordinary: bytes = b""
+    toxic: bytes = b""
+    slope: float = 0.0
+    bias: float = 0.0
+    #: Distance from which a window counts as toxic.
+    window_cut: int = 1 << 30
+
+
+def compressor(dictionary: bytes):
+    """A function from bytes to their compressed form. Dictionaries are read as content, so short windows keep plain literals and a match shows in the length."""
     params = zstandard.ZstdCompressionParameters(
-        strategy=zstandard.STRATEGY_LAZY, min_match=GRAMS[0], window_log=11, hash_log=11, chain_log=11, search_log=4, target_length=16, write_content_size=0, write_checksum=0, write_dict_id=0
+        strategy=zstandard.STRATEGY_LAZY2, min_match=5, window_log=20, hash_log=20, chain_log=20, search_log=8, target_length=64, write_content_size=0, write_checksum=0, write_dict_id=0
     )
-    return tuple(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=params) for d in (model.ordinary, model.toxic))
+    if not dictionary:
+        return zstandard.ZstdCompressor(compression_params=params).compress
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress
+
 
+def windows(b: bytes, size: int = WINDOW, stride: int = STRIDE) -> list[bytes]:
+    """Windows of a whole text, the last one shorter; an empty text has one empty window."""
+    return [b[i : i + size] for i in range(0, max(1, len(b) - (size - stride)), stride)]
 
-def distances(b: bytes, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> list[int]:
+
+def distances(b: bytes, ordinary, toxic) -> list[int]:
     """Bytes that the toxic dictionary saves, for each window of b."""
-    return [len(ordinary.compress(w)) - len(toxic.compress(w)) for w in (b[i : i + WINDOW] for i in range(0, max(1, len(b) - (WINDOW - STRIDE)), STRIDE))]
+    return [len(ordinary(w)) - len(toxic(w)) for w in windows(b)]
+
+
+def _train(pieces: list[bytes], size: int, segment: tuple[int, int], rng: np.random.Generator) -> bytes:
+    """A dictionary trained by zstandard on the pieces in random order; empty if there is too little text."""
+    mixed = [pieces[i] for i in rng.permutation(len(pieces))]
+    try:
+        return zstandard.train_dictionary(size, mixed, k=segment[0], d=segment[1]).as_bytes()
+    except zstandard.ZstdError:
+        return b""
 
 
-def features(d: list[int]) -> list[float]:
-    """What a document's score is computed from: how many windows save how much."""
-    n = len(d)
-    counts = [sum(1 for x in d if x >= t) for t in (1, 2, 3, 5)]
-    top = sorted((x for x in d if x > 0), reverse=True)[:3] + [0, 0, 0]
-    return [float(np.log1p(c)) for c in counts] + [float(np.log1p(x)) for x in top[:3]] + [float(np.log1p(n)), counts[0] / n, counts[1] / n, counts[2] / n]
+def _separation(scores: np.ndarray, y: np.ndarray) -> float:
+    """The area under the ROC curve, ties counted half."""
+    ordered = np.sort(scores[y == 0])
+    below, upto = np.searchsorted(ordered, scores[y == 1]), np.searchsorted(ordered, scores[y == 1], "right")
+    return float((below + upto).mean() / 2 / max(1, len(ordered)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(a.shape[1])
-    ridge = np.diag([0.3] * x.shape[1] + [1e-6])
+def _logistic(x: np.ndarray, y: np.ndarray) -> float:
+    """The slope of a logistic curve over one number, by Newton steps with a slight ridge."""
+    a, w, ridge = np.stack([x, np.ones_like(x)], 1), np.zeros(2), np.diag([1e-2, 1e-6])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + ridge @ w
-        hess = (a * (p * (1 - p))[:, None]).T @ a + ridge
-        step = np.linalg.solve(hess + 1e-9 * np.eye(len(w)), grad)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (p - y) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    return w[:-1], float(w[-1])
+    return max(0.05, float(w[0]))
+
+
+def _threshold(scores: np.ndarray, y: np.ndarray, base_rate: float) -> float:
+    """Between two scores, where F1 is best if the corpus has base_rate of toxic texts."""
+    order = np.argsort(-scores, kind="stable")
+    share = y.mean()
+    weight = np.where(y == 1, base_rate / share, (1 - base_rate) / (1 - share))[order]
+    hit, all_ = np.cumsum(weight * y[order]), np.cumsum(weight)
+    f1 = 2 * hit / (all_ + (weight * y[order]).sum())
+    s = scores[order]
+    last = np.append(s[1:] != s[:-1], True)  # equal scores fall on one side
+    k = int(np.argmax(np.where(last, f1, -1)))
+    return float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k] - 1)
 
 
 def fit(samples: list[tuple[int, str]], base_rate: float) -> Model:
-    """Dictionaries from one half of the samples, calibration on the other; base_rate is the corpus's share of toxic labels."""
+    """Dictionaries from three quarters of the samples, calibration on the rest; base_rate is the corpus's share of toxic labels.
+
+    With too few samples of either class the model has no dictionaries and every score is the base rate.
+    """
+    none = Model(bias=float(np.log((base_rate + 1e-6) / (1 - base_rate + 1e-6))))
     texts = {label: [t.encode("utf-8", "replace") for y, t in samples if y == label] for label in (0, 1)}
-    learn = {label: x[::2] for label, x in texts.items()}
-    check = {label: x[1::2] for label, x in texts.items()}
+    learn = {label: [b for i, b in enumerate(x) if i % 4 != 3] for label, x in texts.items()}
+    check = [(label, b) for label in (0, 1) for b in texts[label][3::4]]
+    y = np.array([label for label, _ in check], int)
+    if len(set(y.tolist())) < 2:
+        return none
     rng = np.random.default_rng(7)
-    pieces = []
-    for b in learn[0]:
-        starts = np.arange(0, max(1, len(b) - 64), 64)
-        pieces += [b[i : i + 64] for i in rng.permutation(starts)[:6]]
-    try:
-        ordinary = zstandard.train_dictionary(ORDINARY_BYTES, pieces).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        return Model(b"", b"", [], float(np.log((base_rate + 1e-6) / (1 - base_rate + 1e-6))))
-    model = Model(ordinary, ordinary + fragments(learn[1], learn[0]), [], 0.0)
-    pair = compressors(model)
-    x = np.array([features(distances(b, *pair)) for label in (0, 1) for b in check[label]])
-    y = np.array([label for label in (0, 1) for b in check[label]], float)
-    if len(set(y)) < 2:
-        return model
-    # The sample is balanced, the corpus isn't: the bias is moved to the corpus's odds.
-    w, bias = _logistic(x, y)
-    share = y.mean()
-    bias += np.log((base_rate + 1e-6) / (1 - base_rate + 1e-6)) - np.log(share / (1 - share))
-    # Calibrated threshold: the margin with the best F1 at the corpus's odds becomes the score CUT.
-    margin = x @ w + bias
-    weight = np.where(y == 1, base_rate / share, (1 - base_rate) / (1 - share))
-    order = np.argsort(-margin, kind="stable")
-    hit, all_ = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
-    f1 = 2 * hit / (all_ + (weight * y).sum())
-    k = int(np.argmax(f1))
-    at = margin[order][k]
-    below = margin[order][k + 1 :][margin[order][k + 1 :] < at]
-    threshold = (at + below[0]) / 2 if len(below) else at
-    model.weights, model.bias = w.tolist(), float(bias - threshold + np.log(CUT / (1 - CUT)))
-    return model
-
-
-def score_text(text: str | None, model: Model, pair) -> float:
-    if not model.weights:
-        return float(1 / (1 + np.exp(-model.bias)))
+    half = {0: learn[0][1::2], 1: learn[1]}
+    common = _train([p for b in learn[0][::2] for p in windows(b, COMMON_PIECE, COMMON_PIECE)], COMMON_BYTES, COMMON_SEGMENT, rng)
+    squeeze, best = compressor(common), None
+    for size, segment in PIECES:
+        worst = {}
+        for label in (0, 1):
+            pieces = [p for b in half[label] for p in windows(b, size, size)]
+            cost = np.array([len(squeeze(p)) / max(1, len(p)) for p in pieces])
+            worst[label] = [pieces[i] for i in np.argsort(-cost, kind="stable")[: int(len(pieces) * WORST)]]
+        n = min(map(len, worst.values()))
+        for _ in range(DRAWS):
+            own = {label: _train([p[i] for i in rng.permutation(len(p))[:n]], OWN_BYTES, segment, rng) for label, p in worst.items()}
+            if not own[0] or not own[1]:
+                continue
+            pair = compressor(common + own[0]), compressor(common + own[1])
+            each = [distances(b, *pair) for _, b in check]
+            mean = np.array([np.mean(d) for d in each])
+            found = _separation(mean, y)
+            if best is None or found > best[0]:
+                plain = np.concatenate([d for d, label in zip(each, y) if label == 0])
+                best = found, own, mean, int(np.quantile(plain, 0.99)) + 1
+    if best is None:
+        return none
+    _, own, mean, window_cut = best
+    slope, cut = _logistic(mean, y), _threshold(mean, y, base_rate)
+    return Model(common + own[0], common + own[1], slope, float(np.log(CUT / (1 - CUT)) - slope * cut), window_cut)
+
+
+def score_text(text: str | None, model: Model, pair) -> tuple[float, int, int]:
+    """Score, windows and toxic windows of a text."""
+    if pair is None:
+        return float(1 / (1 + np.exp(-model.bias))), 0, 0
     d = distances((text or "").encode("utf-8", "replace"), *pair)
-    margin = float(np.dot(features(d), model.weights)) + model.bias
-    return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
+    margin = model.slope * (sum(d) / len(d)) + model.bias
+    return float(1 / (1 + np.exp(-np.clip(margin, -30, 30)))), len(d), sum(x >= model.window_cut for x in d)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -223,21 +180,27 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: id_col, held_out, score, predicted (1 from a score of 0.3).
+    """One row per row of `docs`: id_col, held_out, score, predicted (1 from a score of 0.3), windows, toxic_windows.
 
-    Null texts are scored as empty ones. A model without usable labels gives every text the base
-    rate. Repeated rows get equal scores; no rows, no scores; other columns aren't read.
+    Null texts are scored as empty ones, which have one empty window of distance 0. Very long texts are
+    scored whole, window by window. A model without dictionaries gives every text the base rate and no
+    windows. A text at the threshold itself is predicted toxic. Repeated rows get equal scores; no rows,
+    no scores; other columns aren't read.
     """
     import pyarrow as pa
 
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     id_type = docs.schema[id_col].dataType
+    sent = spark.sparkContext.broadcast(model)  # fixed size: two dictionaries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = compressors(model) if model.weights else None
+        fitted = sent.value
+        pair = (compressor(fitted.ordinary), compressor(fitted.toxic)) if fitted.toxic else None
         for batch in batches:
-            scores = [score_text(t.as_py(), model, pair) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["id", "score"])
+            rows = [score_text(t.as_py(), fitted, pair) for t in batch.column(1)]
+            score, n, hot = (list(x) for x in zip(*rows)) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(hot, pa.int64())], ["id", "score", "windows", "toxic_windows"])
 
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type.simpleString()}, score double")
-    return scored.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type.simpleString()}, score double, windows long, toxic_windows long")
+    return scored.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "windows", "toxic_windows")
