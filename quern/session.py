@@ -17,17 +17,18 @@ BROADCAST_BYTES = 64 << 20
 #: A key is hot if it holds more than this share of all rows (and more than HOT_LEAST), so at most this many keys are.
 HOT_KEYS, HOT_LEAST = 4096, 64
 
-#: Rows of an Arrow batch of whole texts.
-ARROW_ROWS = 2000
+#: Bytes after which an Arrow batch ends; rows are whole texts of any length.
+ARROW_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, as `--py-files` would; once per context.
 
-    Rows are whole texts, so Arrow batches are made smaller unless the session has its own size for them.
+    Rows are whole texts, so Arrow batches are bounded in bytes; a bound that the session has itself stays.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if not spark.conf.get(_BATCH, ""):
+        spark.conf.set(_BATCH, str(ARROW_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_quern_shipped", False):
         return
