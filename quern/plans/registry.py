@@ -9,25 +9,10 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import chunks, echo, lines, rollups, sessions
+from quern.plans.base import QUERIES, SQL, query
 from quern.session import table
 from quern.streaming import collector
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the SQL that says the same."""
-
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 @query(r"""
 WITH d AS (
   SELECT source, doc_id, strlen(text) AS bytes,
@@ -473,9 +458,17 @@ def monthly_change(spark, sf):
     return m.select("o_custkey", "month", "total", F.round(F.col("total") - before, 2).alias("change"))
 
 
+def _register() -> None:
+    """The modules that register the rest of the queries."""
+    from quern.plans import report_queries  # noqa: F401
+
+
+_register()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
