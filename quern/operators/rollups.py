@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.prefix import prefix_sums
+
 
 def percentiles(rows: DataFrame, by: str, value: str, p: float) -> DataFrame:
-    """Three percentiles by group: interpolated, at the floored index, and by nearest rank."""
-    ranked = rows.filter(F.col(value).isNotNull()).select(by, value, (F.row_number().over(Window.partitionBy(by).orderBy(value)) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(by)).alias("n"))
+    """Three percentiles by group: interpolated, at the floored index, and by nearest rank.
+
+    Ranks are prefix sums over ranges of (group, value), so a group of any size is spread, and a group
+    keeps four values, not all of them.
+    """
+    ranked = prefix_sums(rows.filter(F.col(value).isNotNull()).select(by, value), [by], [F.col(value)], {"i": F.lit(1)}).withColumn("i", F.col("i") - 1).withColumnRenamed("i_all", "n")
+    place = (F.col("n") - 1) * p
     at = lambda i: F.max(F.when(F.col("i") == i, F.col(value)))
-    return ranked.groupBy(by).agg(
-        F.expr(f"percentile({value}, {p})").alias("interpolated"),
-        at(F.floor((F.col("n") - 1) * p)).alias("floored"),
-        at(F.greatest(F.ceil(F.col("n") * p) - 1, F.lit(0))).alias("nearest"),
+    found = ranked.groupBy(by).agg(
+        at(F.floor(place)).alias("floored"), at(F.ceil(place)).alias("__above"), F.max(place - F.floor(place)).alias("__share"), at(F.greatest(F.ceil(F.col("n") * p) - 1, F.lit(0))).alias("nearest")
     )
+    return found.select(by, (F.col("floored") + (F.col("__above") - F.col("floored")) * F.col("__share")).alias("interpolated"), "floored", "nearest")
 
 
 def last_n(rows: DataFrame, order: str, n: int) -> DataFrame:

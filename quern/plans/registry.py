@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import chunks, echo, lines, rollups, sessions
 from quern.plans.base import QUERIES, SQL, query
-from quern.session import table
+from quern.session import attach, cut, hot_keys, table
 from quern.streaming import collector
 
 @query(r"""
@@ -24,8 +24,10 @@ SELECT source, doc_id, first_doc_id, CASE WHEN doc_id > first_doc_id THEN bytes
 def dedup_exact(spark, sf):
     """First document of each normalised text within its source, and the bytes that later copies repeat."""
     docs = table(spark, sf, "documents").select("source", "doc_id", F.sha2(T.trim_all(F.col("text")), 256).alias("digest"), F.octet_length("text").alias("bytes"))
-    first = F.min("doc_id").over(Window.partitionBy("source", "digest"))
-    return docs.select("source", "doc_id", first.alias("first_doc_id"), F.when(F.col("doc_id") > first, F.col("bytes")).otherwise(0).cast("long").alias("saved_bytes"))
+    keyed = docs.withColumn("key", F.struct("source", "digest"))
+    first = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("rows")))
+    found = attach(keyed, first.select("key", "first_doc_id"), "key", hot_keys(first, "key"))
+    return found.select("source", "doc_id", "first_doc_id", F.when(F.col("doc_id") > F.col("first_doc_id"), F.col("bytes")).otherwise(0).cast("long").alias("saved_bytes"))
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total, round(max(value), 4) AS largest FROM events GROUP BY event_type")
@@ -460,7 +462,7 @@ def monthly_change(spark, sf):
 
 def _register() -> None:
     """The modules that register the rest of the queries."""
-    from quern.plans import report_queries  # noqa: F401
+    from quern.plans import command_queries, report_queries, session_queries  # noqa: F401
 
 
 _register()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.prefix import prefix_sums
+
 ENVELOPE = "type string, ts timestamp, payload string"
 
 
@@ -44,12 +46,12 @@ def with_columns(table: DataFrame, wanted: dict[str, str]) -> DataFrame:
 def archive(rows: DataFrame, text: str, order: str, budget: int) -> DataFrame:
     """Content-addressed archive: one row per distinct text (id, text, bytes), newest first within a byte budget.
 
-    The running sum is over the archive's narrow rows (id, order, bytes).
+    The running sum is over the archive's narrow rows (id, order, bytes), in ranges of the order.
     """
     once = rows.filter(F.col(text).isNotNull()).groupBy(F.sha2(text, 256).alias("id")).agg(F.max(order).alias("newest"), F.first(text).alias("text"))
     sized = once.withColumn("bytes", F.octet_length("text").cast("long"))
-    kept = sized.select("id", F.sum("bytes").over(Window.orderBy(F.desc("newest"), "id").rowsBetween(Window.unboundedPreceding, 0)).alias("used")).filter(F.col("used") <= budget)
-    return sized.join(kept.select("id"), "id", "left_semi")
+    used = prefix_sums(sized.select("id", "newest", "bytes"), [], [F.desc("newest"), F.col("id")], {"used": F.col("bytes")})
+    return sized.join(used.filter(F.col("used") <= budget).select("id"), "id", "left_semi")
 
 
 def write_csv(report: DataFrame, path: str) -> None:
