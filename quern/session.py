@@ -27,7 +27,7 @@ def ship(spark: SparkSession) -> None:
 
     Rows are whole texts, so Arrow batches are bounded in bytes; a bound that the session has itself stays.
     """
-    if not spark.conf.get(_BATCH, ""):
+    if _BATCH not in spark.conf.getAll:
         spark.conf.set(_BATCH, str(ARROW_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_quern_shipped", False):
