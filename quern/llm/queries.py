@@ -99,7 +99,7 @@ WITH s AS (
 ), c AS (
   SELECT source, list(p ORDER BY k) AS cdf FROM (
     SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS p
-    FROM r, range(0, 200) AS g(k)
+    FROM (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 12)::BIGINT)) AS k FROM r)
   ) GROUP BY source
 ), d AS (
   SELECT d.doc_id, d.source, d.text, len(list_filter(c.cdf, lambda x: x <= ('0x' || substr(md5('mix:' || d.doc_id), 1, 13))::BIGINT / 4503599627370496.0)) AS n
