@@ -17,10 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import cut
+from quern.session import attach, cut, hot_keys
 
 SALTS = 32
 #: At most this many groups are larger than rows / HOT_GROUPS.
@@ -92,5 +92,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rest = members.join(hot.select(*key), key, "left_anti").join(winners.filter(F.col("group_size") <= hot_size), key)
         out = found.unionByName(rest)
     wins = F.col("id").eqNullSafe(F.col("keep_id"))
-    first = F.row_number().over(Window.partitionBy("id", "sha").orderBy(F.col("len").desc())) == 1
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", (wins & first).alias("kept"), F.col("sha").alias("text_sha256"))
+    if docs.groupBy(F.col(id_col).cast("long").alias("id")).count().filter("count > 1").isEmpty():
+        kept = out.withColumn("kept", wins)
+    else:
+        # Several rows of a group have the winning id: the longest stays, of equal ones any. Combined, so no hot id is one task.
+        group = F.struct("sha", F.coalesce("keep_id", F.lit(0)).alias("keep"), F.col("keep_id").isNull().alias("none"))
+        tagged = cut(out.withColumn("wins", wins).withColumn("group", group).withColumn("tag", F.struct("len", F.monotonically_increasing_id().alias("row"))))
+        best = tagged.filter("wins").groupBy("group").agg(F.max("tag").alias("best"), F.count(F.lit(1)).alias("rows"))
+        chosen = attach(tagged.filter("wins"), best.select("group", "best"), "group", hot_keys(best, "group")).withColumn("kept", F.col("tag") == F.col("best"))
+        kept = tagged.filter("not wins").withColumn("kept", F.lit(False)).unionByName(chosen.select(*tagged.columns, "kept"))
+    return kept.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
