@@ -34,6 +34,8 @@ BLOCK = 2048
 #: Bytes of text that are labelled at once.
 BYTES = 1 << 20
 UNDETERMINED = "und"
+#: What a text must have to be in a language.
+LETTER = r"\p{L}"
 
 
 @dataclass
@@ -250,8 +252,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     kept = [c for c in ([id_col] if keep is None else keep) if c not in ("lang_pred", "score")]
     text = F.col(text_col).cast("string")
-    rows = docs.select(text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__lettered"), *kept)
-    schema = T.StructType([*[f for f in rows.schema.fields if f.name in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    own = ["text", "lettered"]
+    while set(own) & set(docs.columns):
+        own = [f"{name}_" for name in own]
+    rows = docs.select(text.alias(own[0]), F.coalesce(text.rlike(LETTER), F.lit(False)).alias(own[1]), *kept)
+    schema = T.StructType([*rows.schema.fields[2:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     found = rows.mapInArrow(run, schema)
     if keep is not None:
         return found

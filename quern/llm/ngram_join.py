@@ -502,14 +502,14 @@ def components(links: DataFrame) -> DataFrame:
 def _classes(base: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """(profile, rows, classes, seed): every row with its class, and the classes, each checked on content.
 
-    rep is the smallest id of a class, at the place (id and text hash) of one of its rows.
+    at is the place of a class's first row: its smallest id (nulls last) and text hash.
     """
     seed = 0
     while True:
         profile = cut(_profile(base, words, seed))
-        rows = profile.filter("counts is null").select("id", F.struct("id", "th").alias("at"), F.struct("d1", "n").alias("cls"), "seq", "bits")
+        rows = profile.filter("counts is null").select("id", F.struct(F.col("id").isNull().alias("void"), "id", "th").alias("at"), F.struct("d1", "n").alias("cls"), "seq", "bits")
         facts = rows.filter("cls.n > 0").groupBy("cls")
-        classes = cut(facts.agg(F.min("id").alias("rep"), F.min("at").alias("at"), F.count(F.lit(1)).alias("rows"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.first("bits").alias("bits")))
+        classes = cut(facts.agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("rows"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.first("bits").alias("bits")))
         mixed = classes.filter("low != high").select("cls")
         if mixed.isEmpty() or _same_content(base, rows, mixed, words):
             return profile, rows, classes, seed
@@ -594,17 +594,8 @@ def ngram_links(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str
     return links, rows.filter("cls.n > 0").select(F.col("id").alias(id_col), "cls")
 
 
-def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: id_col, n_shingles, component_id.
-
-    A text's set is its distinct n-grams of `words` words, lower-cased in A-Z; a text with fewer words
-    has its whole sequence as the one element, a text without words (or null) the empty set, which is
-    linked with nothing: its component_id is its own id. Two rows are linked if their sets' similarity
-    is at least `percent` hundredths; component_id is the smallest id reachable by links. Repeated rows
-    and ids are rows like others. Null ids are members of components, but never name one unless all its
-    ids are null. No rows give no rows. Other columns aren't read.
-    """
-    base = _base(docs, id_col, text_col)
+def _components(base: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, first): id, at and cls of every row; cls, rows and the first place of its component for every class with words."""
     profile, rows, classes, seed = _classes(base, words)
     buckets = _meetings(base, profile, rows, words, percent, seed)
 
@@ -629,10 +620,49 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str =
             roots = components(links.unionByName(more))
 
     # Most classes are a component of their own; of the others, large components are attached by broadcast.
-    member = cut(roots.withColumnRenamed("node", "cls").join(classes.select("cls", "rep"), "cls"))
-    least = member.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("rows"))
-    joined = attach(member.select("cls", "root"), least.select("root", "component_id"), "root", hot_keys(least, "root"))
-    named = cut(classes.select("cls", "rep", "rows").join(joined.select("cls", "component_id"), "cls", "left").select("cls", "rows", F.coalesce("component_id", "rep").alias("component_id")))
+    member = cut(roots.withColumnRenamed("node", "cls").join(classes.select("cls", "at"), "cls"))
+    least = member.groupBy("root").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"))
+    joined = attach(member.select("cls", "root"), least.select("root", "first"), "root", hot_keys(least, "root"))
+    named = classes.select("cls", "at", "rows").join(joined.select("cls", "first"), "cls", "left")
+    return rows.select("id", "at", "cls"), cut(named.select("cls", "rows", F.coalesce("first", "at").alias("first")))
+
+
+def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: id_col, n_shingles, component_id.
+
+    A text's set is its distinct n-grams of `words` words, lower-cased in A-Z; a text with fewer words
+    has its whole sequence as the one element, a text without words (or null) the empty set, which is
+    linked with nothing: its component_id is its own id. Two rows are linked if their sets' similarity
+    is at least `percent` hundredths; component_id is the smallest id reachable by links. Repeated rows
+    and ids are rows like others. Null ids are members of components, but never name one unless all its
+    ids are null. No rows give no rows. Other columns aren't read.
+    """
+    rows, first = _components(_base(docs, id_col, text_col), words, percent)
     full, blank = rows.filter("cls.n > 0").select("id", "cls"), rows.filter("cls.n = 0").select("id", "cls", F.col("id").alias("component_id"))
-    out = attach(full, named.select("cls", "component_id"), "cls", hot_keys(named, "cls")).select("id", "cls", "component_id").unionByName(blank)
+    found = attach(full, first.select("cls", F.col("first.id").alias("component_id")), "cls", hot_keys(first, "cls"))
+    out = found.select("id", "cls", "component_id").unionByName(blank)
     return out.select(F.col("id").alias(id_col), F.col("cls.n").cast("long").alias("n_shingles"), "component_id")
+
+
+def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, without near copies: of each component of `ngram_join` one row stays.
+
+    The row with the smallest id stays (nulls last, then the smallest text hash); of rows that repeat its
+    id and text any one. Rows without words are in no component and stay. Decisions go with a row's id
+    and text, so rows that share an id are decided on their own. No rows give no rows. Columns of `docs`
+    may have any name.
+    """
+    rows, first = _components(_base(docs, id_col, text_col), words, percent)
+    placed = attach(rows.filter("cls.n > 0").select("at", "cls"), first.select("cls", "first"), "cls", hot_keys(first, "cls")).select("at", (F.col("at") == F.col("first")).alias("stays"))
+    placed = cut(placed.groupBy("at").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("rows")))
+    leave = placed.filter("not stays").select("at")
+    text = F.col(text_col).cast("string")
+    at = F.struct(F.col(id_col).cast("long").isNull().alias("void"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"))
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), at.alias("at"))
+    kept = packed.join(bounded(leave, leave.count(), 64), packed["at"].eqNullSafe(leave["at"]), "left_anti")
+    twice = placed.filter("stays and rows > 1").select("at")
+    if not twice.isEmpty():  # rows that repeat an id and a text
+        side = bounded(twice, twice.count(), 64)
+        once = kept.join(side, kept["at"].eqNullSafe(side["at"]), "left_semi").groupBy("at").agg(F.first("row").alias("row"))
+        kept = kept.join(side, kept["at"].eqNullSafe(side["at"]), "left_anti").unionByName(once.select(*kept.columns))
+    return kept.select("row.*")
