@@ -12,7 +12,9 @@ from quern.session import table
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, cls string, sig string, row int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, cls string, sig string, row int, at string, __n int, __u int, __s string, th long"
+#: Values of the columns with clashing names.
+CLASH = (0, 5, "c", "s", 1, "a", 2, 3, "z", 4)
 
 
 @pytest.fixture(scope="module")
@@ -20,8 +22,8 @@ def edge(spark):
     """Nulls, empty and blank texts, ties, repeated rows, a long text and columns with clashing names."""
     long = "".join(random.Random(4).choice("abcdefg  \n") for _ in range(200_000))
     texts = [None, "", "  \n", "a b c d e", "a b c d e", "A b  c d\te", "one", "one two", long, long, "x" * 70_000, "日本語 テキスト ▁ 😀"]
-    rows = [(i, t, "en" if i % 2 else None, None if i % 3 else "s", 0, 5, "c", "s", 1) for i, t in enumerate(texts)]
-    return spark.createDataFrame([*rows, rows[3], (None, "a b c d e", None, None, None, None, None, None, None)], SCHEMA)
+    rows = [(i, t, "en" if i % 2 else None, None if i % 3 else "s", *CLASH) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[3], (None, "a b c d e", *[None] * 12)], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -155,6 +157,15 @@ def test_exact_dedup_edges(edge, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_exact_dedup_keeps_one_row_of_repeated_and_null_ids(spark):
+    texts = ["same", "s ame", "other"]
+    rows = [(None, "same")] * 300 + [(None, "sa me")] * 3 + [(7, "x"), (7, " x"), (7, "x"), (8, "x y z "), (9, "xyz")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows) and len(texts) == 3
+    kept = Counter((r.doc_id, r.keep_id, r.group_size) for r in got if r.kept)
+    assert kept == {(None, None, 303): 1, (7, 7, 3): 1, (8, 8, 2): 1}
+
+
 def test_exact_dedup_compares_content_when_digests_collide(spark):
     docs = spark.createDataFrame([(i, f"text {i % 5}") for i in range(40)], "doc_id long, text string")
     same = lambda norm: [F.lit("x").alias("sha"), F.lit("y").alias("md5"), F.lit(1).alias("chars")]
@@ -247,6 +258,53 @@ def test_language_accuracy_and_edges(spark, edge, empty):
     assert {r.lang_pred for r in language_id.identify(edge, language_id.train(empty)).collect()} == {"und"}
 
 
+def test_windows_label_as_a_plain_loop_does():
+    """label_windows against one byte after the other, one text and direction at a time."""
+    rng = np.random.default_rng(5)
+    m = language_id._new(["a", "b", "c"], rng)
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 17, 128, 129, 500)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    squash = lambda a: a / (1 + np.abs(a))
+
+    def run(side, window):
+        h = np.zeros(language_id.HIDDEN, np.float64)
+        for byte in window:
+            a = squash(m.table[side][:, byte] + m.recur[side] @ h)
+            h = h + (0.5 + 0.5 * a[: language_id.HIDDEN]) * (a[language_id.HIDDEN :] - h)
+        return h
+
+    want = []
+    for t in texts:
+        total = np.zeros(3)
+        for i in range(len(t)):
+            begin = i // language_id.CORE * language_id.CORE
+            low, high = begin - language_id.CONTEXT, begin + language_id.CORE + language_id.CONTEXT
+            byte = lambda k: t[k] if 0 <= k < len(t) else 0  # noqa: B023, E731
+            z = m.out[0] @ run(0, map(byte, range(low, i + 1))) + m.out[1] @ run(1, map(byte, range(high - 1, i - 1, -1))) + m.bias[:, 0]
+            p = np.exp(z - z.max())
+            total += p / p.sum()
+        want.append(total / max(1, len(t)))
+    got = language_id.predict_texts(m, data, ends - [len(t) for t in texts], ends)
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_training_takes_ids_of_any_type_and_seventy_labels(spark):
+    rows = [(f"d{i}", chr(97 + i % 26) * 40, f"l{i % 70}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = language_id.train(docs, steps=2)
+    assert len(model.labels) == 70 and language_id.identify(docs, model).count() == 700
+    labels = docs.select("doc_id", (F.substring("doc_id", -1, 1) == "3").cast("int").alias("toxic"))
+    assert toxicity.score(docs, toxicity.train(docs, labels)).filter("score between 0 and 1").count() == 700
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (1000 if i < 2 else 10)) for i in range(20)], "id long, text string")
+    picked = [(i, "ab"[i % 2]) for i in range(20)]
+    got = sampling.sample_texts(docs, picked, "id", "text", 100)
+    assert Counter(label for label, _ in got) == {"a": 5, "b": 5} and all(len(t) == 10 for _, t in got)
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(2)
     m = language_id._new(["x", "y"], rng)
@@ -273,6 +331,42 @@ def test_sample_has_every_label(spark):
     assert [i for i, label in picked if label == "common"] == [r.id for r in want.collect()]
 
 
+def test_toxicity_distances_are_compressed_lengths():
+    """Distances by the library itself, and windows that cover every byte of a text."""
+    import zstandard
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    ordinary, toxic = (" ".join(rng.choice(w) for _ in range(2000)).encode() for w in (words[:200], words[100:]))
+    pair = toxicity.compressor(ordinary), toxicity.compressor(toxic)
+    for n in (0, 1, 100, 160, 161, 1000):
+        text = (" ".join(rng.choice(words) for _ in range(200)).encode())[:n]
+        w = toxicity.windows(text)
+        assert b"".join([w[0], *[x[toxicity.WINDOW - toxicity.STRIDE :] for x in w[1:]]]) == text
+        assert toxicity.distances(text, *pair) == [len(pair[0](x)) - len(pair[1](x)) for x in w]
+    for window in w:
+        for compress, content in zip(pair, (ordinary, toxic)):
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            assert zstandard.ZstdDecompressor(dict_data=d).decompress(compress(window), max_output_size=1000) == window
+    clean = " ".join(words[:50]).encode()
+    assert np.mean(toxicity.distances(clean, *pair)) < 0 < np.mean(toxicity.distances(" ".join(words[-50:]).encode(), *pair))
+
+
+def test_toxicity_threshold_is_the_best_of_all():
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 60)
+    scores = np.round(y * 0.8 + rng.normal(0, 1, 60), 1)
+    cut = toxicity._threshold(scores, y, 0.1)
+
+    def f1(c):
+        weight = np.where(y == 1, 0.1 / y.mean(), 0.9 / (1 - y.mean()))
+        hit = (weight * y)[scores >= c].sum()
+        return 2 * hit / (weight[scores >= c].sum() + (weight * y).sum())
+
+    assert f1(cut) >= max(f1(c) for c in scores) - 1e-12
+    assert toxicity._separation(scores, y) == np.mean([(a > b) + 0.5 * (a == b) for a in scores[y == 1] for b in scores[y == 0]])
+
+
 def test_toxicity_separates_and_edges(spark, edge, empty):
     docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     model = toxicity.train(docs.select("doc_id", "text"), labels)
@@ -280,21 +374,29 @@ def test_toxicity_separates_and_edges(spark, edge, empty):
     rows = [(r.score, r.toxic) for r in got.select("score", "toxic").collect()]
     ranked = np.argsort(np.argsort([s for s, _ in rows])) + 1
     y = np.array([t for _, t in rows])
-    # The area under the ROC curve; 0.81 as measured when this was written.
+    # The area under the ROC curve; the bound is older than this model.
     assert (ranked[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum()) > 0.75
     assert all(0 <= r.score <= 1 for r in toxicity.score(edge, model).collect()) and toxicity.score(empty, model).count() == 0
 
 
-def test_sharding_laws(spark, edge, empty):
-    for docs in (edge, table(spark, SF, "documents")):
+def test_sharding_equals_brute_force(spark, edge, empty):
+    import zlib
+
+    for docs in (edge, table(spark, SF, "documents").repartition(3)):
+        rows = [(r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect()]
+        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        total, start, want, slots = sum(r[1] for r in rows), 0, [], Counter()
+        for i, size, crc in rows:
+            shard = min(7, (2 * start + size) * 8 // (2 * total))
+            want.append((i, size, crc, shard, slots[shard], start))
+            slots[shard] += 1
+            start += size
         got = sharding.shard_by_bytes(docs).collect()
-        assert len(got) == docs.count()
-        ordered = sorted(got, key=lambda r: r.start)
-        assert [r.start for r in ordered] == np.cumsum([0, *[r.size for r in ordered]])[:-1].tolist()
-        assert [r.shard for r in ordered] == sorted(r.shard for r in ordered)
-        for s in range(8):
-            slots = sorted(r.slot for r in got if r.shard == s)
-            assert slots == list(range(len(slots)))
+        assert sorted(map(str, [(r.doc_id, r.size, r.text_crc32, r.shard, r.slot, r.start) for r in got])) == sorted(map(str, want))
+        loads = Counter()
+        for r in got:
+            loads[r.shard] += r.size
+        assert max(loads.values()) - total / 8 <= max(r[1] for r in rows)
     assert sharding.shard_by_bytes(empty).count() == 0
 
 
@@ -303,7 +405,50 @@ def test_mixing_reaches_the_weights(spark, edge, empty):
     n = {r.source: r["count"] for r in mixing.mix(docs, {"hot": 1.0, "s0": 2.0, "s1": 1.0}).groupBy("source").count().collect()}
     assert set(n) == {"hot", "s0", "s1"}
     assert abs(n["hot"] - 7500) < 400 and abs(n["s0"] - 15000) < 700
-    assert mixing.mix(edge).count() >= 0 and mixing.mix(empty).count() == 0
+    assert mixing.mix(empty).count() == 0 and mixing.mix(docs, {"nowhere": 1.0}).count() == 0
+
+
+def _poisson_count(rate, u):
+    import math
+
+    p, k, total = math.exp(-rate), 0, 0.0
+    while True:
+        total += p
+        if total > u:
+            return k
+        k += 1
+        p *= rate / k
+
+
+def test_mixing_counts_are_inverted_poisson(spark, edge):
+    import hashlib
+
+    got = mixing.mix(edge)
+    assert got.columns == [*edge.columns, "mix_copy", "mix_key"]
+    n = Counter((r.doc_id, r.text) for r in got.collect())
+    rows, sizes = edge.collect(), Counter(r.source for r in edge.collect())
+    want = Counter()
+    for r in rows:
+        name = str(r.doc_id) if r.doc_id is not None else "null" + hashlib.md5(r.text.encode()).hexdigest()
+        u = int(hashlib.md5(f"mix:{name}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        want[(r.doc_id, r.text)] += _poisson_count(len(rows) / len(sizes) / sizes[r.source], u)
+    assert n == +want and {(r["__n"], r["__u"], r["__s"]) for r in got.select("`__n`", "`__u`", "`__s`").distinct().collect()} <= {(2, 3, "z"), (None, None, None)}
+
+
+def test_mixing_probabilities_at_any_rate(spark):
+    import math
+
+    for rate in (1e-9, 0.3, 1.0, 15.5, 700.0, 2e6):
+        row = spark.range(1).select(mixing.poisson_table(F.lit(rate)).alias("t")).first().t
+        assert len(row.p) <= 30 * (math.sqrt(rate) + 1) + 3 and abs(sum(row.p) - 1) < 1e-8
+        k = row.low + len(row.p) // 2
+        assert math.isclose(row.p[k - row.low], math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)), rel_tol=1e-6)
+
+
+def test_mixing_one_document_against_a_million(spark):
+    docs = spark.range(1_000_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 5, "small").otherwise("large").alias("source"), F.lit("t").alias("text"))
+    got = mixing.mix(docs).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id", "mix_copy").alias("apart")).collect()
+    assert {r.source for r in got} == {"small", "large"} and all(abs(r.n - 500_000) < 5_000 and r.n == r.apart for r in got)
 
 
 def test_chat_round_trip_and_machine(spark):
@@ -316,6 +461,27 @@ def test_chat_round_trip_and_machine(spark):
     assert not got[2].valid and got[4].first_error == 1 and len(got) == 5
 
 
+def test_chat_edges(spark):
+    long = "w </s> " * 60_000
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "system", "s"), (1, 1, "assistant", long)]
+    turns = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, segments string, t int")
+    got = chat_format.format_chats(turns).withColumn("back", chat_format.parse_chats(F.col("formatted"))).withColumn("learned", chat_format.loss_text(F.col("segments"))).collect()
+    assert len(got) == 1 and [(t.role, t.text) for t in got[0].back] == [("system", "s"), ("user", "a"), ("user", "a"), ("user", "b"), ("assistant", long)]
+    assert got[0].learned == long and got[0].first_error == 2 and got[0].n_turns == 5
+    assert chat_format.format_chats(turns.limit(0)).count() == 0
+
+
+def test_url_edges(spark):
+    entries = spark.sql("SELECT 'l' AS list, 'host' AS kind, 'h.org' AS key, timestamp'2024-01-01' AS date, explode(array('add', 'remove')) AS action UNION ALL SELECT 'm', 'host', 'g.org', timestamp'2024-01-01', 'add'")
+    long = "http://g.org/" + "x" * 100_000
+    captures = spark.createDataFrame([(1, "http://h.org/", 1, "h", "k"), (2, long, 1, "h", "k"), (2, long, 1, "h", "k"), (None, "http://g.org", 1, "h", "k")], "page_id long, url string, row int, host string, k string")
+    captures = captures.withColumn("fetch_time", F.expr("timestamp'2024-01-01'"))
+    got = url_filter.filter_urls(captures, entries).collect()
+    assert sorted((str(r.page_id), r.blocked, len(r.url)) for r in got) == sorted([("1", False, 13), ("2", True, len(long)), ("2", True, len(long)), ("None", True, 12)])
+    assert url_filter.filter_urls(captures.limit(0), entries).count() == 0
+    assert not any(r.blocked for r in url_filter.filter_urls(captures, entries.limit(0)).collect())
+
+
 def test_url_list_is_judged_as_of_the_fetch(spark):
     entries = spark.sql("""SELECT * FROM VALUES ('spam', 'domain', 'bad.com', timestamp'2024-01-10', 'add'), ('spam', 'domain', 'bad.com', timestamp'2024-02-10', 'remove'),
       ('ads', 'host', 'x.bad.com', timestamp'2024-03-01', 'add'), ('ads', 'prefix', 'ok.org/en', timestamp'2024-01-01', 'add'), (null, 'host', 'ok.org', timestamp'2024-01-01', 'add') AS t(list, kind, key, date, action)""")
@@ -333,42 +499,79 @@ def test_quality_ledger_policies_and_ablation(spark, edge, empty):
         m, b = quality_rules.mask("v1"), quality_rules.BIT[r.rule]
         assert (r.n_failed, r.n_only, r.n_kept) == (sum(f & b > 0 for f in failed), sum(f & m == b for f in failed), sum(f & m == 0 for f in failed))
     by = {r.doc_id: r for r in quality_rules.ledger(edge).collect()}
-    assert by[0].n_words == 0 and by[0].failed & 1 and by[3].n_words == 5
+    texts = {r.doc_id: r.text for r in edge.collect()}
+    for i in range(12):  # by hand: words and code points in them
+        text = texts[i] or ""
+        w = [x for x in text.translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ") if x]
+        windows = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        covered = {k + j for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for j in range(8)}
+        assert (by[i].n_words, by[i].word_chars, by[i].n_repeat_words) == (len(w), sum(map(len, w)), len(covered)) and bool(by[i].failed & 1) == (len(w) < 20)
     assert quality_rules.ledger(empty).count() == 0
 
 
+def _brute_exact(rows):
+    best = {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        k = (t or "").translate(str.maketrans("", "", " \t\n\x0b\x0c\r"))
+        if k not in best or (len(t or "") > len(best[k][1] or "") and i is not None):
+            best[k] = (i, t)
+    return Counter(best.values())
+
+
 def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    import sentencepiece
+
     import corpus_pipeline as p
 
     docs = table(spark, SF, "documents")
     columns = docs.columns
-    for (name, stage) in p.STAGES[:3]:
-        before = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in p.STAGES[:4]:
+        before = [(r.doc_id, r.text) for r in docs.collect()]
+        source = {r.doc_id: (r.source, len((r.text or "").encode()) + 1) for r in docs.collect()}
         docs = stage(spark, docs, SF)
         assert docs.columns == columns
         docs.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
-        after = {r.doc_id for r in docs.collect()}
+        after = Counter((r.doc_id, r.text) for r in docs.collect())
         if name == "language_id":
-            assert after == {i for i, t in before.items() if t and any(c.isalpha() for c in t)}
+            assert after == Counter((i, t) for i, t in before if t and any(c.isalpha() for c in t))
         elif name == "exact_dedup":
-            best = {}
-            for i, t in sorted(before.items()):
-                k = (t or "").translate(str.maketrans("", "", " \t\n\x0b\x0c\r"))
-                if k not in best or len(t or "") > len(before[best[k]] or ""):
-                    best[k] = i
-            assert after == set(best.values())
+            assert after == _brute_exact(before)
+        elif name == "near_dedup":
+            before.sort()
+            root, _ = _brute_components([t for _, t in before], 5, 80)
+            assert after == Counter(before[n] for n in range(len(before)) if root[n] == n)
         else:
-            ids = sorted(before)
-            root, _ = _brute_components([before[i] for i in ids], 5, 80)
-            assert after == {i for n, i in enumerate(ids) if root[n] == n}
-    out = p.STAGES[4][1](spark, p.STAGES[3][1](spark, docs, SF), SF)
-    assert out.columns == ["doc_id", "ids", "n_ids", "decoded"] and out.count() > 0
+            import hashlib
+
+            sizes = Counter()
+            for s, size in source.values():
+                sizes[s] += size
+            u = lambda i: int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            assert after == +Counter({(i, t): _poisson_count(sum(sizes.values()) / len(sizes) / sizes[source[i][0]], u(i)) for i, t in before})
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    out = p.STAGES[4][1](spark, docs, SF)
+    assert out.columns == ["doc_id", "ids", "n_ids", "decoded"]
+    want = Counter((r.doc_id, tuple(library.encode(r.text)), r.text) for r in docs.collect())
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in out.collect()) == want
 
 
 def test_pipeline_stages_take_edge_rows(spark, edge, empty):
     import corpus_pipeline as p
 
-    for docs in (edge, empty):
-        for _, stage in p.STAGES:
-            assert stage(spark, docs, SF).count() >= 0
+    stages = dict(p.STAGES)
+    for stage in stages.values():
+        assert stage(spark, empty, SF).count() == 0
+    rows = [(r.doc_id, r.text) for r in edge.collect()]
+    kept = lambda name, docs: Counter((r.doc_id, r.text) for r in stages[name](spark, docs, SF).collect())
+    lettered = Counter((i, t) for i, t in rows if t and any(c.isalpha() for c in t))
+    assert kept("language_id", edge) == lettered
+    assert kept("language_id", edge.withColumn("lang", F.lit(None).cast("string"))) == lettered  # nothing to learn from
+    assert kept("exact_dedup", edge) == _brute_exact(rows)
+    got = kept("near_dedup", edge)
+    assert got == Counter({(i, t): 1 for i, t in rows if i not in (4, 5, 9, None)})
+    two = spark.createDataFrame([(1, "a b c d e f g h", *[None] * 12), (None, "a b c d e f g h", *[None] * 12), (None, "other words", *[None] * 12), (1, "third words", *[None] * 12)], SCHEMA)
+    assert kept("near_dedup", two) == Counter({(1, "a b c d e f g h"): 1, (None, "other words"): 1, (1, "third words"): 1})
+    out = stages["sentencepiece"](spark, edge, SF).collect()
+    assert len(out) == 14 and {r.doc_id: r.ids for r in out}[0] is None and {r.doc_id: r.ids for r in out}[1] == []
+    assert stages["mixing"](spark, edge, SF).columns == edge.columns
