@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.commands import strip_escapes
 from quern.functions.text import IMPORTANT, strip_ansi
 
 
@@ -54,11 +55,15 @@ class Rule:
     head: int | None = None
     tail: int | None = None
     on_empty: str | None = None
+    max_lines: int | None = None
+    #: Head, tail and max_lines cut one after the other; otherwise head and tail are kept side by side.
+    chained: bool = False
+    all_escapes: bool = False
 
     def column(self, text: Column) -> Column:
         t = F.coalesce(text, F.lit(""))
         if self.strip_ansi:
-            t = strip_ansi(t)
+            t = strip_escapes(t) if self.all_escapes else strip_ansi(t)
         rows = F.split(t, "\n")
         for pattern, to in self.replace:
             rows = F.transform(rows, _replacing(pattern, to))
@@ -70,13 +75,20 @@ class Rule:
         if self.max_width:
             rows = F.transform(rows, lambda x: F.left(x, F.lit(self.max_width)))
         n = F.size(rows)
-        if self.head is not None and self.tail is not None:
+        if self.chained:
+            if self.head:
+                rows = F.slice(rows, 1, self.head)
+            if self.tail:
+                rows = F.slice(rows, F.greatest(F.lit(1), F.size(rows) - self.tail + 1), F.lit(self.tail))
+        elif self.head is not None and self.tail is not None:
             cut = F.concat(F.slice(rows, F.lit(1), F.lit(self.head)), F.slice(rows, F.greatest(F.lit(1), n - self.tail + 1), F.lit(self.tail)))
             rows = F.when(n > self.head + self.tail, cut).otherwise(rows)
         elif self.head is not None:
             rows = F.slice(rows, F.lit(1), F.lit(self.head))
         elif self.tail is not None:
             rows = F.slice(rows, F.greatest(F.lit(1), n - self.tail + 1), F.lit(self.tail))
+        if self.max_lines:
+            rows = F.slice(rows, 1, self.max_lines)
         out = F.array_join(rows, "\n")
         if self.on_empty is not None:
             out = F.when(F.trim(out) == "", F.lit(self.on_empty)).otherwise(out)
@@ -86,6 +98,23 @@ class Rule:
         return out
 
 
+def load_rules(text: str) -> list[tuple[str, str, Rule]]:
+    """(name, pattern of its commands, rule) of every filter of a TOML rule file."""
+    import tomllib
+
+    out = []
+    for name, f in tomllib.loads(text).get("filters", {}).items():
+        rule = Rule(
+            strip_ansi=f.get("strip_ansi", False), all_escapes=True, chained=True,
+            replace=[(r["pattern"], r.get("replacement", "")) for r in f.get("replace", [])],
+            short_circuit=[(m["pattern"], m["message"], m.get("unless") or None) for m in f.get("match_output", [])],
+            drop=f.get("strip_lines_matching", []), keep=f.get("keep_lines_matching", []), max_width=f.get("truncate_lines_at") or None,
+            head=f.get("head_lines") or None, tail=f.get("tail_lines") or None, max_lines=f.get("max_lines") or None, on_empty=f.get("on_empty") or None,
+        )
+        out.append((name, f.get("match_command", ""), rule))
+    return out
+
+
 def apply_rules(docs: DataFrame, rules: list[tuple[Column, str, Rule]], text_col: str = "text") -> DataFrame:
     """docs with rule (name of the first whose condition holds) and reduced (its output if shorter, else the text)."""
     name, out = F, F

@@ -407,6 +407,19 @@ def echo_match(spark, sf):
     return echo.echoes(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+_PLACED = r"SELECT {id}, i AS {pos}, array_to_string(w[i:i + 7], ' ') AS gram FROM (SELECT {id}, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {id}, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), lambda x: x <> '') AS w FROM {table}) WHERE len(w) >= 8)"
+
+
+@query(f"""WITH d AS ({_PLACED.format(id='doc_id', pos='pos', table='documents')}), b AS ({_PLACED.format(id='item_id', pos='at_', table='benchmark')}),
+m AS (SELECT doc_id, item_id, pos, at_, gram, pos - row_number() OVER (PARTITION BY doc_id, item_id, at_ - pos ORDER BY pos) AS run FROM d JOIN b USING (gram)),
+s AS (SELECT doc_id, item_id, min(pos) AS start, min(at_) AS block_start, count(*) + 7 AS words FROM m GROUP BY doc_id, item_id, at_ - pos, run),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, item_id, start, block_start, words, strlen(array_to_string(w[start:start + words - 1], ' ')) AS bytes FROM s JOIN w USING (doc_id) WHERE strlen(array_to_string(w[start:start + words - 1], ' ')) >= 200""")
+def echo_spans(spark, sf):
+    """Passages of 200 bytes or more that documents have of blocks."""
+    return echo.echo_spans(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query()
 def chunk_dedup(spark, sf):
     return chunks.repeated_chunks(table(spark, sf, "documents").select("doc_id", "source", "text"))
