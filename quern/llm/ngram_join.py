@@ -58,6 +58,8 @@ BLOCK, LONG = 1 << 18, 256
 SLICE = 100_000
 #: Classes that a task remembers, so that it emits a copy's signatures once.
 SEEN = 500_000
+#: Parts of the buckets of such signatures.
+HOT_SALTS = 256
 #: One class in so many is read to find the signatures that many rows share.
 SAMPLED = 64
 
@@ -411,11 +413,14 @@ def _signatures(docs: DataFrame, words: int, percent: int, seed: int, sketch: np
     return docs.select("text").mapInArrow(run, "sig long, d1 long, size int")
 
 
-def _over(rows: DataFrame, key: str, **sums: Column) -> DataFrame:
-    """rows with sums over all rows of the same key. Hot rows are combined before they are shuffled, the others meet in windows."""
-    cold = rows.filter("not hot").select("*", *[c.over(Window.partitionBy(key)).alias(name) for name, c in sums.items()])
+def _over(rows: DataFrame, key: str, keep: str = "true", **sums: Column) -> DataFrame:
+    """rows with sums over all rows of the same key, of the keys whose sums satisfy `keep`.
+
+    Hot rows are combined before they are shuffled, and only those of kept keys meet their sums; the others meet in windows.
+    """
+    cold = rows.filter("not hot").select("*", *[c.over(Window.partitionBy(key)).alias(name) for name, c in sums.items()]).filter(keep)
     hot = rows.filter("hot")
-    totals = hot.groupBy(key).agg(*[c.alias(name) for name, c in sums.items()])
+    totals = hot.groupBy(key).agg(*[c.alias(name) for name, c in sums.items()]).filter(keep)
     return cold.unionByName(hot.join(F.broadcast(totals), key).select(*cold.columns))  # totals: a row per hot signature
 
 
@@ -434,9 +439,19 @@ def _buckets(signatures: DataFrame, sample: DataFrame) -> DataFrame:
         F.struct("d1", F.shiftright("size", 2).alias("n")).alias("cls"),
         F.col("size").bitwiseAND(3).alias("role"),
     )
-    met = _over(_flagged(rows, shared), "sig", least=F.min("cls"), most=F.max("cls"), roles=F.bit_or("role")).filter("least != most and roles = 3")
+    able = "least != most and roles = 3"
+    if shared is None:
+        live = _over(_flagged(rows, None), "sig", able, least=F.min("cls"), most=F.max("cls"), roles=F.bit_or("role"))
+    else:
+        # One pass over the signatures: hot ones are spread by class, and what their parts say is combined afterwards.
+        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("cls"), F.lit(HOT_SALTS))).otherwise(0)
+        part = Window.partitionBy("sig", salt)
+        parts = cut(_flagged(rows, shared).select("*", F.min("cls").over(part).alias("least"), F.max("cls").over(part).alias("most"), F.bit_or("role").over(part).alias("roles")).filter(f"hot or {able}"))
+        hot = parts.filter("hot")
+        wanted = hot.groupBy("sig").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.bit_or("roles").alias("roles")).filter(able).select("sig")
+        live = parts.filter("not hot").unionByName(hot.join(F.broadcast(wanted), "sig", "left_semi"))
     # A class comes from several tasks if its copies do.
-    return met.groupBy("sig", "cls").agg(F.bit_or("role").alias("role"))
+    return live.groupBy("sig", "cls").agg(F.bit_or("role").alias("role"))
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -610,7 +625,7 @@ def _components(base: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
 
     # Then what is still apart: pairs of a probe and an index row of one bucket in different components.
     rooted = buckets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    apart = _over(rooted, "sig", least=F.min("root"), most=F.max("root")).filter("least != most").drop("least", "most")
+    apart = _over(rooted, "sig", "least != most", least=F.min("root"), most=F.max("root")).drop("least", "most")
     crossing = _crossing(apart.join(classes.select("cls", "bits"), "cls"), percent, True)
     seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = cut(crossing.join(seen, ["a", "b"], "left_anti"))

@@ -120,6 +120,23 @@ def test_ngram_classes_are_drawn_anew_when_digests_collide(spark, monkeypatch):
     assert [got[i] for i in range(7)] == want
 
 
+def test_ngram_join_of_hot_signatures_equals_brute_force(spark, monkeypatch):
+    """Every shared signature, node and class goes the way of hot ones."""
+    hot_keys = ngram_join.hot_keys
+    monkeypatch.setattr(ngram_join, "hot_keys", lambda counts, key, total=None, least=1: hot_keys(counts, key, 0, 1))
+    monkeypatch.setattr(ngram_join, "SAMPLED", 2)
+    rng, texts = random.Random(3), []
+    base = [f"w{rng.randrange(400)}" for _ in range(80)]
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(rng.randrange(3)):
+            copy[rng.randrange(80)] = f"w{rng.randrange(400)}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(f"v{rng.randrange(400)}" for _ in range(rng.choice([3, 20, 80]))) for _ in range(20)] + texts[:20]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in ngram_join.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)).collect()}
+    assert [got[i] for i in range(len(texts))] == list(zip(*_brute_components(texts, 4, 85)))
+
+
 def test_ngram_links_are_all_links(spark):
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in (3, 4, 30, 50)] + [" ".join(base), " ".join(base), "", "other words of a text"]
