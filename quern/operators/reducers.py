@@ -18,7 +18,7 @@ MATCH = r"^((?:[A-Za-z]:[\\/])?[^:]+):(\d+):(.*)$"
 #: Roles by the bonus of a cache breakpoint.
 ROLE_BONUS = {"assistant": 90, "tool": 80, "user": 70, "system": 40}
 #: Characters of a token, tokens of the shortest prefix, breakpoints, and characters of a large tool result.
-CHARS, PREFIX_TOKENS, BREAKPOINTS, LARGE_RESULT = 4, 1024, 4, 4096
+CHARS, PREFIX_TOKENS, BREAKPOINTS, LARGE_RESULT = 4, 1024, 4, 5120
 
 
 def shorter(made: Column, text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.operators import neardup
 from quern.operators import reducers as R
 from quern.plans.base import CALLS, REQUESTS, cte, query, view
 from quern.session import table
@@ -85,7 +86,7 @@ def collapsed_loops(spark, sf):
 
 
 @query(f"""WITH {cte('e', CALLS)}, c AS (SELECT session, id, CASE id % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'assistant' ELSE 'tool' END AS role, id % 3 = 2 AS result, repeat('x', (id * 97 % 6000)::INT) AS text, row_number() OVER (PARTITION BY session ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY session) AS n FROM e),
-s AS (SELECT *, sum(strlen(text)) OVER (PARTITION BY session) // 4 >= 1024 AS long, CASE WHEN n > 1 THEN i * 100 // (n - 1) ELSE 0 END + CASE role WHEN 'user' THEN 70 WHEN 'assistant' THEN 90 ELSE 80 END + CASE WHEN result AND strlen(text) >= 4096 THEN 1000 + strlen(text) // 1024 WHEN strlen(text) > 1024 THEN strlen(text) // 2048 ELSE 0 END AS score FROM c)
+s AS (SELECT *, sum(strlen(text)) OVER (PARTITION BY session) // 4 >= 1024 AS long, CASE WHEN n > 1 THEN i * 100 // (n - 1) ELSE 0 END + CASE role WHEN 'user' THEN 70 WHEN 'assistant' THEN 90 ELSE 80 END + CASE WHEN result AND strlen(text) >= 5120 THEN 1000 + strlen(text) // 1024 WHEN strlen(text) > 1024 THEN strlen(text) // 2048 ELSE 0 END AS score FROM c)
 SELECT session, id, long AND row_number() OVER (PARTITION BY session ORDER BY score DESC, i DESC) <= 4 AS breakpoint FROM s""")
 def cache_breakpoints(spark, sf):
     role = F.when(F.col("id") % 3 == 0, "user").when(F.col("id") % 3 == 1, "assistant").otherwise("tool")
@@ -109,3 +110,10 @@ def request_facts(spark, sf):
         R.thousands(F.col("original") * 1000).alias("tokens"),
         R.request_key(F.col("provider"), F.col("route"), F.col("command")).alias("key"),
     )
+
+
+@query()
+def near_leaders(spark, sf):
+    """Turns that repeat earlier ones of their source's documents, exactly or nearly, by ordered leaders."""
+    docs = table(spark, sf, "documents").select("source", "doc_id", "text")
+    return neardup.leaders(docs, "source", "doc_id")

@@ -272,3 +272,57 @@ def test_session_windows_of_events(spark):
 
     rows = spark.sql("SELECT 1 AS user_id, timestamp_seconds(t) AS ts FROM VALUES (0), (600), (5000) AS v(t)")
     assert sorted((r.start, r.n) for r in collector.session_counts(rows).collect()) == [(0, 2), (5000, 1)]
+
+
+def _plain_signature(text):
+    words = text.split()
+    parts = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    out, m = [], (1 << 64) - 1
+    for seed in range(1, 129):
+        best = m
+        for p in parts:
+            h = 14695981039346656037
+            for b in p.encode() + seed.to_bytes(8, "little"):
+                h = ((h ^ b) * 1099511628211) & m
+            best = min(best, h)
+        out.append(best)
+    return out
+
+
+def test_signatures_and_leaders_equal_a_plain_loop(spark):
+    from quern.operators import neardup
+
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(300)}" for _ in range(60)] for _ in range(2)]
+    rows = []
+    for i in range(40):
+        words = list(base[i % 2])
+        for _ in range(rng.choice([0, 0, 1, 3, 12])):
+            words[rng.randrange(60)] = f"x{rng.randrange(50)}"
+        rows.append((f"s{i % 3}", i, " ".join(words)))
+    rows += [("s0", 40, "short"), ("s0", 41, " short\r\n"), ("s1", 42, None), ("s0", 39, rows[0][2])]
+    assert neardup.signature("a b c d é").tolist() == _plain_signature("a b c d é") and neardup.signature("one").tolist() == _plain_signature("one")
+    got = sorted((r.session, r["at"], r.kind, r.first) for r in neardup.leaders(spark.createDataFrame(rows, "session string, at long, text string")).collect())
+    want, exact, kept = [], {}, {}
+    for s, i, t in sorted(rows, key=lambda r: r[1]):
+        key = s + chr(0) + (t or "").replace("\r\n", "\n").strip()
+        if key in exact:
+            want.append((s, i, "exact", exact[key]))
+            continue
+        sig = _plain_signature(key) if len(key) - len(s) - 1 >= 120 else None
+        near = next((j for j, other in kept.get(s, []) if sig and j != i and sum(a == b for a, b in zip(sig, other)) / 128 >= 0.85), None)
+        if near is not None:
+            want.append((s, i, "near", near))
+            continue
+        if sig:
+            kept.setdefault(s, []).append((i, sig))
+        exact[key] = i
+        want.append((s, i, "new", -1))
+    assert got == sorted(want) and {k for _, _, k, _ in got} == {"new", "near", "exact"}
+
+
+def test_staircase(spark):
+    from quern.operators.neardup import staircase
+
+    rows = spark.createDataFrame([(5,), (10,), (11,), (50,)], "n int").select("n", staircase(F.col("n"), [(10, 0.7), (20, 5.0)]).alias("t"))
+    assert {r.n: r.t for r in rows.collect()} == {5: 0.7, 10: 0.7, 11: 0.85, 50: 0.85}
