@@ -18,7 +18,7 @@ BROADCAST_BYTES = 64 << 20
 HOT_KEYS, HOT_LEAST = 4096, 64
 
 #: Bytes after which an Arrow batch ends; rows are whole texts of any length.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 3 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
