@@ -40,7 +40,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import attach, bounded, cut, hot_keys, ship
+from quern.session import HOT_LEAST, attach, bounded, cut, hot_keys, ship
 
 #: Sizes of a band reach from its first one to this many times it.
 BAND = 1.35
@@ -59,7 +59,7 @@ SLICE = 100_000
 #: Classes that a task remembers, so that it emits a copy's signatures once.
 SEEN = 500_000
 #: Parts of the buckets of such signatures.
-HOT_SALTS = 256
+HOT_SALTS = 64
 #: One class in so many is read to find the signatures that many rows share.
 SAMPLED = 64
 
@@ -414,42 +414,49 @@ def _signatures(docs: DataFrame, words: int, percent: int, seed: int, sketch: np
 
 
 def _over(rows: DataFrame, key: str, keep: str = "true", **sums: Column) -> DataFrame:
-    """rows with sums over all rows of the same key, of the keys whose sums satisfy `keep`.
+    """rows (of classes) with sums over all rows of the same key, of the keys whose sums satisfy `keep`.
 
-    Hot rows are combined before they are shuffled, and only those of kept keys meet their sums; the others meet in windows.
+    Cold rows meet in windows. Hot ones are combined before they are shuffled; their sums (a row per hot
+    key) are laid beside each of HOT_SALTS parts of the key's rows, and windows over the parts take them.
     """
     cold = rows.filter("not hot").select("*", *[c.over(Window.partitionBy(key)).alias(name) for name, c in sums.items()]).filter(keep)
     hot = rows.filter("hot")
     totals = hot.groupBy(key).agg(*[c.alias(name) for name, c in sums.items()]).filter(keep)
-    return cold.unionByName(hot.join(F.broadcast(totals), key).select(*cold.columns))  # totals: a row per hot signature
+    seeds = totals.select(key, *sums, F.explode(F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).alias("salt"), F.lit(1).alias("seed"))
+    parts = hot.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(HOT_SALTS)).cast("int")).unionByName(seeds, allowMissingColumns=True)
+    part = Window.partitionBy(key, "salt")
+    met = parts.select(*rows.columns, *[F.max(name).over(part).alias(name) for name in sums], F.max("seed").over(part).alias("seed"))
+    return cold.unionByName(met.filter("cls is not null and seed = 1").select(*cold.columns))
 
 
-def _flagged(rows: DataFrame, shared: DataFrame | None) -> DataFrame:
-    """rows with hot: their signature is one of the shared ones."""
-    if shared is None:
-        return rows.withColumn("hot", F.lit(False))
-    return rows.join(F.broadcast(shared.withColumn("hot", F.lit(True))), "sig", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+def _flagged(rows: DataFrame, shared: list[int]) -> DataFrame:
+    """rows with hot: their signature is one of the shared ones, of which there are few by a proven bound."""
+    return rows.withColumn("hot", F.col("sig").isin(shared) if shared else F.lit(False))
+
+
+def _shared(counts: DataFrame, least: int) -> list[int]:
+    found = hot_keys(counts, "sig", least=least)
+    return [] if found is None else [r["sig"] for r in found.collect()]
 
 
 def _buckets(signatures: DataFrame, sample: DataFrame) -> DataFrame:
     """sig, cls, role of the buckets that can give a pair (several classes, a probe and an index row), a row per class."""
-    shared = hot_keys(sample.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")), "sig", least=8)
+    shared = _shared(sample.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")), 8)
     rows = signatures.select(
         "sig",
         F.struct("d1", F.shiftright("size", 2).alias("n")).alias("cls"),
         F.col("size").bitwiseAND(3).alias("role"),
     )
+    # One pass over the signatures: hot ones are spread by class, and what their parts say is combined afterwards.
     able = "least != most and roles = 3"
-    if shared is None:
-        live = _over(_flagged(rows, None), "sig", able, least=F.min("cls"), most=F.max("cls"), roles=F.bit_or("role"))
-    else:
-        # One pass over the signatures: hot ones are spread by class, and what their parts say is combined afterwards.
-        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("cls"), F.lit(HOT_SALTS))).otherwise(0)
-        part = Window.partitionBy("sig", salt)
-        parts = cut(_flagged(rows, shared).select("*", F.min("cls").over(part).alias("least"), F.max("cls").over(part).alias("most"), F.bit_or("role").over(part).alias("roles")).filter(f"hot or {able}"))
-        hot = parts.filter("hot")
-        wanted = hot.groupBy("sig").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.bit_or("roles").alias("roles")).filter(able).select("sig")
-        live = parts.filter("not hot").unionByName(hot.join(F.broadcast(wanted), "sig", "left_semi"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("cls"), F.lit(HOT_SALTS))).otherwise(0) if shared else F.lit(0)
+    part = Window.partitionBy("sig", salt) if shared else Window.partitionBy("sig")
+    live = _flagged(rows, shared).select("*", F.min("cls").over(part).alias("least"), F.max("cls").over(part).alias("most"), F.bit_or("role").over(part).alias("roles")).filter(f"hot or {able}")
+    if shared:
+        live = cut(live)
+        sums = live.filter("hot").groupBy("sig").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.bit_or("roles").alias("roles"))
+        wanted = [r["sig"] for r in sums.filter(able).select("sig").collect()]  # hot signatures: few
+        live = live.filter(~F.col("hot") | F.col("sig").isin(wanted))
     # A class comes from several tasks if its copies do.
     return live.groupBy("sig", "cls").agg(F.bit_or("role").alias("role"))
 
@@ -574,7 +581,7 @@ def _meetings(base: DataFrame, profile: DataFrame, rows: DataFrame, words: int,
     everything = rows.count()
     signatures = lambda docs: _signatures(docs, words, percent, seed, sketch, everything)
     buckets = cut(_buckets(signatures(base), signatures(base.filter(F.pmod(F.xxhash64("id", "th"), F.lit(SAMPLED)) == 0))))
-    return _flagged(buckets, hot_keys(buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")), "sig"))
+    return _flagged(buckets, _shared(buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")), HOT_LEAST))
 
 
 def _crossing(meeting: DataFrame, percent: int, apart: bool) -> DataFrame:
