@@ -30,9 +30,9 @@ CONTEXT = 16
 #: Training: windows per step, their length, steps, learning rate.
 BATCH, LENGTH, STEPS, RATE = 256, 48, 300, 0.02
 #: Windows that are run at once.
-BLOCK = 2048
+BLOCK = 1024
 #: Bytes of text that are labelled at once.
-BYTES = 1 << 20
+BYTES = 1 << 19
 UNDETERMINED = "und"
 #: What a text must have to be in a language.
 LETTER = r"\p{L}"
