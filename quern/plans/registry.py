@@ -275,7 +275,7 @@ def redaction(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.redact(F.col("text"))).alias("redacted"))
 
 
-#: The reference's patterns as they stand in internal/security/patterns.go, then the library's own five.
+#: The reference's 13 patterns, then the library's own five.
 _SECRET_STEPS = r"""
 WITH RECURSIVE p(k, name, re, least, own) AS (VALUES
   (1, 'AWS Access Key', 'AKIA[0-9A-Z]{16}', 0, false), (2, 'AWS Secret Key', '(?i)aws_secret_access_key\s*=\s*\S+', 0, false),
