@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, quality_rules, sentencepiece_codec, sharding, toxicity, url_filter
+from quern.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, quality_rules, sentencepiece_codec, sharding, toxicity, url_filter, whitening
 from quern.session import table
 
 
@@ -234,6 +234,10 @@ SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(peer) AS c
 """
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -246,6 +250,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_ngram_join": op10_ngram_join,
+        "op11_whitening": op11_whitening,
     }
 
 
