@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, quality_rules, sentencepiece_codec, sharding, toxicity, url_filter, whitening
+from quern.llm import chat_format, chat_repair, exact_dedup, language_id, lattice_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec, sharding, toxicity, url_filter, whitening
 from quern.session import table
 
 
@@ -238,6 +238,15 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_repair.damaged(table(spark, sf_dir, "conversations"))
+    return chat_repair.report(chat_repair.repair(turns, copies_col="copies")).withColumnRenamed("conv", "conv_id")
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -251,6 +260,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": op9_exact_dedup,
         "op10_ngram_join": op10_ngram_join,
         "op11_whitening": op11_whitening,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_near_vectors": op13_near_vectors,
     }
 
 

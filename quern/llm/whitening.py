@@ -66,7 +66,7 @@ def fit(rows: DataFrame, vector: str, components: int = COMPONENTS) -> Whitening
     d = dimensions(rows, vector)
     if not d:
         return None
-    entries = [F.col(vector)[i] for i in range(d)]
+    entries = [F.get(vector, F.lit(i)) for i in range(d)]
     exact = rows.agg(F.count(F.lit(1)), *[F.sum(e.cast("decimal(20,0)")) for e in entries]).first()
     n, sums = exact[0], [int(s) for s in exact[1:]]
     centred = rows.select(*[(e.cast("double") - F.lit(s / n)).alias(f"c{i}") for i, (e, s) in enumerate(zip(entries, sums))])
@@ -94,7 +94,7 @@ def whiten(rows: DataFrame, vector: str, model: Whitening, column: str = "whiten
         scale = model.scale(k)
         if scale is None:
             return F.lit(None).cast("double")
-        return reduce(Column.__add__, [(F.col(vector)[i].cast("double") - F.lit(m)) * F.lit(float(w)) for i, (m, w) in enumerate(zip(model.means, model.axes[:, k]))]) / F.lit(scale)
+        return reduce(Column.__add__, [(F.get(vector, F.lit(i)).cast("double") - F.lit(m)) * F.lit(float(w)) for i, (m, w) in enumerate(zip(model.means, model.axes[:, k]))]) / F.lit(scale)
 
     return rows.withColumn(column, F.array(*[along(k) for k in range(len(model.variances))]))
 
@@ -113,7 +113,7 @@ def deviation(vector: str, model: Whitening) -> Column:
     """The sum of (n * x - S)^2 over the dimensions, exact; null where a term or the sum is no bigint."""
     if any(abs(s) >= LONG for s in model.sums):
         return F.lit(None).cast("bigint")
-    off = [f"try_subtract(try_multiply({model.n}L, {vector}[{i}]), cast('{s}' as bigint))" for i, s in enumerate(model.sums)]
+    off = [f"try_subtract(try_multiply({model.n}L, get({vector}, {i})), cast('{s}' as bigint))" for i, s in enumerate(model.sums)]
     return F.expr(reduce(lambda a, b: f"try_add({a}, {b})", [f"try_multiply({o}, {o})" for o in off]))
 
 
