@@ -44,3 +44,28 @@ def prefix_sums(rows: DataFrame, by: list[str], order: list[Column], sums: dict[
         *[(F.coalesce(F.col(f"__{name}"), F.lit(0)) + F.coalesce(F.col(f"__{name}_before"), F.lit(0))).alias(name) for name in sums],
         *[F.coalesce(F.col(f"__{name}_total"), F.col(f"__{name}_all"), F.lit(0)).alias(f"{name}_all") for name in sums],
     )
+
+
+def previous(rows: DataFrame, by: list[str], order: list[Column], columns: list[str], partitions: int | None = None) -> DataFrame:
+    """rows with prev_<column> of the row before in its key, and has_prev, for keys of any size.
+
+    As prefix_sums: rows are dealt by ranges of key and order, and only the first row of a key in a range
+    looks at another range, whose last rows are broadcast: at most two rows a partition. Give narrow
+    columns. Rows that tie in `order` are taken in any order; give a tie-breaker.
+    """
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(rows.repartitionByRange(n, *by, *order).withColumn("__part", F.spark_partition_id()))
+    key = [*by, "__part"]
+    inside = Window.partitionBy(*key).orderBy(*order)
+    row = F.struct(*columns)
+    lagged = placed.withColumn("__prev", F.lag(row).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
+    last = lagged.withColumn("__last", F.lead(F.lit(1)).over(inside).isNull()).filter("__last").select(*key, row.alias("__row"))
+    of_key = Window.partitionBy(*by)
+    split = last.withColumn("__parts", F.count(F.lit(1)).over(of_key)).filter("__parts > 1")
+    before = split.select(*[F.col(c).alias(f"__key_{c}") for c in by], F.col("__part").alias("__at"), F.lag("__row").over(of_key.orderBy("__part")).alias("__before"))
+    on = F.col("__part") == F.col("__at")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__key_{c}"))
+    found = lagged.join(F.broadcast(before), on, "left")
+    prev = F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__prev"))
+    return found.select(*rows.columns, *[prev[c].alias(f"prev_{c}") for c in columns], prev.isNotNull().alias("has_prev"))
