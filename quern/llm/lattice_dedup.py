@@ -11,7 +11,7 @@ of just 0.98 in 64 dimensions: 0.85 of the pairs meet in a table, more than 0.99
   contracted to components. Then only classes of a cell that are still in different components meet.
   So a large group of near copies costs a star, and no pair that meets is left out.
 - Linked vectors are in one component, so the number of links is counted there: a component's classes
-  are dealt into chunks of about CHUNK, and each pair of chunks is one matrix product that gives a count
+  are dealt into chunks of bounded size, and each pair of chunks is one matrix product that gives a count
   for each class, never a list of pairs. A component is as many groups as its chunks have pairs.
 
 Hot cells, pivots and components are attached by broadcasts of a proven bound (`quern.session.attach`);
@@ -35,8 +35,9 @@ from quern.session import attach, cut, hot_keys, ship
 TABLES, PROBES = 8, 4
 #: A cell's scale is this many times the distance of unit vectors at the threshold (projections keep distances on average).
 SCALE = 1.75
-#: Classes of a chunk of a component, on average.
-CHUNK = 256
+#: Classes of a chunk of a component, on average: from CHUNK to MOST, in between with the root of its size, so that
+#: neither one group nor the number of groups that a class goes to grows faster than that.
+CHUNK, MOST = 48, 2048
 #: Rows of a hot cell that a part of it gets, on average.
 PART = 1024
 _LAST = (1 << 63) - 1
@@ -220,7 +221,7 @@ def _counts(members: DataFrame, threshold: float) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(totals, pa.int64())], ["node", "links"])
 
     sizes = cut(members.groupBy("root").agg(F.count(F.lit(1)).alias("rows")))
-    chunks = sizes.select("root", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
+    chunks = sizes.select("root", F.ceil(F.col("rows") / F.greatest(F.lit(CHUNK), F.least(F.lit(MOST), 1.5 * F.sqrt("rows")))).cast("int").alias("chunks"))
     dealt = attach(members, chunks, "root", hot_keys(sizes, "root")).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     groups = other.select("root", F.least("chunk", "other").alias("l"), F.greatest("chunk", "other").alias("r"), "chunk", "node", "rows", F.col("key.vector").alias("vector"))

@@ -154,6 +154,7 @@ def test_near_vectors_of_hot_cells_chunks_and_copies(spark, monkeypatch):
     hot = lattice_dedup.hot_keys
     monkeypatch.setattr(lattice_dedup, "hot_keys", lambda counts, key, total=None, least=1: hot(counts, key, 0, 1))
     monkeypatch.setattr(lattice_dedup, "CHUNK", 5)
+    monkeypatch.setattr(lattice_dedup, "MOST", 5)
     monkeypatch.setattr(lattice_dedup, "PART", 3)
     rng = np.random.default_rng(2)
     found = _clusters(rng, 16, [120, 40, 3], 0.16)
