@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.operators import audit as A
 from quern.operators import deltas as D
+from quern.operators import folds
 from quern.operators import matching as M
 from quern.operators import medians
 from quern.plans.base import REQUESTS, cte, query, view
@@ -25,10 +27,6 @@ def version_deltas(spark, sf):
     return out.select("key", "idx", "prev", "bytes", "delta_bytes", F.sha2("delta", 256).alias("delta_sha256"))
 
 
-#: Sessions: the events of a user on a day. Threads: purchases and sign-ups with a length of life made of their value.
-SESSIONS = "user_id, date_trunc('day', ts) AS day, min(ts) AS lo, max(ts) AS hi, count(*) AS n, min(event_id) AS id"
-_EPOCH = "(epoch_us({}) / 1e6)"
-
 
 @query("""
 WITH s AS (
@@ -95,3 +93,119 @@ def negative_events(spark, sf):
     """What retries of failed requests took over the running median, within two hours."""
     rows = view(spark, sf, REQUESTS).select("session", "ts", "id", F.when(F.col("id") % 31 == 0, 0).otherwise(F.col("original")).cast("long").alias("original"), (F.col("kind") == "error").alias("failed"), (~F.col("hit")).alias("usual"))
     return medians.negative_events(rows, seconds=7200)
+
+
+def audited_lines(spark, sf):
+    """Lines of every document as the blocks of a turn of its source, and what a reduction by checksum left of them."""
+    docs = table(spark, sf, "documents").select("source", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("place", "text"))
+    lines = docs.select(F.col("source").alias("session"), F.col("doc_id").alias("turn"), (F.col("place") * 2).cast("long").alias("block"), "text", F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(40)).alias("k"))
+    name = F.left(F.md5("text"), F.lit(12))
+    marked = F.concat(F.lit("[context-chunk status=unchanged uri=local-archive://"), name, F.lit(" bytes=1]"))
+    left = (
+        F.when(F.col("k").isin(1, 2), "").when(F.col("k").isin(3, 4), F.concat(F.lit("see local-archive://"), name)).when(F.col("k") == 5, F.concat(F.left("text", F.lit(9)), marked)).when(F.col("k") == 6, F.left("text", F.lit(10))).when(F.col("k") == 7, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    )
+    after = lines.filter("k != 0").select("session", "turn", "block", left.alias("text"))
+    extra = lines.filter("k = 8").select("session", "turn", F.col("block") + 1, F.lit("summary of the above"))
+    blocks = lines.select("session", "turn", F.lit("before").alias("side"), "block", "text").unionByName(after.unionByName(extra.toDF("session", "turn", "block", "text")).withColumn("side", F.lit("after")))
+    kept = lines.filter("k BETWEEN 3 AND 5").select(name.alias("id"), "text", "k", F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(3)).alias("way")).distinct()
+    # Of three entries one holds the text, one names an entry that holds it, one isn't there; chunks hold the rest of their line.
+    body = F.when(F.col("k") == 5, F.substring("text", F.lit(10), F.length("text"))).when(F.col("way") == 0, F.col("text")).otherwise(F.concat(F.lit("moved to local-archive://"), "id", F.lit("x")))
+    entries = kept.filter("k = 5 OR way < 2").select("id", body.alias("body")).unionByName(kept.filter("k < 5 AND way = 1").select(F.concat("id", F.lit("x")), "text").toDF("id", "body"))
+    return blocks, entries
+
+
+@query()
+def reduction_audit(spark, sf):
+    """Every line that a reduction changed, with its severity."""
+    return A.audit(*audited_lines(spark, sf))
+
+
+@query()
+def reduction_losses(spark, sf):
+    """Sizes, changes and losses of every source."""
+    blocks, entries = audited_lines(spark, sf)
+    return A.audit_report(blocks, A.audit(blocks, entries))
+
+
+_R = f"{cte('e', REQUESTS)}, r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, id) AS n FROM e)"
+
+
+@query(f"""
+WITH RECURSIVE {_R}, h AS (
+  SELECT session, id, n, CASE WHEN n >= 10 THEN avg(hit::INT) OVER (PARTITION BY session ORDER BY n ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END AS rate FROM r
+), f AS (
+  SELECT session, id, n, rate, rate AS baseline, false AS spike FROM h WHERE n = 1
+  UNION ALL SELECT h.session, h.id, h.n, h.rate,
+    CASE WHEN f.baseline IS NULL THEN h.rate WHEN h.rate < f.baseline * (1 - 0.25::DOUBLE) THEN f.baseline ELSE (1 - 0.05::DOUBLE) * f.baseline + 0.05::DOUBLE * h.rate END,
+    coalesce(h.rate < f.baseline * (1 - 0.25::DOUBLE), false)
+  FROM f JOIN h ON h.session = f.session AND h.n = f.n + 1
+)
+SELECT session, id, rate, baseline, spike FROM f
+""")
+def hit_baseline(spark, sf):
+    """Hit rates of the last ten requests of a session against a baseline that follows them."""
+    return folds.fold(view(spark, sf, REQUESTS), ["session"], ["ts", "id"], folds.HitBaseline(size=10)).select("session", "id", "rate", "baseline", "spike")
+
+
+@query(f"""
+WITH RECURSIVE {cte('e', REQUESTS)}, r AS (SELECT id, trim(model) AS model, output - 20 AS observed, estimated_output AS estimated, row_number() OVER (PARTITION BY trim(model), session ORDER BY ts, id) AS n, session FROM e),
+f AS (
+  SELECT model, session, n, id, (CASE WHEN observed > 0 AND estimated > 0 THEN floor(least(greatest(3500 * 0.95::DOUBLE + 3500::DOUBLE * estimated / observed * 0.05::DOUBLE, 1500), 6000)) ELSE 3500 END)::BIGINT AS ratio FROM r WHERE n = 1
+  UNION ALL SELECT r.model, r.session, r.n, r.id, (CASE WHEN observed > 0 AND estimated > 0 THEN floor(least(greatest(ratio * 0.95::DOUBLE + ratio::DOUBLE * estimated / observed * 0.05::DOUBLE, 1500), 6000)) ELSE ratio END)::BIGINT
+  FROM f JOIN r ON r.model = f.model AND r.session = f.session AND r.n = f.n + 1
+)
+SELECT model, session, id, ratio FROM f
+""")
+def token_ratios(spark, sf):
+    """Calibrated bytes per 1000 tokens of each model in a session, after every request."""
+    rows = view(spark, sf, REQUESTS).select(F.trim("model").alias("model"), "session", "ts", "id", (F.col("output") - 20).alias("observed"), F.col("estimated_output").alias("estimated"))
+    return folds.fold(rows, ["model", "session"], ["ts", "id"], folds.TokenRatio()).select("model", "session", "id", "ratio")
+
+
+@query(f"""
+WITH RECURSIVE r AS (SELECT event_type AS trigger, event_id AS id, epoch_us(ts) AS micros, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n, user_id % 7 AS lane FROM events),
+o AS (SELECT trigger, lane, id, micros, row_number() OVER (PARTITION BY trigger, lane ORDER BY n) AS n FROM r),
+f AS (
+  SELECT trigger, lane, id, n, micros AS last, true AS accepted FROM o WHERE n = 1
+  UNION ALL SELECT o.trigger, o.lane, o.id, o.n, CASE WHEN o.micros - f.last >= 7200000000 THEN o.micros ELSE f.last END, o.micros - f.last >= 7200000000
+  FROM f JOIN o ON o.trigger = f.trigger AND o.lane = f.lane AND o.n = f.n + 1
+)
+SELECT trigger, lane, id, accepted FROM f
+""")
+def checkpoint_captures(spark, sf):
+    """Which triggers of a lane of users take a checkpoint: none within two hours of the last one taken."""
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("trigger"), (F.col("user_id") % 7).alias("lane"), "ts", F.col("event_id").alias("id"), folds.micros(F.col("ts")).alias("micros"))
+    return folds.fold(rows, ["trigger", "lane"], ["ts", "id"], folds.Debounce(7200)).select("trigger", "lane", "id", "accepted")
+
+
+@query(f"""
+WITH RECURSIVE {cte('e', REQUESTS)}, r AS (
+  SELECT provider, id % 3 AS lane, id, applied, added, output, kind IN ('error', 'secret') AS failed, CASE id % 3 WHEN 0 THEN 'aggressive' WHEN 1 THEN 'standard' ELSE 'mild' END AS wanted,
+    row_number() OVER (PARTITION BY provider, id % 3 ORDER BY ts, id) AS n FROM e
+), f AS (
+  SELECT provider, lane, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::VARCHAR AS got, NULL::VARCHAR AS soft, NULL::VARCHAR AS now, 0::BIGINT AS cooling, 0::BIGINT AS k, 0::HUGEINT AS over, 0::HUGEINT AS gave, 0::BIGINT AS bad FROM (SELECT DISTINCT provider, lane FROM r)
+  UNION ALL
+  SELECT provider, lane, n, id, got, CASE WHEN down THEN CASE p2 WHEN 'aggressive' THEN 'standard' WHEN 'standard' THEN 'mild' ELSE 'off' END ELSE s1 END,
+    CASE WHEN down THEN CASE p2 WHEN 'aggressive' THEN 'standard' WHEN 'standard' THEN 'mild' ELSE 'off' END ELSE p2 END,
+    CASE WHEN down THEN 5 ELSE c1 END, CASE WHEN down THEN 0 ELSE k2 END, CASE WHEN down THEN 0 ELSE o2 END, CASE WHEN down THEN 0 ELSE g2 END, CASE WHEN down THEN 0 ELSE b2 END
+  FROM (
+    SELECT *, applied AND c1 <= 0 AND k2 >= 8 AND (b2::DOUBLE / k2 > 0.3::DOUBLE OR g2 > 0 AND o2::DOUBLE / g2 * 100 > 12) AS down
+    FROM (
+      SELECT *, CASE WHEN applied AND c1 <= 0 THEN wanted ELSE p1 END AS p2, k + applied::INT AS k2, over + CASE WHEN applied THEN added ELSE 0 END AS o2, gave + CASE WHEN applied THEN output ELSE 0 END AS g2, bad + (applied AND failed)::INT AS b2
+      FROM (
+        SELECT r.*, f.k, f.over, f.gave, f.bad, CASE WHEN f.soft IS NOT NULL AND f.cooling > 0 THEN f.cooling - 1 ELSE f.cooling END AS c1,
+          CASE WHEN f.soft IS NOT NULL AND f.cooling > 0 THEN f.soft ELSE r.wanted END AS got, CASE WHEN f.cooling > 0 THEN f.soft END AS s1,
+          CASE WHEN f.soft IS NOT NULL AND f.cooling <= 0 THEN r.wanted ELSE coalesce(f.now, r.wanted) END AS p1
+        FROM f JOIN r ON r.provider = f.provider AND r.lane = f.lane AND r.n = f.n + 1
+      )
+    )
+  )
+)
+SELECT provider, lane, id, got AS profile, cooling FROM f WHERE n > 0
+""")
+def profile_downgrades(spark, sf):
+    """The output profile of every request: softer for a while after failures or too much overhead."""
+    wanted = F.when(F.col("id") % 3 == 0, "aggressive").when(F.col("id") % 3 == 1, "standard").otherwise("mild")
+    rows = view(spark, sf, REQUESTS).select("provider", (F.col("id") % 3).alias("lane"), "ts", "id", wanted.alias("wanted"), "applied", "added", "output", F.col("kind").isin("error", "secret").alias("failed"))
+    rule = folds.Downgrade(samples=8, cooldown=5, failures=0.3, overhead=12.0)
+    return folds.fold(rows, ["provider", "lane"], ["ts", "id"], rule).select("provider", "lane", "id", "profile", "cooling")
