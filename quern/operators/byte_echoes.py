@@ -133,26 +133,28 @@ def stretches(texts: DataFrame, blocks: DataFrame, window: int = WINDOW, span: i
     return named.select("text_id", "block_id", "seeds", "block", "text").mapInArrow(run, f"text_id {kinds['text_id']}, block_id {kinds['block_id']}, start bigint, end bigint, off bigint")
 
 
-def choose(found: list[tuple[int, int, int]], window: int) -> Iterator[tuple[int, int, int]]:
-    """(start, end, index) of the stretches (start, end, index), from the left; a start is moved behind the end before.
+def choose(found: list[tuple[int, int, int, int]], window: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, index) of the stretches (start, end, block's place in order, off), from the left; a start is moved behind the end before.
 
-    At a place the longest stretch whose next window lies in it is taken, the first in order of equal ones.
+    At a place the longest stretch whose next window lies in it is taken; of equal ones the first block's, then
+    the one whose window stands first in the block.
     """
     at, behind = 0, 0
-    order = sorted(found)
-    open_: list[tuple[int, int, int]] = []
-    while order or open_:
-        open_ = [f for f in open_ if f[1] - window >= at]
-        if not open_ and order:
-            at = max(at, order[0][0])
-        while order and order[0][0] <= at:
-            if order[0][1] - window >= at:
-                open_.append(order[0])
-            order.pop(0)
+    order = sorted(range(len(found)), key=lambda i: found[i][0])
+    open_: list[int] = []
+    k = 0
+    while k < len(order) or open_:
+        open_ = [i for i in open_ if found[i][1] - window >= at]
+        if not open_ and k < len(order):
+            at = max(at, found[order[k]][0])
+        while k < len(order) and found[order[k]][0] <= at:
+            if found[order[k]][1] - window >= at:
+                open_.append(order[k])
+            k += 1
         if open_:
-            start, end, index = max(open_, key=lambda f: (f[1] - f[0], -f[2]))
-            yield max(start, behind), end, index
-            at = behind = end
+            best = min(open_, key=lambda i: (found[i][0] - found[i][1], found[i][2], found[i][3] - found[i][0]))
+            yield max(found[best][0], behind), found[best][1], best
+            at = behind = found[best][1]
 
 
 def echoes(texts: DataFrame, blocks: DataFrame, window: int = WINDOW, span: int = SPAN) -> DataFrame:
@@ -174,7 +176,9 @@ def echoes(texts: DataFrame, blocks: DataFrame, window: int = WINDOW, span: int
         held: pa.Table | None = None
 
         def chosen(rows: pa.Table) -> pa.RecordBatch:
-            places = list(zip(rows.column("start").to_pylist(), rows.column("end").to_pylist(), range(rows.num_rows)))
+            names: dict = {}
+            ranks = [names.setdefault(b, len(names)) for b in rows.column("block_id").to_pylist()]
+            places = list(zip(rows.column("start").to_pylist(), rows.column("end").to_pylist(), ranks, rows.column("off").to_pylist()))
             taken = list(choose(places, window))
             out = rows.take(pa.array([i for _, _, i in taken], pa.int64())).combine_chunks()
             starts = pa.array([s for s, _, _ in taken], pa.int64())

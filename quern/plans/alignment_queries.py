@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import audit as A
+from quern.operators import byte_echoes as B
+from quern.operators import chunk_refs as R
 from quern.operators import deltas as D
 from quern.operators import folds
 from quern.operators import matching as M
 from quern.operators import medians
+from quern.operators import path_codes as P
 from quern.plans.base import REQUESTS, cte, query, view
 from quern.session import table
 
@@ -209,3 +212,49 @@ def profile_downgrades(spark, sf):
     rows = view(spark, sf, REQUESTS).select("provider", (F.col("id") % 3).alias("lane"), "ts", "id", wanted.alias("wanted"), "applied", "added", "output", F.col("kind").isin("error", "secret").alias("failed"))
     rule = folds.Downgrade(samples=8, cooldown=5, failures=0.3, overhead=12.0)
     return folds.fold(rows, ["provider", "lane"], ["ts", "id"], rule).select("provider", "lane", "id", "profile", "cooling")
+
+
+@query()
+def byte_echoes(spark, sf):
+    """Stretches of 200 bytes and more that documents share with passages of the benchmark, none overlapping another."""
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    blocks = table(spark, sf, "benchmark").select(F.col("item_id").alias("block_id"), "text")
+    return B.echoes(texts, blocks)
+
+
+@query()
+def chunk_references(spark, sf):
+    """Documents with the chunks that their source has seen replaced by references, and whether they read back."""
+    docs = table(spark, sf, "documents").select("source", "doc_id", "text")
+    out = R.encoded(docs)
+    back = R.decoded(out, R.archived(docs)).select("source", "doc_id", F.sha2("text", 256).alias("back"))
+    plain = docs.select("source", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("plain"))
+    told = out.select("source", "doc_id", "saved", "refs", "ref_bytes", F.sha2("data", 256).alias("data_sha256"))
+    return told.join(back.join(plain, ["source", "doc_id"]).select("source", "doc_id", (F.col("back") == F.col("plain")).alias("reads_back")), ["source", "doc_id"])
+
+
+@query(r"""
+WITH t AS (
+  SELECT page_id, CASE WHEN page_id % 10 = 0 THEN '[P1] ' ELSE '' END || 'see http://x/usr/share/doc/tables/of/contents ' || repeat('in /home/user/project_' || page_id % 7 || '/src/main.py and ', (page_id % 5)::INT)
+    || repeat('at /opt/tools/release/bin/' || page_id % 3 || '/run ', (page_id % 4 + 1)::INT) || replace(coalesce(html, ''), '/', '') AS text FROM pages
+), p AS (
+  SELECT page_id, text, list_filter(regexp_extract_all(text, '(:?(?:/[A-Za-z0-9._%+@=\-]+){3,})', 1), lambda x: regexp_matches(x, '^/(Users|private|var|tmp|opt|usr|home|root|Volumes|Applications)/') AND length(x) >= 24) AS found FROM t
+), d AS (
+  -- Two paths at most in these texts, in order of their first place.
+  SELECT page_id, text, CASE WHEN contains(text, '[P1]') THEN [] ELSE list_filter(list_transform(list_filter(list_zip(found, range(1, len(found) + 1)), lambda z: list_position(found, z[1]) = z[2]), lambda z: z[1]), lambda x: len(list_filter(found, lambda y: y = x)) >= 3) END AS paths FROM p
+), c AS (
+  SELECT page_id, text, len(paths) AS n, '[path dictionary]' || chr(10) || coalesce('[P1]=' || paths[1] || chr(10), '') || coalesce('[P2]=' || paths[2] || chr(10), '') || '[/path dictionary]' || chr(10)
+    || replace(replace(text, coalesce(paths[1], chr(0)), '[P1]'), coalesce(paths[2], chr(0)), '[P2]') AS coded FROM d
+)
+SELECT page_id, CASE WHEN n > 0 AND strlen(text) - strlen(coded) >= 16 THEN strlen(text) - strlen(coded) ELSE 0 END AS saved,
+  sha256(CASE WHEN n > 0 AND strlen(text) - strlen(coded) >= 16 THEN coded ELSE text END) AS coded_sha256, true AS reads_back FROM c
+""")
+def path_dictionary(spark, sf):
+    """Pages behind listings with long paths, coded by a path dictionary and read back."""
+    listing = F.concat(
+        F.when(F.col("page_id") % 10 == 0, "[P1] ").otherwise(""), F.lit("see http://x/usr/share/doc/tables/of/contents "),
+        F.expr("repeat('in /home/user/project_' || page_id % 7 || '/src/main.py and ', int(page_id % 5))"), F.expr("repeat('at /opt/tools/release/bin/' || page_id % 3 || '/run ', int(page_id % 4 + 1))"),
+        F.translate(F.coalesce("html", F.lit("")), "/", ""),
+    )
+    out = P.coded(table(spark, sf, "pages").select("page_id", listing.alias("text")))
+    return out.select("page_id", "saved", F.sha2("coded", 256).alias("coded_sha256"), (P.expanded(F.col("coded")) == F.col("text")).alias("reads_back"))
