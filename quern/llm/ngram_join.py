@@ -60,6 +60,8 @@ SLICE = 100_000
 SEEN = 500_000
 #: Parts of the buckets of such signatures.
 HOT_SALTS = 64
+#: Rows of a hot bucket that a part of it gets, on average.
+PART = 1024
 #: One class in so many is read to find the signatures that many rows share.
 SAMPLED = 64
 
@@ -585,14 +587,25 @@ def _meetings(base: DataFrame, profile: DataFrame, rows: DataFrame, words: int,
 
 
 def _crossing(meeting: DataFrame, percent: int, apart: bool) -> DataFrame:
-    """Distinct pairs (a < b) of a probe and an index row of one bucket whose sizes and bitmaps let them be similar."""
-    a, b = meeting.alias("a"), meeting.alias("b")
-    met = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.role").bitwiseAND(2) != 0) & (F.col("b.role").bitwiseAND(1) != 0)
+    """Distinct pairs (a < b) of a probe and an index row of one bucket whose sizes and bitmaps let them be similar.
+
+    A hot bucket of n parts is n x n meetings: its probes are dealt out, its index rows go to every part.
+    """
     differ = sum((F.bit_count(F.col(f"a.bits.b{i}").bitwiseXOR(F.col(f"b.bits.b{i}"))) for i in range(BITS)), F.lit(0))
     near = differ * (100 + percent) <= (F.col("a.cls.n") + F.col("b.cls.n")) * (100 - percent)
     other = F.col("a.root") != F.col("b.root") if apart else F.col("a.cls") != F.col("b.cls")
-    on = met & other & (F.col("a.cls.n") <= F.col("b.cls.n")) & _similar_sizes(F.col("a.cls.n"), F.col("b.cls.n"), percent) & near
-    return a.join(b, on).select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct()
+    fits = other & (F.col("a.cls.n") <= F.col("b.cls.n")) & _similar_sizes(F.col("a.cls.n"), F.col("b.cls.n"), percent) & near
+    probes, index = meeting.filter(F.col("role").bitwiseAND(2) != 0), meeting.filter(F.col("role").bitwiseAND(1) != 0)
+
+    def met(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+        on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+        return a.alias("a").join(b.alias("b"), [*on, fits]).select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b"))
+
+    # A row per hot signature, of which there are few by a proven bound.
+    parts = F.broadcast(meeting.filter("hot").groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")))
+    dealt = probes.filter("hot").join(parts, "sig").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    spread = index.filter("hot").join(parts, "sig").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met(probes.filter("not hot"), index.filter("not hot"), "sig").unionByName(met(dealt, spread, "sig", "part")).distinct()
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -125,6 +125,7 @@ def test_ngram_join_of_hot_signatures_equals_brute_force(spark, monkeypatch):
     hot_keys = ngram_join.hot_keys
     monkeypatch.setattr(ngram_join, "hot_keys", lambda counts, key, total=None, least=1: hot_keys(counts, key, 0, 1))
     monkeypatch.setattr(ngram_join, "SAMPLED", 2)
+    monkeypatch.setattr(ngram_join, "PART", 3)
     rng, texts = random.Random(3), []
     base = [f"w{rng.randrange(400)}" for _ in range(80)]
     for _ in range(60):
