@@ -188,52 +188,3 @@ def _path_start(line: Column) -> Column:
     numbered = F.regexp_extract(rest, r"^([\s\S]*?)[:-][0-9]", 1)
     head = F.when(rest.rlike(r"[:-][0-9]"), numbered).otherwise(F.substring_index(rest, ":", 1))
     return F.when(drive, F.lit(True)).otherwise(head.rlike(r"[/\\.]"))
-
-
-def content_evidence(text: Column, head: Column | None = None, args: Column | None = None) -> Column:
-    """struct<class, signals>: one of nine classes of an output and the signals in it, sorted.
-
-    head is the command's name (null or empty: none), args its words.
-    """
-    t, long = _analyzed(text)
-    low, rows = F.lower(t), F.split(t, "\n")
-    has = lambda s, x=t: F.contains(x, F.lit(s))
-    name = F.lower(F.coalesce(head, F.lit(""))) if head is not None else F.lit("")
-    words = F.transform(args, lambda a: F.lower(_trim(a))) if args is not None else F.array().cast("array<string>")
-    said = lambda w: F.array_contains(words, w)
-    searched = F.size(F.filter(rows, lambda x: (F.size(F.filter(F.split(x, ":"), lambda p: _trim(p) != "")) >= 2) & _path_start(x))) >= 2
-    tested = has("--- FAIL:") | has("FAIL\t") | has("tests failed", low) | has("failed tests", low) | (has("passed", low) & has("failed", low))
-    logged = F.size(F.filter(rows, lambda x: F.lower(_trim(x)).rlike(r"^(?:error |warn )| level=(?:error|warn)") | _trim(x).rlike(r"^[0-9]{4}-..-"))) >= 2
-    coded = has("\nfunc ") | has("\npackage ") | has("\nimport ") | has("\nclass ", low) | has("\nconst ", low) | has("\nexport ", low)
-    json = F.when(long, t.rlike(r"^[{\[]")).otherwise(_is_json(t))
-    kind = (
-        F.when(name.isin("go", "pytest", "cargo", "npm", "pnpm", "yarn", "bun", "vitest", "jest") & (said("test") | has("FAIL")), F.lit("test"))
-        .when(name.isin("rg", "grep", "ag", "ack"), F.lit("search"))
-        .when(name.isin("git", "jj", "hg", "svn") & (said("diff") | said("show") | _diff(t)), F.lit("diff"))
-        .when(t == "", F.lit("plain"))
-        .when(json, F.lit("json"))
-        .when(_stacktrace(t), F.lit("stacktrace"))
-        .when(_diff(t), F.lit("diff"))
-        .when(searched, F.lit("search"))
-        .when(tested, F.lit("test"))
-        .when(logged, F.lit("log"))
-        .when(coded, F.lit("code"))
-        .when(name != "", F.lit("plain"))
-        .otherwise(F.lit("unknown"))
-    )
-    long_rows = F.sort_array(F.filter(F.transform(rows, _trim), lambda x: F.octet_length(x) >= 8))
-    # A line that comes three times stands next to itself twice in sorted order.
-    thrice = F.exists(F.sequence(F.lit(3), F.greatest(F.size(long_rows), F.lit(3))), lambda i: F.coalesce(F.try_element_at(long_rows, i) == F.try_element_at(long_rows, i - 2), F.lit(False)))
-    keyword = {s: low.rlike(rf"(?:^|[^a-z0-9_])(?:{_any(w)})(?:$|[\x00-\x2F\x3A-\x5E\x60\x7B-\x7F])") for s, w in KEYWORDS.items()}
-    signals = keyword | {
-        "stacktrace": _stacktrace(t) | (kind == "stacktrace"),
-        "outlier": F.exists(rows, lambda x: F.octet_length(x) >= 240),
-        "dedupe": thrice,
-        "count": t.rlike(r"\p{Nd}"),
-        "exit_status": has("exit status", low) | has("exit code", low) | has("returned non-zero", low) | has("command failed", low),
-        "first_last": t != "",
-        "recency": t != "",
-        "changed_hunk": kind == "diff",
-        "path": F.exists(rows, lambda x: _path_start(x) | x.rlike(r"\.(?:go|ts|py):")),
-    }
-    return F.struct(kind.alias("class"), F.array_compact(F.array(*[F.when(signals[s], F.lit(s)) for s in sorted(signals)])).alias("signals"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import commands as C
+from quern.operators.evidence import with_evidence
 from quern.plans.base import REQUESTS, cte, query, view
 from quern.session import table
 
@@ -87,11 +88,44 @@ def success_short(spark, sf):
     return view(spark, sf, OUTPUTS).select("id", C.success_line(F.col("text")).alias("line"))
 
 
-@query(_O + r""", t AS (SELECT id, trim(text, E' \t\n\r') AS t, lower(trim(text, E' \t\n\r')) AS low, string_split(trim(text, E' \t\n\r'), chr(10)) AS rows FROM o),
-s AS (SELECT *, CASE id % 12 WHEN 0 THEN 'log' WHEN 5 THEN 'search' WHEN 6 THEN 'diff' WHEN 7 THEN 'stacktrace' WHEN 10 THEN 'json' ELSE 'unknown' END AS class FROM t)
-SELECT id, class, concat_ws(',', CASE WHEN class = 'diff' THEN 'changed_hunk' END, CASE WHEN regexp_matches(t, '[0-9]') THEN 'count' END, CASE WHEN id % 12 = 5 THEN 'dedupe' END,
-  CASE WHEN id % 12 = 7 THEN 'error_keyword' END, CASE WHEN contains(low, 'exit code') THEN 'exit_status' END, 'first_last', CASE WHEN id % 12 = 9 AND id % 300 >= 240 THEN 'outlier' END,
-  CASE WHEN id % 12 IN (4, 5, 7, 8) THEN 'path' END, 'recency', CASE WHEN id % 12 = 11 THEN 'security' END, CASE WHEN class = 'stacktrace' THEN 'stacktrace' END, CASE WHEN id % 12 IN (0, 2) THEN 'warning' END) AS signals FROM s""")
+#: What an evidence query reads: outputs made of events, documents, pages and turns.
+_TEXTS = """texts AS (SELECT 'event' AS kind, id, text FROM o UNION ALL SELECT 'document', doc_id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages
+  UNION ALL SELECT 'turn', conv_id * 1000 + turn, text FROM conversations)"""
+
+
+def _path(x: str) -> str:
+    """Whether the line x begins with a path, as SQL."""
+    drive = rf"regexp_matches({x}, '^[A-Za-z]:[\\/]')"
+    rest = rf"(CASE WHEN {drive} THEN substr({x}, 3) ELSE {x} END)"
+    head = rf"(CASE WHEN regexp_matches({rest}, '[:-][0-9]') THEN regexp_extract({rest}, '^([\s\S]*?)[:-][0-9]', 1) ELSE split_part({rest}, ':', 1) END)"
+    return rf"({drive} OR regexp_matches({head}, '[/\\.]'))"
+
+
+def _keyword(name: str) -> str:
+    return rf"CASE WHEN regexp_matches(low, '(?:^|[^a-z0-9_])(?:{'|'.join(C.KEYWORDS[name])})(?:$|[\x00-\x2F\x3A-\x5E\x60\x7B-\x7F])') THEN '{name}' END"
+
+
+@query(rf"""{_O}, {_TEXTS},
+t AS (SELECT kind, id, trim(coalesce(text, ''), E' \t\n\r\f' || chr(11)) AS t FROM texts),
+l AS (SELECT *, lower(t) AS low, string_split(t, chr(10)) AS rows, list_transform(string_split(t, chr(10)), lambda x: trim(x, E' \t\n\r\f' || chr(11))) AS lines FROM t),
+r AS (SELECT *, contains(t, chr(10) || '@@ ') OR starts_with(t, '@@ ') OR contains(t, 'diff --git ') OR (contains(t, chr(10) || '+++ ') AND contains(t, chr(10) || '--- ')) AS diff,
+  contains(t, 'Traceback (most recent call last):') OR contains(low, 'stack trace') OR (contains(low, 'goroutine ') AND contains(t, '.go:')) OR contains(t, chr(10) || '    at ') OR contains(t, chr(10) || chr(9) || 'at ') AS trace,
+  len(list_filter(rows, lambda x: len(list_filter(string_split(x, ':'), lambda p: trim(p, E' \t\n\r\f' || chr(11)) <> '')) >= 2 AND {_path('x')})) >= 2 AS searched,
+  len(list_filter(lines, lambda x: regexp_matches(lower(x), '^(?:error |warn )| level=(?:error|warn)') OR (strlen(x) >= 10 AND regexp_matches(x, '^[0-9]{{4}}-[\s\S]{{2}}-')))) >= 2 AS logged,
+  contains(t, '--- FAIL:') OR contains(t, 'FAIL' || chr(9)) OR contains(low, 'tests failed') OR contains(low, 'failed tests') OR (contains(low, 'passed') AND contains(low, 'failed')) AS tested,
+  len(list_filter(['func ', 'package ', 'import '], lambda w: contains(t, chr(10) || w))) + len(list_filter(['class ', 'const ', 'export '], lambda w: contains(low, chr(10) || w))) > 0 AS coded FROM l),
+c AS (SELECT *, CASE WHEN t = '' THEN 'plain' WHEN json_valid(t) THEN 'json' WHEN trace THEN 'stacktrace' WHEN diff THEN 'diff' WHEN searched THEN 'search' WHEN tested THEN 'test' WHEN logged THEN 'log' WHEN coded THEN 'code' ELSE 'unknown' END AS class FROM r),
+-- Lines of eight bytes or more that come three times.
+h AS (SELECT DISTINCT kind, id FROM (SELECT kind, id, unnest(lines) AS line FROM l) WHERE strlen(line) >= 8 GROUP BY kind, id, line HAVING count(*) >= 3)
+SELECT kind, id, class, concat_ws(',', CASE WHEN class = 'diff' THEN 'changed_hunk' END, CASE WHEN regexp_matches(t, '\p{{Nd}}') THEN 'count' END, CASE WHEN h.id IS NOT NULL THEN 'dedupe' END, {_keyword('error_keyword')},
+  CASE WHEN contains(low, 'exit status') OR contains(low, 'exit code') OR contains(low, 'returned non-zero') OR contains(low, 'command failed') THEN 'exit_status' END, CASE WHEN t <> '' THEN 'first_last' END, {_keyword('important')},
+  CASE WHEN len(list_filter(rows, lambda x: strlen(x) >= 240)) > 0 THEN 'outlier' END, CASE WHEN len(list_filter(rows, lambda x: {_path('x')} OR regexp_matches(x, '\.(?:go|ts|py):'))) > 0 THEN 'path' END,
+  CASE WHEN t <> '' THEN 'recency' END, {_keyword('security')}, CASE WHEN trace THEN 'stacktrace' END, {_keyword('warning')}) AS signals
+FROM c LEFT JOIN h USING (kind, id)""")
 def content_evidence(spark, sf):
-    """Class and signals of an output without its command."""
-    return view(spark, sf, OUTPUTS).select("id", C.content_evidence(F.col("text")).alias("e")).select("id", "e.class", F.array_join("e.signals", ",").alias("signals"))
+    """Class and signals of outputs, documents, pages and turns, without a command."""
+    one = lambda name, kind, key, text: table(spark, sf, name).select(F.lit(kind).alias("kind"), key.cast("long").alias("id"), F.col(text).alias("text"))
+    texts = view(spark, sf, OUTPUTS).select(F.lit("event").alias("kind"), F.col("id").cast("long").alias("id"), "text")
+    for rows in (one("documents", "document", F.col("doc_id"), "text"), one("pages", "page", F.col("page_id"), "html"), one("conversations", "turn", F.col("conv_id") * 1000 + F.col("turn"), "text")):
+        texts = texts.unionByName(rows)
+    return with_evidence(texts).select("kind", "id", "evidence.class", F.array_join("evidence.signals", ",").alias("signals"))

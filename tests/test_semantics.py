@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from quern.functions import commands as C
+from quern.operators.evidence import with_evidence
 from quern.operators import chunks, echo, lines, prefix, reports, sessions
 from quern.session import attach, hot_keys
 from quern.sources import bodies, logs
@@ -120,14 +121,16 @@ def test_evidence_classes_and_signals(spark):
         ("--- FAIL: TestX", None, "test", None),
         ("3 passed, 1 failed", None, "test", ["count", "error_keyword", "first_last", "recency"]),
         ("2024-01-01 a\n2024-01-02 b", None, "log", None),
+        ("2024-01-\n2024-02-", None, "unknown", None),
         ("x\nfunc main() {}", None, "code", None),
+        ("a line of it\nb\na line of it\n a line of it", None, "unknown", ["dedupe", "first_last", "recency"]),
         ("words only", "ls", "plain", ["first_last", "recency"]),
         ("anything", "rg", "search", None),
         ("a failing autho word", None, "unknown", ["first_last", "recency"]),
         ("the auth_token and secret.", None, "unknown", ["first_last", "path", "recency", "security"]),
     ]
-    rows = spark.createDataFrame([(i, t, h) for i, (t, h, _, _) in enumerate(cases)], "i int, t string, h string").select("i", C.content_evidence(F.col("t"), F.col("h")).alias("e"))
-    for r in rows.collect():
+    rows = spark.createDataFrame([(i, t, h) for i, (t, h, _, _) in enumerate(cases)], "i int, t string, h string")
+    for r in with_evidence(rows, "t", F.col("h"), column="e").collect():
         _, _, kind, signals = cases[r.i]
         assert r.e["class"] == kind, (cases[r.i], r.e)
         assert signals is None or r.e["signals"] == signals, (cases[r.i], r.e)
