@@ -243,10 +243,81 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.report(chat_repair.repair(turns, copies_col="copies")).withColumnRenamed("conv", "conv_id")
 
 
+def _way(at: str, cost: str, letter: str, line: str | None = None) -> str:
+    """A state's struct (cost, edits, text so far) after one more edit, as SQL; null stays null."""
+    text = f"CASE {at}.t WHEN '' THEN '' ELSE {at}.t || chr(10) END || {line}" if line else f"{at}.t"
+    return f"CASE WHEN {at} IS NOT NULL THEN struct_pack(c := {at}.c + {cost}, a := {at}.a || '{letter}', t := {text}) END"
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}], 'ASC', 'NULLS LAST')[1]"
+
+
+#: The states: no role yet, system, user, assistant last. First rows may be inserted, then the row is deleted, kept or given the role that is due.
+_DUE_USER = ("u0", "u1", "u3")
+_SAID, _USER, _ASSISTANT = "role || ':' || text", "'user:' || text", "'assistant:' || text"
+_INSERTED = f"""SELECT * REPLACE ({_least("u2", *[_way(s, "5", "I", "'user:'") for s in _DUE_USER])} AS u2) FROM ("""
+OP12_SQL = rf"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), k AS (
+  -- crc32, bit by bit.
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS k FROM src
+), d AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE k <> 0
+), n AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM d
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS times, trim(text, E' \t\n\r\f' || chr(11)) AS core FROM n
+), f AS MATERIALIZED (
+  SELECT conv_id, turn, role, text, n, left(role, 1) AS i, CASE WHEN core = '' THEN 1 WHEN times > 1 THEN 2 WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal, CASE WHEN core <> '' AND times = 1 AND right(core, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS more
+  FROM o
+), p AS (
+  SELECT conv_id, 0::BIGINT AS n, struct_pack(c := 0::BIGINT, a := '', t := '') AS s0, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s1, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s2, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, n, {_way("u0", "2", "D")}, {_least(_way("u1", "2", "D"), f"CASE WHEN i = 's' AND fault NOT IN (1, 2) THEN {_way('u0', 'more', 'K', _SAID)} END")},
+    {_least(_way("u2", "2", "D"), *[f"CASE WHEN i = 'u' AND fault NOT IN (1, 2) THEN {_way(u, 'more', 'K', _SAID)} END" for u in _DUE_USER], *[f"CASE WHEN fault NOT IN (1, 2) THEN {_way(u, 'more + 1', 'R', _USER)} END" for u in _DUE_USER])},
+    {_least(_way("u3", "2", "D"), f"CASE WHEN i = 'a' AND fault NOT IN (1, 2) THEN {_way('u2', 'more', 'K', _SAID)} END", f"CASE WHEN fault NOT IN (1, 2) THEN {_way('u2', 'more + 1', 'R', _ASSISTANT)} END")}
+  FROM (
+    SELECT * REPLACE ({_least("u3", _way("u2", "5", "I", "'assistant:'"))} AS u3) FROM (
+      {_INSERTED}SELECT f.*, p.s0 AS u0, p.s1 AS u1, p.s2 AS u2, p.s3 AS u3 FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.n = p.n + 1)
+    )
+  )
+), e AS (SELECT conv_id, max(n) AS n FROM p GROUP BY 1),
+g AS (
+  SELECT conv_id, {_least("u0", "u3")} AS best FROM (
+    SELECT * REPLACE ({_least("u3", _way("u2", "5", "I", "'assistant:'"))} AS u3) FROM (
+      {_INSERTED}SELECT p.conv_id, p.s0 AS u0, p.s1 AS u1, p.s2 AS u2, p.s3 AS u3 FROM p JOIN e ON e.conv_id IS NOT DISTINCT FROM p.conv_id AND e.n = p.n)
+    )
+  )
+), r AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY 1
+)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(best.t) AS repaired_sha256
+FROM g LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+
+
 def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+OP13_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(vec_id, peer) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.peer
+), n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT r.vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(peer) AS component_id, r.vec_id = min(peer) AS kept FROM reach r LEFT JOIN n USING (vec_id) GROUP BY r.vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -273,4 +344,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_quality_rules": OP8_SQL,
         "op9_exact_dedup": OP9_SQL,
         "op10_ngram_join": OP10_SQL,
+        "op12_conversation_repair": OP12_SQL,
+        "op13_near_vectors": OP13_SQL,
     }
