@@ -10,6 +10,8 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import attach, cut, hot_keys
+
 from quern.operators.prefix import prefix_sums
 
 # Parser families in their order and the parts of a command that name them.
@@ -272,14 +274,17 @@ def mirror_report(blocks: DataFrame) -> DataFrame:
 
     A block counts as sent if its text came in a request before; repeats inside one request are `same`.
     """
-    rows = blocks.filter("text <> ''").select("session", "request", "pos", "kind", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("bytes"))
-    first = rows.groupBy("session", "sha").agg(F.min("request").alias("first_request"))
-    inside = rows.groupBy("session", "sha", "request").agg(F.min("pos").alias("first_pos"))
-    known = rows.join(first, ["session", "sha"]).join(inside, ["session", "sha", "request"])
-    sent, same = F.col("first_request") < F.col("request"), F.col("first_pos") < F.col("pos")
+    said = blocks.filter("text <> ''").select(F.struct("session", F.sha2("text", 256).alias("sha")).alias("key"), "request", "pos", "kind", F.octet_length("text").cast("long").alias("bytes"))
+    # A request's copies of a text are combined before anything is joined; a text that all requests repeat is attached by broadcast.
+    rows = cut(said.groupBy("key", "request", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"), F.first("bytes").alias("bytes")))
+    first = rows.groupBy("key").agg(F.min("request").alias("first_request"), F.count(F.lit(1)).alias("rows"))
+    opened = rows.groupBy("key", "request").agg(F.min_by("kind", "pos").alias("opened"))
+    known = attach(rows, first.select("key", "first_request"), "key", hot_keys(first, "key")).join(opened, ["key", "request"])
+    sent = F.when(F.col("first_request") < F.col("request"), F.col("n")).otherwise(0)
+    same = F.col("n") - (F.col("kind") == F.col("opened")).cast("long")
     return known.groupBy("kind").agg(
-        F.count(F.lit(1)).alias("blocks"), total("bytes").alias("bytes"), F.count_if(sent).alias("sent"), total(F.when(sent, F.col("bytes"))).alias("sent_bytes"),
-        F.count_if(same).alias("same"), total(F.when(same, F.col("bytes"))).alias("same_bytes"),
+        F.sum("n").alias("blocks"), total(F.col("bytes") * F.col("n")).alias("bytes"), F.sum(sent).cast("long").alias("sent"), total(F.col("bytes") * sent).alias("sent_bytes"),
+        F.sum(same).cast("long").alias("same"), total(F.col("bytes") * same).alias("same_bytes"),
     )
 
 

@@ -11,12 +11,13 @@ from quern.operators.prefix import prefix_sums
 def percentiles(rows: DataFrame, by: str, value: str, p: float) -> DataFrame:
     """Three percentiles by group: interpolated, at the floored index, and by nearest rank.
 
-    Ranks are prefix sums over ranges of (group, value), so a group of any size is spread, and a group
-    keeps four values, not all of them.
+    Equal values are counted first; ranks are prefix sums over ranges of (group, value) of those counts, so
+    a group of any size, or one with a single value, is spread, and a group keeps four values, not all of them.
     """
-    ranked = prefix_sums(rows.filter(F.col(value).isNotNull()).select(by, value), [by], [F.col(value)], {"i": F.lit(1)}).withColumn("i", F.col("i") - 1).withColumnRenamed("i_all", "n")
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = prefix_sums(counted, [by], [F.col(value)], {"__end": F.col("__n")}).withColumnRenamed("__end_all", "n")
     place = (F.col("n") - 1) * p
-    at = lambda i: F.max(F.when(F.col("i") == i, F.col(value)))
+    at = lambda i: F.max(F.when((F.col("__end") - F.col("__n") <= i) & (F.col("__end") > i), F.col(value)))
     found = ranked.groupBy(by).agg(
         at(F.floor(place)).alias("floored"), at(F.ceil(place)).alias("__above"), F.max(place - F.floor(place)).alias("__share"), at(F.greatest(F.ceil(F.col("n") * p) - 1, F.lit(0))).alias("nearest")
     )

@@ -23,18 +23,18 @@ _T = f"WITH {cte('t', TEXTS)}"
 _ROWS = "list_transform(string_split(text, chr(10)), lambda x: rtrim(x, chr(13)))"
 
 
-@query(_T + rf""", r AS (SELECT id, text, list_filter({_ROWS}, lambda x: regexp_matches(x, '(?i)(error:|: error |^error\[)|(warning:|: warning )')) AS e, list_filter({_ROWS}, lambda x: NOT regexp_matches(x, '(?i)(error:|: error |^error\[)|(warning:|: warning )') AND regexp_matches(x, '(?i)(^Compiling|^Finished|^Running|^Building)')) AS i FROM t WHERE id % 5 = 0),
+@query(_T + rf""", r AS (SELECT id, text, list_filter({_ROWS}, lambda x: regexp_matches(x, '(?i)(error:|: error |^error\[)|(warning:|: warning )')) AS e, list_filter({_ROWS}, lambda x: NOT regexp_matches(x, '(?i)(error:|: error |^error\[)|(warning:|: warning )') AND regexp_matches(x, '(?i)(^Compiling|^Finished|^Running|^Building)')) AS i FROM t),
 m AS (SELECT id, text, array_to_string(list_concat(e[1:50], CASE WHEN len(e) >= 50 THEN ['[...additional errors omitted]'] ELSE [] END, i), chr(10)) AS made FROM r)
 SELECT id, md5(CASE WHEN made <> '' AND strlen(made) < strlen(text) THEN made ELSE text END) AS reduced FROM m""")
 def build_output(spark, sf):
-    return view(spark, sf, TEXTS).filter("id % 5 = 0").select("id", F.md5(R.build_output(F.col("text"))).alias("reduced"))
+    return view(spark, sf, TEXTS).select("id", F.md5(R.build_output(F.col("text"))).alias("reduced"))
 
 
-@query(_T + rf""", r AS (SELECT id, text, list_filter({_ROWS}, lambda x: regexp_matches(x, '[a-zA-Z0-9_./\\]+:\d+:\d+.*(error|warning|info)')) AS e, list_filter({_ROWS}, lambda x: NOT regexp_matches(x, '[a-zA-Z0-9_./\\]+:\d+:\d+.*(error|warning|info)') AND regexp_matches(x, '(?i)(\d+\s+(error|warning|problem)|✖|✓)')) AS i FROM t WHERE id % 5 = 1),
+@query(_T + rf""", r AS (SELECT id, text, list_filter({_ROWS}, lambda x: regexp_matches(x, '[a-zA-Z0-9_./\\]+:\d+:\d+.*(error|warning|info)')) AS e, list_filter({_ROWS}, lambda x: NOT regexp_matches(x, '[a-zA-Z0-9_./\\]+:\d+:\d+.*(error|warning|info)') AND regexp_matches(x, '(?i)(\d+\s+(error|warning|problem)|✖|✓)')) AS i FROM t),
 m AS (SELECT id, text, array_to_string(list_concat(e[1:60], CASE WHEN len(e) >= 60 THEN ['[60 violations shown, remainder omitted]'] ELSE [] END, i), chr(10)) AS made FROM r)
 SELECT id, md5(CASE WHEN made <> '' AND strlen(made) < strlen(text) THEN made ELSE text END) AS reduced FROM m""")
 def lint_output(spark, sf):
-    return view(spark, sf, TEXTS).filter("id % 5 = 1").select("id", F.md5(R.lint_output(F.col("text"))).alias("reduced"))
+    return view(spark, sf, TEXTS).select("id", F.md5(R.lint_output(F.col("text"))).alias("reduced"))
 
 
 @query(_T + " SELECT id, CASE WHEN id % 30 + 1 > 20 THEN '[directory: ' || id % 30 || ' files, 1 dirs]' ELSE text END AS reduced FROM t WHERE id % 5 = 2")
@@ -47,14 +47,14 @@ def log_output(spark, sf):
     return R.log_output(view(spark, sf, TEXTS).filter("id % 5 = 3"))
 
 
-@query(_T + r""", l AS (SELECT id, unnest(string_split(text, chr(10))) AS row FROM t WHERE id % 5 = 4),
+@query(_T + r""", l AS (SELECT id, unnest(string_split(text, chr(10))) AS row FROM t),
 m AS (SELECT id, regexp_extract(row, '^([^:]+):(\d+):(.*)$', 1) AS file, regexp_extract(row, '^([^:]+):(\d+):(.*)$', 2)::BIGINT AS line, regexp_extract(row, '^([^:]+):(\d+):(.*)$', 3) AS content FROM l WHERE regexp_matches(row, '^([^:]+):(\d+):(.*)$')),
 r AS (SELECT *, count(*) OVER (PARTITION BY id, file) AS file_matches, row_number() OVER (PARTITION BY id, file ORDER BY line, content) AS a, row_number() OVER (PARTITION BY id, file ORDER BY line DESC, content DESC) AS z FROM m),
 k AS (SELECT *, row_number() OVER (PARTITION BY id, file ORDER BY (a = 1 OR z = 1) DESC, contains(content, 'error') DESC, line, content) AS rank FROM r)
 SELECT id, row_number() OVER (PARTITION BY id ORDER BY file, line, content) AS place, file, line, content, file_matches FROM k WHERE rank <= 2""")
 def search_top(spark, sf):
     """Canonical matches, two of each file."""
-    return R.search_top(R.search_matches(view(spark, sf, TEXTS).filter("id % 5 = 4")), per_file=2)
+    return R.search_top(R.search_matches(view(spark, sf, TEXTS)), per_file=2)
 
 
 _LINT = {"id": "event_id", "n": "CAST(event_id % 30 AS INT)", "w": "CAST(event_id % 7 AS INT)"}
