@@ -19,32 +19,47 @@ TEXTS = {
  WHEN 3 THEN repeat('2024-01-01T10:00:0' || event_id % 10 || 'Z tick' || chr(10) || '2024-01-01 10:00:09.5 tick' || chr(10), 3) || 'end ' || event_id
  ELSE 'b.go:12:x' || chr(10) || 'a.go:' || event_id % 9 || ':an error' || chr(10) || 'a.go:10:y' || chr(10) || 'none' || chr(10) || 'a.go:2:z' END""",
 }
-_T = f"WITH {cte('t', TEXTS)}"
+#: What the reducers read: those outputs, and all documents and pages.
+_T = f"""WITH {cte('made', TEXTS)}, t AS (SELECT id, text FROM made UNION ALL SELECT -1 - doc_id, coalesce(text, '') FROM documents UNION ALL SELECT -1000000000 - page_id, coalesce(html, '') FROM pages)"""
 _ROWS = "list_transform(string_split(text, chr(10)), lambda x: rtrim(x, chr(13)))"
 
 
+def _texts(spark, sf):
+    docs = table(spark, sf, "documents").select((-1 - F.col("doc_id")).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    pages = table(spark, sf, "pages").select((-1000000000 - F.col("page_id")).cast("long").alias("id"), F.coalesce("html", F.lit("")).alias("text"))
+    return view(spark, sf, TEXTS).select(F.col("id").cast("long").alias("id"), "text").unionByName(docs).unionByName(pages)
+
+
 @query(_T + rf""", r AS (SELECT id, text, list_filter({_ROWS}, lambda x: regexp_matches(x, '(?i)(error:|: error |^error\[)|(warning:|: warning )')) AS e, list_filter({_ROWS}, lambda x: NOT regexp_matches(x, '(?i)(error:|: error |^error\[)|(warning:|: warning )') AND regexp_matches(x, '(?i)(^Compiling|^Finished|^Running|^Building)')) AS i FROM t),
 m AS (SELECT id, text, array_to_string(list_concat(e[1:50], CASE WHEN len(e) >= 50 THEN ['[...additional errors omitted]'] ELSE [] END, i), chr(10)) AS made FROM r)
 SELECT id, md5(CASE WHEN made <> '' AND strlen(made) < strlen(text) THEN made ELSE text END) AS reduced FROM m""")
 def build_output(spark, sf):
-    return view(spark, sf, TEXTS).select("id", F.md5(R.build_output(F.col("text"))).alias("reduced"))
+    return _texts(spark, sf).select("id", F.md5(R.build_output(F.col("text"))).alias("reduced"))
 
 
 @query(_T + rf""", r AS (SELECT id, text, list_filter({_ROWS}, lambda x: regexp_matches(x, '[a-zA-Z0-9_./\\]+:\d+:\d+.*(error|warning|info)')) AS e, list_filter({_ROWS}, lambda x: NOT regexp_matches(x, '[a-zA-Z0-9_./\\]+:\d+:\d+.*(error|warning|info)') AND regexp_matches(x, '(?i)(\d+\s+(error|warning|problem)|✖|✓)')) AS i FROM t),
 m AS (SELECT id, text, array_to_string(list_concat(e[1:60], CASE WHEN len(e) >= 60 THEN ['[60 violations shown, remainder omitted]'] ELSE [] END, i), chr(10)) AS made FROM r)
 SELECT id, md5(CASE WHEN made <> '' AND strlen(made) < strlen(text) THEN made ELSE text END) AS reduced FROM m""")
 def lint_output(spark, sf):
-    return view(spark, sf, TEXTS).select("id", F.md5(R.lint_output(F.col("text"))).alias("reduced"))
+    return _texts(spark, sf).select("id", F.md5(R.lint_output(F.col("text"))).alias("reduced"))
 
 
-@query(_T + " SELECT id, CASE WHEN id % 30 + 1 > 20 THEN '[directory: ' || id % 30 || ' files, 1 dirs]' ELSE text END AS reduced FROM t WHERE id % 5 = 2")
+@query(_T + rf""", r AS (SELECT id, text, list_filter({_ROWS}, lambda x: x <> '' AND NOT starts_with(x, 'total ')) AS rows FROM t),
+n AS (SELECT id, text, len(list_filter(rows, lambda x: starts_with(x, 'd') AND regexp_matches(x, '{R.DIR_ENTRY}'))) AS dirs,
+  len(list_filter(rows, lambda x: NOT (starts_with(x, 'd') AND regexp_matches(x, '{R.DIR_ENTRY}')) AND (regexp_matches(x, '{R.DIR_ENTRY}') OR regexp_matches(x, '^\S')))) AS files FROM r),
+m AS (SELECT *, '[directory: ' || files || ' files, ' || dirs || ' dirs]' AS made FROM n)
+SELECT id, md5(CASE WHEN files + dirs > 20 AND strlen(made) < strlen(text) THEN made ELSE text END) AS reduced FROM m""")
 def dir_output(spark, sf):
-    return view(spark, sf, TEXTS).filter("id % 5 = 2").select("id", R.dir_output(F.col("text")).alias("reduced"))
+    return _texts(spark, sf).select("id", F.md5(R.dir_output(F.col("text"))).alias("reduced"))
 
 
-@query(_T + " SELECT id, '2024-01-01T10:00:0' || id % 10 || 'Z tick [x6]' || chr(10) || 'end ' || id AS reduced FROM t WHERE id % 5 = 3")
+@query(_T + rf""", l AS (SELECT id, unnest({_ROWS}) AS line, unnest(range(len({_ROWS}))) AS pos FROM t),
+f AS (SELECT id, regexp_replace(line, '{R.LOG_TIME}', '<T>', 'g') AS form, min(pos) AS pos, arg_min(line, pos) AS line, count(*) AS n FROM l GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS rank, count(*) OVER (PARTITION BY id) AS forms FROM f),
+m AS (SELECT id, string_agg(line || CASE WHEN n > 1 THEN ' [x' || n || ']' ELSE '' END, chr(10) ORDER BY rank) || CASE WHEN max(forms) > 80 THEN chr(10) || '[...' || (max(forms) - 80) || ' more unique log lines omitted]' ELSE '' END AS made FROM k WHERE rank <= 80 GROUP BY id)
+SELECT t.id, md5(CASE WHEN made <> '' AND strlen(made) < strlen(text) THEN made ELSE text END) AS reduced FROM t JOIN m USING (id)""")
 def log_output(spark, sf):
-    return R.log_output(view(spark, sf, TEXTS).filter("id % 5 = 3"))
+    return R.log_output(_texts(spark, sf)).select("id", F.md5("reduced").alias("reduced"))
 
 
 @query(_T + r""", l AS (SELECT id, unnest(string_split(text, chr(10))) AS row FROM t),
@@ -54,7 +69,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY id, file ORDER BY (a = 1 OR z =
 SELECT id, row_number() OVER (PARTITION BY id ORDER BY file, line, content) AS place, file, line, content, file_matches FROM k WHERE rank <= 2""")
 def search_top(spark, sf):
     """Canonical matches, two of each file."""
-    return R.search_top(R.search_matches(view(spark, sf, TEXTS)), per_file=2)
+    return R.search_top(R.search_matches(_texts(spark, sf)), per_file=2)
 
 
 _LINT = {"id": "event_id", "n": "CAST(event_id % 30 AS INT)", "w": "CAST(event_id % 7 AS INT)"}
