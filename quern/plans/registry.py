@@ -475,7 +475,7 @@ def monthly_change(spark, sf):
 
 def _register() -> None:
     """The modules that register the rest of the queries."""
-    from quern.plans import alignment_queries, command_queries, reducer_queries, report_queries, session_queries  # noqa: F401
+    from quern.plans import alignment_queries, command_queries, reducer_queries, report_queries, session_queries, tool_queries  # noqa: F401
 
 
 _register()
