@@ -7,14 +7,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _BLOCK = "struct<type:string,text:string,id:string,name:string,input:string,tool_use_id:string,content:string>"
-_MESSAGE = "struct<role:string,content:string,type:string,name:string,arguments:string,output:string,call_id:string>"
+_MESSAGE = "struct<role:string,content:string,type:string,name:string,arguments:string,output:string,call_id:string,tool_call_id:string,tool_calls:array<struct<id:string,function:struct<name:string,arguments:string>>>>"
 
 
 def messages(bodies: DataFrame, id_col: str = "id", body_col: str = "body") -> DataFrame:
     """id_col, msg, block, role, type, text, tool_name, tool_input, tool_use_id of every content block of request bodies.
 
     A body holds `messages` with a string or a list of blocks as content, or `input`: a string or items of
-    kind message, function_call and function_call_output. Bodies that aren't JSON have no rows.
+    kind message, function_call and function_call_output. A message's `tool_calls` are blocks behind its
+    text (an empty one if it has none); calls without an id or a name are left out. A message of role
+    `tool` is the result of its `tool_call_id`. Bodies that aren't JSON have no rows.
     """
     body = F.col(body_col)
     listed = F.coalesce(F.get_json_object(body, "$.messages"), F.get_json_object(body, "$.input"))
@@ -24,9 +26,13 @@ def messages(bodies: DataFrame, id_col: str = "id", body_col: str = "body") -> D
     content = F.col("m.content")
     blocks = F.from_json(content, f"array<{_BLOCK}>")
     made = lambda **v: F.struct(*[v.get(n, F.lit(None).cast("string")).alias(n) for n in ("type", "text", "id", "name", "input", "tool_use_id", "content")])
+    named = F.filter("m.tool_calls", lambda c: (F.coalesce(c["id"], F.lit("")) != "") & (F.coalesce(c["function"]["name"], F.lit("")) != ""))
+    calls = F.transform(named, lambda c: made(type=F.lit("tool_use"), id=c["id"], name=c["function"]["name"], input=c["function"]["arguments"]))
     item = (
         F.when(F.col("m.type") == "function_call", F.array(made(type=F.lit("tool_use"), id=F.col("m.call_id"), name=F.col("m.name"), input=F.col("m.arguments"))))
         .when(F.col("m.type") == "function_call_output", F.array(made(type=F.lit("tool_result"), tool_use_id=F.col("m.call_id"), content=F.col("m.output"))))
+        .when((F.col("m.role") == "tool") & F.col("m.tool_call_id").isNotNull(), F.array(made(type=F.lit("tool_result"), tool_use_id=F.col("m.tool_call_id"), content=content)))
+        .when(F.size("m.tool_calls") > 0, F.concat(F.array(made(type=F.lit("text"), text=content)), calls))
         .when(F.startswith(F.trim(content), F.lit("[")) & blocks.isNotNull(), blocks)
         .otherwise(F.array(made(type=F.lit("text"), text=content)))
     )

@@ -239,6 +239,17 @@ def test_bodies_round_trip(spark):
     assert {r.id: (r.u, sorted(r.t.split("\n"))) for r in per.collect()} == {1: (True, ["a", "hi"]), 2: (True, ["q"]), 4: (False, ["only text"])}
 
 
+def test_calls_of_the_second_dialect(spark):
+    body = '{"messages":[{"role":"assistant","content":"see","tool_calls":[{"id":"a","type":"function","function":{"name":"ls","arguments":"{\\"p\\":1}"}},{"id":"","function":{"name":"x","arguments":"{}"}},{"id":"b","function":{"name":"cat","arguments":"{}"}}]},{"role":"tool","tool_call_id":"a","content":"f.py"},{"role":"assistant","content":null,"tool_calls":[{"id":"c","function":{"name":"pwd","arguments":"{}"}}]},{"role":"tool","content":"loose"}]}'
+    found = bodies.messages(spark.createDataFrame([(1, body)], "id int, body string"))
+    assert sorted((r.msg, r.block, r.role, r.type, r.text, r.tool_name, r.tool_input, r.tool_use_id) for r in found.collect()) == [
+        (0, 0, "assistant", "text", "see", None, None, None), (0, 1, "assistant", "tool_use", "", "ls", '{"p":1}', "a"), (0, 2, "assistant", "tool_use", "", "cat", "{}", "b"), (1, 0, "tool", "tool_result", "f.py", None, None, "a"),
+        (2, 0, "assistant", "text", "", None, None, None), (2, 1, "assistant", "tool_use", "", "pwd", "{}", "c"), (3, 0, "tool", "text", "loose", None, None, None),
+    ]
+    again = bodies.messages(bodies.bodies(found))
+    assert sorted(map(str, again.select(*found.columns).collect())) == sorted(map(str, found.collect()))
+
+
 def test_streams_payloads_and_requests(spark):
     stream = spark.createDataFrame([("event: x",), ('data: {"type":"delta","n":1}',), ("data: [DONE]",), ("",), ("data:",)], "value string")
     assert [(r.event, r.data) for r in bodies.server_events(stream).collect()] == [("delta", '{"type":"delta","n":1}')]
