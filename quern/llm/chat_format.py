@@ -102,7 +102,8 @@ def format_chats(turns: DataFrame, template: Template = INSTRUCT, conv_col: str
     that isn't final has the position after the last). Refused conversations are formatted all the
     same, so nothing is lost. Null texts are empty, a null role is the empty role; rows with the same
     turn come in the order of role and text, null turns first, and repeated rows are turns of their
-    own. A null conv_id is a conversation. No rows give no rows. Other columns aren't read.
+    own. Rows with a null conv_id are one conversation, so one row; give them ids of their own if there are
+    many. Very long texts are one segment, formatted as a whole. No rows give no rows. Other columns aren't read.
     """
     role = F.coalesce(F.col(role_col), F.lit(""))
     text = F.coalesce(F.col(text_col), F.lit(""))

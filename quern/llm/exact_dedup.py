@@ -72,8 +72,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts are equal to each other and to texts of white space only. Ties in length go
     to the smaller id. Rows with a null id never stay unless their whole group has null ids, and then
     one of them does (keep_id null). Rows that repeat the winning id inside a group count as members,
-    and exactly one of them is kept, the longest. An empty table gives an empty result; other columns
-    of `docs`, whatever their names, are not read.
+    and exactly one of them is kept, the longest. Very long texts are compared as a whole. Ids are cast to
+    long: strings that are no numbers are an error of the cast. An empty table gives an empty result;
+    other columns of `docs`, whatever their names, are not read.
     """
     key = ["sha", "md5", "chars"]
     groups = exact_groups(docs, id_col, text_col, salts, digest)

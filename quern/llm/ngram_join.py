@@ -670,7 +670,9 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str =
     linked with nothing: its component_id is its own id. Two rows are linked if their sets' similarity
     is at least `percent` hundredths; component_id is the smallest id reachable by links. Repeated rows
     and ids are rows like others. Null ids are members of components, but never name one unless all its
-    ids are null. No rows give no rows. Other columns aren't read.
+    ids are null. Ids are cast to long: strings that are no numbers are an error of the cast. Very long
+    texts are read in pieces, and all of their n-grams count. Which class of ties is a bucket's pivot doesn't
+    matter to the components. No rows give no rows. Other columns aren't read.
     """
     rows, first = _components(_base(docs, id_col, text_col), words, percent)
     full, blank = rows.filter("cls.n > 0").select("id", "cls"), rows.filter("cls.n = 0").select("id", "cls", F.col("id").alias("component_id"))

@@ -108,7 +108,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, the measurements and `failed`, the bits of the rules that the document fails.
 
-    Null and empty texts have no words and fail few_words. Rows repeated in `docs` are repeated here.
+    Null and empty texts have no words and fail few_words. Very long texts are measured as a whole, word by
+    word in arrays of one row. Rows repeated in `docs` are repeated here; no measure depends on their order.
     An empty table gives an empty ledger. Columns of `docs` besides the two named aren't read.
     """
     bits = None

@@ -33,7 +33,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     size is the UTF-8 length of the text (null: none) plus 1, start the bytes before the row, slot its
     place inside its shard from 0 without gaps. Order is by id (nulls first), then size and checksum;
     rows that tie in all three are equal and take adjacent places. A document longer than a shard's
-    share leaves shards empty. An empty table gives no rows. Other columns aren't read.
+    share leaves shards empty, however long it is. An empty table gives no rows. Other columns aren't read.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -69,8 +69,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     lists are the names of the lists that hold the capture at its fetch time, sorted and distinct;
     matched are the entries (kind:key, sorted) that say so. A URL without a host or a null fetch time
     is on no list. Repeated captures are judged alike, one row each; an entry's date itself is
-    inside its interval. No captures, no rows; no entries, nothing is blocked. Other columns aren't
-    read.
+    inside its interval. Of a URL of any length the host and the first folder count. No captures, no rows;
+    no entries, nothing is blocked. Other columns aren't read.
     """
     spans = intervals(entries).filter("added").select("list", "kind", "key", "valid_from", "valid_to")
     # Driver-side facts about the list, two numbers: how many bytes its intervals have, how deep its prefixes are.
