@@ -85,6 +85,23 @@ class TokenRatio:
         return (state[0],)
 
 
+@dataclass(frozen=True)
+class LengthAverage:
+    """Moving average of session lengths: the first one, then `share` of each new one. Lengths under 1 don't count. Fixed value of the rule: 0.1."""
+
+    share: float = 0.1
+    columns: tuple[str, ...] = ("length",)
+    outputs: tuple[tuple[str, str], ...] = (("estimate", "double"), ("samples", "bigint"))
+
+    def start(self) -> list:
+        return [None, 0]
+
+    def step(self, state: list, length) -> tuple:
+        if length and length >= 1:
+            state[:] = [float(length) if state[0] is None else self.share * length + (1 - self.share) * state[0], state[1] + 1]
+        return tuple(state)
+
+
 @dataclass(frozen=True)
 class Debounce:
     """Whether a trigger is accepted: not within `seconds` of the last accepted one of its key. Fixed value of the rule: 120."""

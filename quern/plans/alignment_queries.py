@@ -150,6 +150,22 @@ def hit_baseline(spark, sf):
     return folds.fold(view(spark, sf, REQUESTS), ["session"], ["ts", "id"], folds.HitBaseline(size=10)).select("session", "id", "rate", "baseline", "spike")
 
 
+@query("""
+WITH RECURSIVE s AS (SELECT user_id AS session, 'f' || user_id % 4 AS family, count(*) AS length, max(ts) AS seen FROM events GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY seen, session) AS n FROM s),
+f AS (
+  SELECT family, session, n, length::DOUBLE AS estimate, 1::BIGINT AS samples FROM r WHERE n = 1
+  UNION ALL SELECT r.family, r.session, r.n, 0.1::DOUBLE * r.length + (1 - 0.1::DOUBLE) * f.estimate, f.samples + 1 FROM f JOIN r ON r.family = f.family AND r.n = f.n + 1
+)
+SELECT family, session, estimate, samples FROM f
+""")
+def session_lengths(spark, sf):
+    """The expected length of a family's sessions after each of them, in the order in which they were last seen."""
+    sessions = table(spark, sf, "events").groupBy(F.col("user_id").alias("session")).agg(F.count(F.lit(1)).alias("length"), F.max("ts").alias("seen"))
+    rows = sessions.withColumn("family", F.concat(F.lit("f"), (F.col("session") % 4).cast("string")))
+    return folds.fold(rows, ["family"], ["seen", "session"], folds.LengthAverage()).select("family", "session", "estimate", "samples")
+
+
 @query(f"""
 WITH RECURSIVE {cte('e', REQUESTS)}, r AS (SELECT id, trim(model) AS model, output - 20 AS observed, estimated_output AS estimated, row_number() OVER (PARTITION BY trim(model), session ORDER BY ts, id) AS n, session FROM e),
 f AS (

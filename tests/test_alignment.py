@@ -234,11 +234,11 @@ def test_negative_events_by_hand(spark):
     assert got == {"s": (1, 60), "t": (0, 0)}
 
 
-@pytest.mark.parametrize("rule", [folds.HitBaseline(size=5), folds.TokenRatio(), folds.Debounce(seconds=3), folds.Downgrade(samples=4, cooldown=3, failures=0.3, overhead=60.0)])
+@pytest.mark.parametrize("rule", [folds.HitBaseline(size=5), folds.TokenRatio(), folds.LengthAverage(), folds.Debounce(seconds=3), folds.Downgrade(samples=4, cooldown=3, failures=0.3, overhead=60.0)])
 def test_folds_over_chunks_equal_a_loop(spark, rule):
     rng = random.Random(9)
-    rows = [(rng.choice([1, 1, 1, 1, 2, None]), i, rng.random() < 0.6, rng.choice([None, 0, 40, 70, 99]), rng.randrange(90), i * 900_000, "aggressive", rng.random() < 0.8, rng.randrange(30), rng.randrange(60), rng.random() < 0.3) for i in range(900)]
-    names = "k int, i int, hit boolean, observed int, estimated int, micros long, wanted string, applied boolean, added int, output int, failed boolean"
+    rows = [(rng.choice([1, 1, 1, 1, 2, None]), i, rng.random() < 0.6, rng.choice([None, 0, 40, 70, 99]), rng.randrange(90), i * 900_000, "aggressive", rng.random() < 0.8, rng.randrange(30), rng.randrange(60), rng.random() < 0.3, rng.choice([None, 0, 3, 70])) for i in range(900)]
+    names = "k int, i int, hit boolean, observed int, estimated int, micros long, wanted string, applied boolean, added int, output int, failed boolean, length int"
     out = folds.fold(spark.createDataFrame(rows, names).repartition(6), ["k"], ["i"], rule, partitions=9).collect()
     places = [[n.split()[0] for n in names.split(", ")].index(c) for c in rule.columns]
     states, want = {}, {}
