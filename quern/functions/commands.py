@@ -163,10 +163,12 @@ def log_shape(text: Column) -> Column:
     return out.when(severe >= 0.3, pick("bracketed", severe)).otherwise(pick("none", F.lit(0.0)))
 
 
-def _analyzed(text: Column) -> tuple[Column, Column]:
-    """The trimmed part that is classified, and whether something was cut off."""
-    long = F.octet_length(text) > ANALYZED
-    part = F.when(long, F.substring(text.cast("binary"), 1, ANALYZED).cast("string")).otherwise(text)
+def _analyzed(text: Column, bound: int | None = ANALYZED) -> tuple[Column, Column]:
+    """The trimmed part that is classified, and whether something was cut off; without a bound nothing is."""
+    if bound is None:
+        return _trim(F.coalesce(text, F.lit(""))), F.lit(False)
+    long = F.octet_length(text) > bound
+    part = F.when(long, F.substring(text.cast("binary"), 1, bound).cast("string")).otherwise(text)
     return _trim(F.coalesce(part, F.lit(""))), F.coalesce(long, F.lit(False))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.commands import KEYWORDS, _analyzed, _any, _diff, _is_json, _path_start, _stacktrace, _trim
+from quern.functions.commands import ANALYZED, KEYWORDS, _analyzed, _any, _diff, _is_json, _path_start, _stacktrace, _trim
 
 #: Fixed values of the rules.
 TESTERS = ["go", "pytest", "cargo", "npm", "pnpm", "yarn", "bun", "vitest", "jest"]
@@ -24,16 +24,16 @@ def _repeats(lines: Column) -> Column:
     return F.when(F.size(ordered) >= TIMES, F.exists(F.zip_with(ordered, F.slice(ordered, TIMES, F.size(ordered)), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda same: same)).otherwise(False)
 
 
-def with_evidence(rows: DataFrame, text: str = "text", head: Column | None = None, args: Column | None = None, column: str = "evidence") -> DataFrame:
+def with_evidence(rows: DataFrame, text: str = "text", head: Column | None = None, args: Column | None = None, column: str = "evidence", bound: int | None = ANALYZED) -> DataFrame:
     """rows with `column`: struct<class, signals>, one of nine classes of an output and the signals in it, sorted.
 
     head is the command's name (null or empty: none), args its words. Null texts are empty. The first
-    64 KiB of a text are read, which is the rule's own bound.
+    `bound` bytes of a text are read, by default the rule's own 64 KiB; None reads whole texts.
     """
     t, low, has = F.col("__t"), F.col("__low"), lambda s, x=F.col("__t"): F.contains(x, F.lit(s))
     name = F.lower(F.coalesce(head, F.lit(""))) if head is not None else F.lit("")
     words = F.transform(args, lambda a: F.lower(_trim(a))) if args is not None else F.array().cast("array<string>")
-    part, long = _analyzed(F.col(text).cast("string"))
+    part, long = _analyzed(F.col(text).cast("string"), bound)
     staged = rows.withColumns({"__t": part, "__long": long, "__name": name, "__words": words})
     staged = staged.withColumns({"__low": F.lower("__t"), "__rows": F.split("__t", "\n")})
     staged = staged.withColumn("__lines", F.transform("__rows", _trim))
