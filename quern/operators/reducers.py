@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import jaccard, words
+from quern.session import cut
 
 # What the lines of outputs look like.
 BUILD_PROBLEM = r"(?i)(error:|: error |^error\[)|(warning:|: warning )"
@@ -14,55 +17,102 @@ LINT_PROBLEM = r"[a-zA-Z0-9_./\\]+:\d+:\d+.*(?:error|warning|info)"
 LINT_SUMMARY = r"(?i)(\d+\s+(?:error|warning|problem)|✖|✓)"
 LOG_TIME = r"\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?"
 DIR_ENTRY = r"^[-dlcbsp][rwx-]{9}\s"
-MATCH = r"^((?:[A-Za-z]:[\\/])?[^:]+):(\d+):(.*)$"
+MATCH = r"(?d)^((?:[A-Za-z]:[\\/])?[^:]+):(\d+):(.*)$"
+# The same over whole texts, lines ending with a newline only: entries of a listing, and folders among them
+# (a carriage return counts as a blank if something follows it, as those at the end of a line are cut off).
+LISTED_ROW, LISTED_FOLDER = r"(?md)^(?!total )[^ \t\n\f\r]", r"(?md)^d[rwx-]{9}(?:[ \t\f]|\r+[^\r\n])"
+#: Whether a line has a LINT_PROBLEM; one character in front of the colon is enough to tell.
+LINT_PLACE = r"(?d)[a-zA-Z0-9_./\\]:\d+:\d.*(?:error|warning|info)"
 #: Roles by the bonus of a cache breakpoint.
 ROLE_BONUS = {"assistant": 90, "tool": 80, "user": 70, "system": 40}
 #: Characters of a token, tokens of the shortest prefix, breakpoints, and characters of a large tool result.
 CHARS, PREFIX_TOKENS, BREAKPOINTS, LARGE_RESULT = 4, 1024, 4, 5120
 
 
+def named(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), make)[0]
+
+
 def shorter(made: Column, text: Column) -> Column:
     """What was made of a text if there is something and it has fewer bytes."""
-    return F.when((made != "") & (F.octet_length(made) < F.octet_length(text)), made).otherwise(text)
+    return named(made, lambda m: F.when((m != "") & (F.octet_length(m) < F.octet_length(text)), m).otherwise(text))
+
 
+def rows_of(text: Column, ends: bool = True) -> Column:
+    """The lines of a text, without carriage returns at their ends (with them if not `ends`)."""
+    lines = F.split(text, "\n")
+    if not ends:
+        return lines
+    return F.when(F.contains(text, F.lit("\r")), F.transform(lines, lambda x: F.rtrim(x, F.lit("\r")))).otherwise(lines)
 
-def _rows(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), lambda x: F.rtrim(x, F.lit("\r")))
+
+def by_id(texts: DataFrame, id_col: str, alone: Callable[[DataFrame], DataFrame], together: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """alone(texts) of the texts whose id no other text has: a text is one row there and isn't shuffled. together(texts)
+    of the others, if there are any. Ids are counted by their hashes, so only numbers are shuffled for that."""
+    key = F.xxhash64(id_col)
+    many = texts.select(key.alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__key")
+    if many.isEmpty():
+        return alone(texts)
+    keyed, many = texts.withColumn("__key", key), cut(many)
+    return alone(keyed.join(many, "__key", "left_anti").drop("__key")).unionByName(together(keyed.join(many, "__key", "left_semi").drop("__key")))
 
 
 def _capped(rows: Column, cap: int, note: str) -> Column:
     return F.concat(F.slice(rows, 1, cap), F.when(F.size(rows) >= cap, F.array(F.lit(note))).otherwise(F.array().cast("array<string>")))
 
 
+def _problems(text: Column, problem: str, info: str, cap: int, note: str, infos: bool = True) -> Column:
+    """The problem lines, `cap` at most, then the others that tell something; each line is tried once a pattern, texts without either not at all."""
+    kinds = lambda x: F.struct(x.alias("x"), F.when(x.rlike(problem), 0).when(x.rlike(info), 1).alias("k"))
+    pick = lambda rows, k: F.transform(F.filter(rows, lambda r: r["k"] == k), lambda r: r["x"])
+    made = named(F.filter(F.transform(rows_of(text), kinds), lambda r: r["k"].isNotNull()), lambda rows: named(pick(rows, 0), lambda p: F.array_join(F.concat(_capped(p, cap, note), pick(rows, 1)) if infos else _capped(p, cap, note), "\n")))
+    return F.when(text.rlike(f"(?m){problem}") | text.rlike(f"(?m){info}"), shorter(made, text)).otherwise(text)
+
+
 def build_output(text: Column, old: bool = False) -> Column:
     """Errors and warnings of a build (50 at most, 20 if old), then what it did (not if old)."""
-    rows = _rows(text)
-    problems = _capped(F.filter(rows, lambda x: x.rlike(BUILD_PROBLEM)), 20 if old else 50, "[...additional errors omitted]")
-    infos = F.filter(rows, lambda x: ~x.rlike(BUILD_PROBLEM) & x.rlike(BUILD_INFO))
-    return shorter(F.array_join(problems if old else F.concat(problems, infos), "\n"), text)
+    return _problems(text, BUILD_PROBLEM, BUILD_INFO, 20 if old else 50, "[...additional errors omitted]", infos=not old)
 
 
 def lint_output(text: Column, old: bool = False) -> Column:
     """Violations of a linter (60 at most, 20 if old) and its summary lines."""
     cap = 20 if old else 60
-    rows = _rows(text)
-    found = _capped(F.filter(rows, lambda x: x.rlike(LINT_PROBLEM)), cap, f"[{cap} violations shown, remainder omitted]")
-    return shorter(F.array_join(F.concat(found, F.filter(rows, lambda x: ~x.rlike(LINT_PROBLEM) & x.rlike(LINT_SUMMARY))), "\n"), text)
+    return _problems(text, LINT_PLACE, LINT_SUMMARY, cap, f"[{cap} violations shown, remainder omitted]")
 
 
 def dir_output(text: Column, old: bool = False) -> Column:
     """How many files and folders a listing has, if they are over 20 or the listing is old."""
-    rows = F.filter(_rows(text), lambda x: (x != "") & ~F.startswith(x, F.lit("total ")))
-    folders = F.size(F.filter(rows, lambda x: F.startswith(x, F.lit("d")) & x.rlike(DIR_ENTRY)))
-    files = F.size(F.filter(rows, lambda x: ~(F.startswith(x, F.lit("d")) & x.rlike(DIR_ENTRY)) & (x.rlike(DIR_ENTRY) | x.rlike(r"^\S"))))
-    made = F.concat(F.lit("[directory: "), files, F.lit(" files, "), folders, F.lit(" dirs]"))
-    return F.when(F.lit(old) | (files + folders > 20), shorter(made, text)).otherwise(text)
+    counts = F.struct(F.regexp_count(text, F.lit(LISTED_ROW)).alias("all"), F.regexp_count(text, F.lit(LISTED_FOLDER)).alias("folders"))
+    made = lambda n: F.concat(F.lit("[directory: "), n["all"] - n["folders"], F.lit(" files, "), n["folders"], F.lit(" dirs]"))
+    return named(counts, lambda n: F.when(F.lit(old) | (n["all"] > 20), shorter(made(n), text)).otherwise(text))
 
 
 def log_output(texts: DataFrame, id_col: str = "id", text_col: str = "text", old: bool = False) -> DataFrame:
-    """id_col and reduced: lines that differ in their times only once, with [xN], 80 of them (30 if old), if that is shorter."""
+    """id_col and reduced: lines that differ in their times only once, with [xN], 80 of them (30 if old), if that is shorter.
+
+    A text is reduced in its row; only texts that share an id, whose lines are one output, are taken apart.
+    """
     limit = 30 if old else 80
-    rows = texts.select(id_col, F.posexplode(_rows(F.col(text_col))).alias("pos", "line"))
+
+    def alone(some: DataFrame) -> DataFrame:
+        text = F.col(text_col)
+        # No time spans lines, so all are replaced at once.
+        staged = some.select(id_col, text_col, rows_of(text).alias("__rows"), rows_of(F.regexp_replace(text, LOG_TIME, "<T>")).alias("__forms"))
+        staged = staged.withColumn("__distinct", F.array_distinct("__forms"))
+        times = lambda f: F.size(F.filter("__forms", lambda x: x == f))
+        line = lambda f: F.element_at("__rows", F.array_position("__forms", f).cast("int"))
+        shown = lambda f: named(times(f), lambda n: F.when(n > 1, F.concat(line(f), F.lit(" [x"), n, F.lit("]"))).otherwise(line(f)))
+        some = F.when(F.size("__distinct") == F.size("__forms"), F.slice("__rows", 1, limit)).otherwise(F.transform(F.slice("__distinct", 1, limit), shown))
+        more = F.when(F.size("__distinct") > limit, F.array(F.concat(F.lit("[..."), F.size("__distinct") - limit, F.lit(" more unique log lines omitted]")))).otherwise(F.array().cast("array<string>"))
+        return staged.select(id_col, shorter(F.coalesce(F.array_join(F.concat(some, more), "\n"), F.lit("")), text).alias("reduced"))
+
+    return by_id(texts, id_col, alone, lambda some: _log_output(some, id_col, text_col, limit))
+
+
+def _log_output(texts: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
+    """log_output over rows of lines."""
+    rows = texts.select(id_col, F.posexplode(rows_of(F.col(text_col))).alias("pos", "line"))
     forms = rows.groupBy(id_col, F.regexp_replace("line", LOG_TIME, "<T>").alias("form")).agg(F.min("pos").alias("pos"), F.min_by("line", "pos").alias("line"), F.count(F.lit(1)).alias("n"))
     of = Window.partitionBy(id_col)
     ranked = forms.withColumn("rank", F.row_number().over(of.orderBy("pos"))).withColumn("all", F.count(F.lit(1)).over(of)).filter(F.col("rank") <= limit)
@@ -73,14 +123,14 @@ def log_output(texts: DataFrame, id_col: str = "id", text_col: str = "text", old
     return texts.select(id_col, text_col).join(joined, id_col, "left").select(id_col, shorter(F.coalesce("made", F.lit("")), F.col(text_col)).alias("reduced"))
 
 
-def search_matches(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """id_col, pos, file, line (number), content of every `file:line:content` line."""
-    rows = texts.select(id_col, F.posexplode(_rows(F.col(text_col))).alias("pos", "row")).filter(F.col("row").rlike(MATCH))
-    part = lambda k: F.regexp_extract("row", MATCH, k)
+def search_matches(texts: DataFrame, id_col: str = "id", text_col: str = "text", match: str = MATCH, ends: bool = True) -> DataFrame:
+    """id_col, pos, file, line (number), content of every `file:line:content` line (three groups of `match`)."""
+    rows = texts.select(id_col, F.posexplode(rows_of(F.col(text_col), ends)).alias("pos", "row")).filter(F.col("row").rlike(match))
+    part = lambda k: F.regexp_extract("row", match, k)
     return rows.select(id_col, "pos", part(1).alias("file"), part(2).cast("long").alias("line"), part(3).alias("content"))
 
 
-def search_top(matches: DataFrame, id_col: str = "id", per_file: int = 20, files: int = 30, important: str = r"(?i)error|fail|panic|todo|fixme") -> DataFrame:
+def search_top(matches: DataFrame, id_col: str = "id", per_file: int = 20, files: int | None = 30, important: str = r"(?i)error|fail|panic|todo|fixme") -> DataFrame:
     """The matches that stay: of each file the first, the last, then important ones, then the earliest; of a text the files with most matches.
 
     With file_matches (how many a file has) and place (canonical: by file, line number, content).
@@ -91,10 +141,34 @@ def search_top(matches: DataFrame, id_col: str = "id", per_file: int = 20, files
     ends = (F.col("__first") == 1) | (F.col("__last") == 1)
     kept = placed.withColumn("__rank", F.row_number().over(of_file.orderBy(F.desc(ends), F.desc(F.col("content").rlike(important)), *order))).filter(F.col("__rank") <= per_file)
     of_text = Window.partitionBy(id_col)
-    some = kept.withColumn("__file", F.dense_rank().over(of_text.orderBy(F.desc("file_matches"), "file"))).filter(F.col("__file") <= files)
+    some = kept if files is None else kept.withColumn("__file", F.dense_rank().over(of_text.orderBy(F.desc("file_matches"), "file"))).filter(F.col("__file") <= files)
     return some.withColumn("place", F.row_number().over(of_text.orderBy("file", *order))).select(id_col, "place", "file", "line", "content", "file_matches")
 
 
+def search_top_of(texts: DataFrame, id_col: str = "id", text_col: str = "text", per_file: int = 20, files: int | None = 30, important: str = r"(?i)error|fail|panic|todo|fixme", match: str = MATCH, ends: bool = True) -> DataFrame:
+    """search_top (of all files if `files` is None) of the search_matches of texts. A text's matches are sorted and ranked in its row, in runs of a file;
+    only those of texts that share an id meet by windows."""
+
+    def alone(some: DataFrame) -> DataFrame:
+        part = lambda x, k: F.regexp_extract(x, match, k)
+        lines = F.filter(F.transform(rows_of(F.col(text_col), ends), lambda x, i: F.struct(x.alias("x"), i.alias("pos"))), lambda r: r["x"].rlike(match))
+        found = F.transform(lines, lambda r: F.struct(part(r["x"], 1).alias("file"), part(r["x"], 2).cast("long").alias("line"), part(r["x"], 3).alias("content"), r["pos"].alias("pos")))
+        staged = some.filter(F.col(text_col).rlike(r":\d+:")).select(id_col, F.sort_array(found).alias("__all"))
+        # A run begins where the file isn't that of the match before.
+        begins = F.filter(F.transform("__all", lambda m, i: F.when((i == 0) | (F.get("__all", i - 1)["file"] != m["file"]), i)), lambda i: i.isNotNull())
+        staged = staged.withColumn("__begins", begins)
+        closes = F.slice(F.concat("__begins", F.array(F.size("__all"))), F.lit(2), F.size("__begins"))
+        groups = F.zip_with("__begins", closes, lambda a, z: F.slice("__all", a + 1, z - a))
+        rank = lambda m, inner: F.struct(inner.alias("inner"), (~m["content"].rlike(important)).alias("plain"), m["line"].alias("line"), m["content"].alias("content"), m["pos"].alias("pos"), m["file"].alias("file"))
+        best = lambda g: F.slice(F.sort_array(F.transform(g, lambda m, i: rank(m, (i > 0) & (i < F.size(g) - 1)))), 1, per_file)
+        kept = F.transform(groups, lambda g: F.struct((-F.size(g)).alias("less"), g[0]["file"].alias("file"), best(g).alias("rows")))
+        flat = F.flatten(F.transform(F.slice(F.sort_array(kept), 1, files) if files else kept, lambda f: F.transform(f["rows"], lambda m: F.struct(m["file"].alias("file"), m["line"].alias("line"), m["content"].alias("content"), m["pos"].alias("pos"), (-f["less"]).cast("long").alias("file_matches")))))
+        out = staged.select(id_col, F.posexplode(F.sort_array(flat)).alias("__i", "m"))
+        return out.select(id_col, (F.col("__i") + 1).alias("place"), "m.file", "m.line", "m.content", "m.file_matches")
+
+    return by_id(texts, id_col, alone, lambda some: search_top(search_matches(some, id_col, text_col, match, ends), id_col, per_file, files, important))
+
+
 def lint_json(texts: DataFrame, id_col: str = "id", text_col: str = "text", limit: int = 20, tail: int = 4) -> DataFrame:
     """The problems of JSON lint reports (an array of files with messages): id_col, file, line, column, severity, rule, message, errors, warnings, kept.
 

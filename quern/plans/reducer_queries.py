@@ -68,8 +68,8 @@ r AS (SELECT *, count(*) OVER (PARTITION BY id, file) AS file_matches, row_numbe
 k AS (SELECT *, row_number() OVER (PARTITION BY id, file ORDER BY (a = 1 OR z = 1) DESC, contains(content, 'error') DESC, line, content) AS rank FROM r)
 SELECT id, row_number() OVER (PARTITION BY id ORDER BY file, line, content) AS place, file, line, content, file_matches FROM k WHERE rank <= 2""")
 def search_top(spark, sf):
-    """Canonical matches, two of each file."""
-    return R.search_top(R.search_matches(_texts(spark, sf)), per_file=2)
+    """Canonical matches, two of each file, of all files; what stands before the first colon is the file, and lines are whole."""
+    return R.search_top_of(_texts(spark, sf), per_file=2, files=None, match=r"(?d)^([^:]+):(\d+):(.*)$", ends=False)
 
 
 _LINT = {"id": "event_id", "n": "CAST(event_id % 30 AS INT)", "w": "CAST(event_id % 7 AS INT)"}

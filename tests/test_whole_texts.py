@@ -2,7 +2,10 @@
 
 import os
 
+import pytest
+
 import __spark_entry__ as e
+from quern.operators import reducers
 from tests.oracle import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +31,38 @@ def test_evidence_reads_past_64_kib(spark, tmp_path):
     tail = "\nthe same line\nthe same line\nthe same line\n" + "y" * 300 + "\nsome/path.go:3: an error, exit code 1"
     docs = [(0, filler + tail), (1, filler + "\nTraceback (most recent call last):"), (2, "[" + "1, " * 40000 + "1]"), (3, "[" + "1, " * 40000), (4, None), (5, " " * 70000 + "warning")]
     _same(spark, "content_evidence", _tables(spark, tmp_path, docs))
+
+
+ODD = [
+    "commit 12ab34f\nAuthor: a\n\ndiff --git a/x b/x\n--- a/x\r\n+++ b/x\n" + "+line\r\n" * 70 + " 3 files changed\nstill diff\nrename a => b\nout\n--- a\nin\ncommit abcdef1\nout",
+    "--- a\n" + "x\n" * 59 + "tail that is long enough to be left out\n" * 9,
+    "--- FAIL: A\n" + "  at it\n" * 45 + "--- PASS: B\nnoise\n--- FAIL: C\nfollows\nok  \tpkg 0.1s\nnot a failure\n12 passed, 1 failed\r\r\n" * 3,
+    "panic: x\r\n\r\n12 tests passed\n" + "z\n" * 90,
+    "d123\ndrwxr-xr-x\x0bx\ndrwxr-xr-x 2\rx\ndrwxr-xr-x\r\r\n" + "total 9\n\r\n -x\n" + "drwxr-xr-x\rq\n\x0bq\n" * 15 + "f\n" * 20,
+    "\n".join(f"2024-01-01T10:00:0{i % 10}Z tick {i % 95}" for i in range(300)),
+    "a\nb\r\na\r\n2024-01-01 10:00:00.5 x\n2024/01/02 10:00:00 x\n\n\n",
+    "src/a.ts:10:2 \x85 error\n" + "A:1:2 info\r\nwords\n" * 65 + "5 problems\n✖ 3",
+    "Compiling x\nerror: a\r\n" + "warning: b\nother\n" * 60 + "Finished",
+    "b.go:12:x\na.go:3:an error\na.go:10:y\na.go:3:an error\nnone\na.go:2:z\na.go:44:last\nc:1:one",
+    "C:\\x.go:3:error\nx:4:a\r\r\n" + "\n".join(f"f{i % 45}:{i}:{'todo error'[: i % 11]}" for i in range(300)),
+    "", None, "\n", "\r",
+]
+
+
+@pytest.mark.parametrize("name", ["git_output", "test_output", "dir_output", "lint_output", "log_output", "search_top", "build_output"])
+def test_reducers_of_odd_texts_do_not_shuffle_lines(spark, tmp_path, name):
+    folder = _tables(spark, tmp_path, enumerate(ODD))
+    _same(spark, name, folder)
+    plan = e.queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and "Join" not in plan
+
+
+def test_texts_that_share_an_id(spark):
+    texts = [(1, "a\nb\na"), (1, "a\nb\na"), (2, "x 1\nx 1\nx 1"), (3, None)]
+    rows = spark.createDataFrame(texts, "id long, text string")
+    assert sorted(map(tuple, reducers.log_output(rows).collect()), key=str) == sorted([(1, "a\nb\na"), (1, "a\nb\na"), (2, "x 1 [x3]"), (3, None)], key=str)
+    found = [(1, "a:3:x\na:1:error\na:5:y"), (1, "a:4:fail\nb:1:z"), (2, "c:1:p\nc:2:q")]
+    rows = spark.createDataFrame(found, "id long, text string")
+    want = [(1, 1, "a", 1, "error", 4), (1, 2, "a", 4, "fail", 4), (1, 3, "a", 5, "y", 4), (1, 4, "b", 1, "z", 1), (2, 1, "c", 1, "p", 2), (2, 2, "c", 2, "q", 2)]
+    assert sorted(map(tuple, reducers.search_top_of(rows, per_file=3).collect())) == want
+    assert sorted(map(tuple, reducers.search_top_of(rows, per_file=3, files=1).collect())) == [r for r in want if r[2] != "b"]
