@@ -37,15 +37,53 @@ def signature(text: str) -> np.ndarray:
     for k in range(sizes[-1]):  # one byte of all shingles at a time; they are sorted by length
         live = slice(int(np.searchsorted(sizes, k, "right")), None)
         h[live] = (h[live] ^ data[live, k]) * factor
-    out = np.empty(DIMENSIONS, np.uint64)
-    for d in range(DIMENSIONS):
-        s = h
-        for byte in (d + 1).to_bytes(8, "little"):
-            s = (s ^ np.uint64(byte)) * factor
-        out[d] = s.min()
+    # A seed's eight bytes are its number and seven zeros, which multiply only.
+    seeds, rest = np.arange(1, DIMENSIONS + 1, dtype=np.uint64), np.uint64(pow(FNV_FACTOR, 8, 1 << 64))
+    out = np.full(DIMENSIONS, np.iinfo(np.uint64).max)
+    for k in range(0, len(h), 4096):
+        out = np.minimum(out, ((h[k : k + 4096, None] ^ seeds) * rest).min(0))
     return out
 
 
+class Leaders:
+    """The signatures of leaders in order, and the first one that agrees with a signature in a share of at least `least`.
+
+    If at most d of the numbers differ, one of d + 1 bands of them is equal, so only leaders that share a band
+    are compared; no other one can agree so far.
+    """
+
+    def __init__(self, least: float):
+        same = next(k for k in range(1, DIMENSIONS + 1) if k / DIMENSIONS >= least)
+        cuts = np.linspace(0, DIMENSIONS, DIMENSIONS - same + 2).astype(int)
+        self.same, self.bands = same, list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+        self.sigs, self.places = np.empty((16, DIMENSIONS), np.int64), []
+        self.index: list[dict[int, list[int]]] = [{} for _ in self.bands]
+        self.compared = 0
+
+    def _keys(self, sig: np.ndarray) -> list[int]:
+        data = sig.tobytes()  # the hash of a band finds leaders, their numbers decide
+        return [hash(data[8 * a : 8 * z]) for a, z in self.bands]
+
+    def find(self, sig: np.ndarray, place: int) -> int | None:
+        """The place of the first such leader that stands at another place."""
+        some = {k for band, key in zip(self.index, self._keys(sig)) for k in band.get(key, ())}
+        if not some:
+            return None
+        few = np.array(sorted(some))
+        self.compared += len(few)
+        near = few[(self.sigs[few] == sig).sum(1) >= self.same]
+        return next((self.places[k] for k in near.tolist() if self.places[k] != place), None)
+
+    def add(self, sig: np.ndarray, place: int) -> None:
+        n = len(self.places)
+        if n == len(self.sigs):
+            self.sigs = np.concatenate([self.sigs, np.empty((n, DIMENSIONS), np.int64)])
+        self.sigs[n] = sig
+        self.places.append(place)
+        for band, key in zip(self.index, self._keys(sig)):
+            band.setdefault(key, []).append(n)
+
+
 def staircase(count: Column, steps: list[tuple[int, float]], default: float = 0.85) -> Column:
     """The threshold of the first step whose limit isn't below the count; steps out of (0, 1] mean the default."""
     out = F
@@ -60,7 +98,8 @@ def leaders(texts: DataFrame, session: str = "session", at: str = "at", text: st
     Texts are compared without outer blanks. A text of 120 bytes or more is near the first leader of its
     session whose signature agrees in a share of at least the threshold; leaders are texts that are
     neither. Signatures are computed for all texts at once; the ordered pass over a session keeps those of
-    its leaders, so a session is one task, as the rule's result depends on the order.
+    its leaders, so a session is one task, as the rule's result depends on the order. A text is compared
+    only with leaders that share a band of its signature, which loses none.
     """
     ship(texts.sparkSession)
     norm = trim_all(F.coalesce(F.col(text), F.lit("")))
@@ -79,24 +118,19 @@ def leaders(texts: DataFrame, session: str = "session", at: str = "at", text: st
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         exact: dict[str, int] = {}
-        kept: list[int] = []
-        sigs = np.empty((0, DIMENSIONS), np.int64)
+        kept = Leaders(part["least"].iloc[0])
         out = []
-        for place, sha, least, sig in part.sort_values(["at", "sha"])[["at", "sha", "least", "sig"]].itertuples(index=False):
+        for place, sha, sig in part.sort_values(["at", "sha"])[["at", "sha", "sig"]].itertuples(index=False):
             if sha in exact:
                 out.append((place, "exact", exact[sha]))
                 continue
             if sig is not None:
                 mine = np.asarray(sig, np.int64)
-                same = (sigs[: len(kept)] == mine).mean(1) if kept else np.empty(0)
-                near = [k for k in np.flatnonzero(same >= least) if kept[k] != place]
-                if near:
-                    out.append((place, "near", kept[near[0]]))
+                first = kept.find(mine, place)
+                if first is not None:
+                    out.append((place, "near", first))
                     continue
-                if len(kept) == len(sigs):
-                    sigs = np.concatenate([sigs, np.empty((max(16, len(sigs)), DIMENSIONS), np.int64)])
-                sigs[len(kept)] = mine
-                kept.append(place)
+                kept.add(mine, place)
             exact[sha] = place
             out.append((place, "new", -1))
         found = pd.DataFrame(out, columns=["at", "kind", "first"])

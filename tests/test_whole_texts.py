@@ -2,10 +2,11 @@
 
 import os
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as e
-from quern.operators import reducers
+from quern.operators import neardup, reducers
 from tests.oracle import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +67,39 @@ def test_texts_that_share_an_id(spark):
     want = [(1, 1, "a", 1, "error", 4), (1, 2, "a", 4, "fail", 4), (1, 3, "a", 5, "y", 4), (1, 4, "b", 1, "z", 1), (2, 1, "c", 1, "p", 2), (2, 2, "c", 2, "q", 2)]
     assert sorted(map(tuple, reducers.search_top_of(rows, per_file=3).collect())) == want
     assert sorted(map(tuple, reducers.search_top_of(rows, per_file=3, files=1).collect())) == [r for r in want if r[2] != "b"]
+
+
+def _slow_signature(text):
+    """The rule byte by byte."""
+    out = [(1 << 64) - 1] * neardup.DIMENSIONS
+    for part in set(neardup.shingles(text)):
+        for d in range(neardup.DIMENSIONS):
+            h = neardup.FNV_START
+            for byte in part + (d + 1).to_bytes(8, "little"):
+                h = (h ^ byte) * neardup.FNV_FACTOR & (1 << 64) - 1
+            out[d] = min(out[d], h)
+    return out
+
+
+@pytest.mark.parametrize("least", [0.01, 0.5, 0.85, 0.9, 1.0])
+def test_leaders_compare_only_those_that_share_a_band(least):
+    rng = np.random.default_rng(5)
+    sigs = list(rng.integers(-(1 << 62), 1 << 62, (400, neardup.DIMENSIONS)))
+    for k in range(400):  # copies with just as many numbers changed as the rule allows, and one more or less
+        copy = sigs[k].copy()
+        most = int(neardup.DIMENSIONS * (1 - least)) + rng.integers(-1, 2)
+        copy[rng.permutation(neardup.DIMENSIONS)[: max(0, most)]] += 1
+        sigs.append(copy)
+    leaders, plain = neardup.Leaders(least), []
+    for place, sig in enumerate(sigs):
+        want = next((p for p, s in plain if (s == sig).mean() >= least), None)
+        assert leaders.find(sig, place) == want
+        if want is None:
+            leaders.add(sig, place)
+            plain.append((place, sig))
+    assert leaders.compared <= 2 * len(sigs)
+
+
+def test_signature_equals_the_rule():
+    for text in ("one two three four", "a", " ".join(f"w{i % 5000}é" for i in range(5000))[:9000]):
+        assert neardup.signature(text).tolist() == _slow_signature(text)
