@@ -153,17 +153,18 @@ def deltas(versions: DataFrame, key: str = "key", place: str = "idx", text: str
     texts = versions.select(F.col(key).alias("key"), F.col(place).alias("place"), F.coalesce(text, F.lit("")).alias("text"))
     pairs = version_pairs(texts, "key", "place", "text")
     olds = texts.select(F.col("key").alias("k"), F.col("place").alias("p"), F.col("text").alias("old"))
-    both = texts.join(pairs, ["key", "place"]).join(olds, (F.col("key") == F.col("k")) & (F.col("prev") == F.col("p")), "left")
-    both = both.select("key", "place", "prev", F.when(~F.col("same"), F.col("old")).alias("old"), "text")
+    # Only what is compared goes on with its text; others need its size.
+    rows = texts.join(pairs, ["key", "place"]).select("key", "place", "prev", F.octet_length("text").cast("long").alias("bytes"), F.when(~F.col("same") & F.col("prev").isNotNull(), F.col("text")).alias("text"))
+    both = rows.join(olds, (F.col("key") == F.col("k")) & (F.when(F.col("text").isNotNull(), F.col("prev")) == F.col("p")), "left")
+    both = both.select("key", "place", "prev", "old", "text", "bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes = [], []
-            for old, new in zip(batch.column("old").to_pylist(), batch.column("text").to_pylist()):
-                delta, size = None if old is None else unified(old, new, context), len(new.encode())
+            found = []
+            for old, new, size in zip(*(batch.column(c).to_pylist() for c in ("old", "text", "bytes"))):
+                delta = None if old is None or new is None else unified(old, new, context)
                 found.append(delta if delta and len(delta.encode()) < share * size else None)
-                sizes.append(size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.string()), pa.array(sizes, pa.int64())], ["key", "place", "prev", "delta", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.string()), batch.column("bytes")], ["key", "place", "prev", "delta", "bytes"])
 
     kinds = dict(both.dtypes)
     out = both.mapInArrow(run, f"key {kinds['key']}, place {kinds['place']}, prev {kinds['prev']}, delta string, bytes bigint")

@@ -1,12 +1,15 @@
 """Queries on made tables beside their SQL: texts over the bounds of rules, repeated ids, odd lines."""
 
 import os
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as e
-from quern.operators import neardup, reducers
+from quern.functions import commands
+from quern.operators import deltas, neardup, reducers
 from tests.oracle import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
@@ -103,3 +106,19 @@ def test_leaders_compare_only_those_that_share_a_band(least):
 def test_signature_equals_the_rule():
     for text in ("one two three four", "a", " ".join(f"w{i % 5000}é" for i in range(5000))[:9000]):
         assert neardup.signature(text).tolist() == _slow_signature(text)
+
+
+def test_pattern_of_tokens_finds_the_same(spark):
+    for tokens in (commands.IMPORTANT_LOG, [*commands.IMPORTANT_LOG, *commands.IMPORTANT_RULE], ["a.b", "a", "(x"]):
+        ours, plain = re.compile(commands._one_of(tokens)), re.compile(commands._any(tokens))
+        for t in tokens:
+            for x in (t, t[1:], t[:-1], f"xx{t}yy", t.replace(" ", ""), t[::-1], t[:2] + t):
+                assert bool(ours.search(x)) == bool(plain.search(x)), (tokens, x)
+    plan = commands.important_log_line(F.col("x"))._jc.toString()
+    assert "(?=[" in plan
+
+
+def test_deltas_carry_only_texts_that_are_compared(spark):
+    rows = spark.createDataFrame([(1, 0, "a\nb\n" * 9), (1, 1, "a\nb\n" * 9), (1, 2, "a\nb\n" * 9 + "é"), (2, 0, None), (2, 1, "")], "key long, idx int, text string")
+    got = {(r.key, r.idx): (r.prev, r.bytes, r.delta is None) for r in deltas.deltas(rows, share=9.0).collect()}
+    assert got == {(1, 0): (None, 36, True), (1, 1): (0, 36, True), (1, 2): (0, 38, False), (2, 0): (None, 0, True), (2, 1): (0, 0, True)}
