@@ -86,8 +86,10 @@ def _in_time(sessions: DataFrame, threads: DataFrame, overlap: int) -> DataFrame
     ranges = known.select("session", "at", F.ceil(F.col("first") - overlap).alias("low"), F.floor(F.col("last") + overlap).alias("high"))
     levels = _levels(ranges)
     asked = ranges.select("session", "low", "high", F.explode("at").alias("at")).withColumn("bin", F.explode(bins_of_interval(F.col("low"), F.col("high"), levels)))
-    timed = threads.filter("updated is not null").select("thread", "updated", F.explode("at").alias("at")).withColumn("bin", F.explode(bins_of_second(F.col("updated"), levels)))
-    found = _lookup(asked.select("session", _key()), _sums(timed.select("thread", _key()), "key"), "key")
+    # Threads of one second are summed up before they go into the bins of all levels.
+    timed = threads.filter("updated is not null").select("thread", "updated", F.explode("at").alias("at")).groupBy("at", "updated").agg(F.count(F.lit(1)).alias("n"), F.min("thread").alias("thread"))
+    binned = timed.withColumn("bin", F.explode(bins_of_second(F.col("updated"), levels))).select(_key(), "n", "thread")
+    found = _lookup(asked.select("session", _key()), binned.groupBy("key").agg(F.sum("n").alias("n"), F.min("thread").alias("thread")), "key")
     each = lambda rows: rows.select("session", F.explode("at").alias("key"))
     named = threads.select("thread", "updated", F.explode("at").alias("key"))
     untimed = _lookup(each(known), _sums(named.filter("updated is null"), "key"), "key")
