@@ -583,7 +583,9 @@ def _meetings(base: DataFrame, profile: DataFrame, rows: DataFrame, words: int,
     everything = rows.count()
     signatures = lambda docs: _signatures(docs, words, percent, seed, sketch, everything)
     buckets = cut(_buckets(signatures(base), signatures(base.filter(F.pmod(F.xxhash64("id", "th"), F.lit(SAMPLED)) == 0))))
-    return _flagged(buckets, _shared(buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")), HOT_LEAST))
+    shared = _shared(buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")), HOT_LEAST)
+    # The list of shared signatures is in one plan only, not in each that reads the buckets.
+    return cut(_flagged(buckets, shared)) if shared else _flagged(buckets, shared)
 
 
 def _crossing(meeting: DataFrame, percent: int, apart: bool) -> DataFrame:
@@ -635,7 +637,8 @@ def _components(base: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     buckets = _meetings(base, profile, rows, words, percent, seed)
 
     # First the pivots: in each bucket the class that meets most others, and for each class the pivot that it meets most often.
-    met = _over(buckets, "sig", k=F.count(F.lit(1))).groupBy("cls").agg(F.sum("k").alias("weight"))
+    # Each plan reads rows of the buckets several times (cold, hot, totals), so one inside another is written first.
+    met = cut(_over(buckets, "sig", k=F.count(F.lit(1))).groupBy("cls").agg(F.sum("k").alias("weight")))
     pivoted = _over(buckets.join(met, "cls"), "sig", first=F.max(F.struct("weight", "cls"))).withColumn("pivot", F.col("first.cls"))
     pairs = pivoted.filter((F.col("cls") != F.col("pivot")) & _similar_sizes(F.col("cls.n"), F.col("pivot.n"), percent)).groupBy("pivot", "cls").agg(F.count(F.lit(1)).alias("times"))
     stars = cut(pairs.groupBy("cls").agg(F.max(F.struct("times", "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("cls").alias("b")))
@@ -645,7 +648,7 @@ def _components(base: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
 
     # Then what is still apart: pairs of a probe and an index row of one bucket in different components.
     rooted = buckets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    apart = _over(rooted, "sig", "least != most", least=F.min("root"), most=F.max("root")).drop("least", "most")
+    apart = cut(_over(rooted, "sig", "least != most", least=F.min("root"), most=F.max("root")).drop("least", "most"))
     crossing = _crossing(apart.join(classes.select("cls", "bits"), "cls"), percent, True)
     seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = cut(crossing.join(seen, ["a", "b"], "left_anti"))

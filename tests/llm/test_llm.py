@@ -138,6 +138,24 @@ def test_ngram_join_of_hot_signatures_equals_brute_force(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == list(zip(*_brute_components(texts, 4, 85)))
 
 
+def test_no_plan_of_the_ngram_join_reads_its_buckets_over_and_over(spark, monkeypatch):
+    hot_keys, cut, plans = ngram_join.hot_keys, ngram_join.cut, []
+    monkeypatch.setattr(ngram_join, "hot_keys", lambda counts, key, total=None, least=1: hot_keys(counts, key, 0, 1))
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return cut(df)
+
+    monkeypatch.setattr(ngram_join, "cut", noted)
+    rng = random.Random(3)
+    near = [[f"w{j}" for j in range(60)] for _ in range(20)]
+    for k, words in enumerate(near):
+        words[k] = f"x{k}"
+    docs = [(k, " ".join(words)) for k, words in enumerate(near)] + [(100 + k, " ".join(f"v{rng.randrange(999)}" for _ in range(40))) for k in range(20)]
+    got = ngram_join.ngram_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == 40 and max(plans) <= 16
+
+
 def test_ngram_links_are_all_links(spark):
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in (3, 4, 30, 50)] + [" ".join(base), " ".join(base), "", "other words of a text"]
