@@ -3,7 +3,8 @@
 The blocks of a turn before and after are aligned by digests (a longest common subsequence), the stretches
 between are paired in order, and each difference gets a severity. Whether a block was seen in full before,
 which archive entries a text names and what these hold are joins over the whole table; only the alignment
-of one turn's digests runs in Python. Texts aren't moved but for those with chunk references.
+of one turn's digests runs in Python. What a block's row needs (digests, size, names, preview) goes with its
+turn in one shuffle and isn't joined to again. Texts aren't moved but for those with chunk references.
 """
 
 from __future__ import annotations
@@ -27,14 +28,17 @@ DEPTH = 4
 _EXIT, _OUTPUTS = "Process exited with code ", ("\nOutput:\n", "\r\nOutput:\r\n")
 
 
-def stable_digests(text: Column) -> Column:
-    """Digests of the forms in which a text counts as seen: itself, and a command's output without its envelope; none for ''."""
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _payload(text: Column) -> Column:
+    """Digest of a command's output without its envelope, null for other texts."""
     payload = F.lit(None).cast("string")
     for marker in reversed(_OUTPUTS):
         at = F.instr(text, marker)
         payload = F.when(at > 0, F.substring(text, at + len(marker), F.length(text))).otherwise(payload)
-    payload = F.when(text.contains(_EXIT) & (payload != ""), payload)
-    return F.array_compact(F.array(F.when(text != "", F.sha2(text, 256)), F.sha2(payload, 256)))
+    return F.when(text.contains(_EXIT), F.when(payload != "", _digest(payload)))
 
 
 def align(before: list[tuple], after: list[tuple]) -> Iterator[tuple[str, int | None, int | None]]:
@@ -75,28 +79,62 @@ def align(before: list[tuple], after: list[tuple]) -> Iterator[tuple[str, int |
     yield from visible(between(b, a))
 
 
+_FOUND = "kind string, b bigint, a bigint, digest binary, payload binary, bytes bigint, ids array<string>, preview string"
+
+
 def _aligned(blocks: DataFrame, kind: str) -> DataFrame:
-    """session, turn, kind, b and a (blocks before and after) and context (all entries that the turn's blocks name afterwards)."""
+    """session, turn, kind and digest and payload of the block before; of changes also b, a (blocks before and after), bytes, ids, preview.
+
+    ids are the entries that a change names: those of its replacement, or where what is left of it is
+    shorter, all that the turn's blocks name afterwards.
+    """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, kinds, olds, news = [], [], [], []
-            for row, (before, after) in enumerate(zip(batch.column("before").to_pylist(), batch.column("after").to_pylist())):
-                pairs = [[(x["digest"], x["blank"]) for x in side] for side in (before, after)]
-                for name, i, j in align(*pairs):
+            sides = []
+            for name in ("before", "after"):
+                column = batch.column(name)
+                ends, end = [], 0
+                for n in column.value_lengths().to_pylist():
+                    ends.append((end, end := end + n))
+                sides.append((ends, dict(zip(("block", "digest", "blank", "ids", "payload", "size", "preview"), column.flatten().flatten()))))
+            (b_at, old), (a_at, new) = sides
+            items = [list(zip(x["digest"].to_pylist(), x["blank"].to_pylist())) for x in (old, new)]
+            old_size, new_size, new_ids = old["size"].to_pylist(), new["size"].to_pylist(), new["ids"].to_pylist()
+            # Places of each found row: its turn, its block before, and of changes both blocks.
+            at, kinds, olds, b, a, sizes, ids = [], [], [], [], [], [], []
+            for row, ((b0, b1), (a0, a1)) in enumerate(zip(b_at, a_at)):
+                context = None
+                for name, i, j in align(items[0][b0:b1], items[1][a0:a1]):
                     at.append(row)
                     kinds.append(name)
-                    olds.append(None if i is None else before[i]["block"])
-                    news.append(None if j is None else after[j]["block"])
-            one = batch.select(["session", "turn", "context"]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*one.columns, pa.array(kinds, pa.string()), pa.array(olds, pa.int64()), pa.array(news, pa.int64())], ["session", "turn", "context", "kind", "b", "a"])
-
-    row = F.struct("block", "digest", "blank", "ids")
+                    i, j = None if i is None else b0 + i, None if j is None else a0 + j
+                    olds.append(i)
+                    if name == "equal":
+                        i = j = more = names = None
+                    else:
+                        was, now = 0 if i is None else old_size[i], 0 if j is None else new_size[j]
+                        more, names = was - now, [] if j is None else new_ids[j]
+                        if not names and was > 0 and (j is None or items[1][j][1] or now < was):
+                            if context is None:
+                                context = list(dict.fromkeys(x for found in new_ids[a0:a1] for x in found))
+                            names = context
+                    b.append(i)
+                    a.append(j)
+                    sizes.append(more)
+                    ids.append(names)
+            olds, b, a = (pa.array(x, pa.int64()) for x in (olds, b, a))
+            one = batch.select(["session", "turn"]).take(pa.array(at, pa.int64()))
+            preview = pc.coalesce(old["preview"].take(b), new["preview"].take(a))
+            found = [pa.array(kinds, pa.string()), old["block"].take(b), new["block"].take(a), old["digest"].take(olds), old["payload"].take(olds), pa.array(sizes, pa.int64()), pa.array(ids, pa.list_(pa.string())), preview]
+            yield pa.RecordBatch.from_arrays([*one.columns, *found], ["session", "turn", "kind", "b", "a", "digest", "payload", "bytes", "ids", "preview"])
+
+    row = F.struct("block", "digest", "blank", "ids", "payload", "size", "preview")
     side = lambda name: F.array_sort(F.collect_list(F.when(F.col("side") == name, row)))
     turns = blocks.groupBy("session", "turn").agg(side("before").alias("before"), side("after").alias("after"))
-    turns = turns.withColumn("context", F.array_distinct(F.flatten(F.transform("after", lambda x: x["ids"]))))
-    return turns.mapInArrow(run, f"session {kind}, turn bigint, context array<string>, kind string, b bigint, a bigint")
+    return turns.mapInArrow(run, f"session {kind}, turn bigint, {_FOUND}")
 
 
 def audit(blocks: DataFrame, archive: DataFrame | None = None) -> DataFrame:
@@ -108,31 +146,23 @@ def audit(blocks: DataFrame, archive: DataFrame | None = None) -> DataFrame:
     replacement that names archive entries is referenced if an entry, one that it names (DEPTH steps), or
     the replacement with its chunks put in holds the block, missing if no entry is there, else a mismatch.
     What has no reference is lost if it got shorter, else changed; added blocks are extra. A turn's blocks
-    are one request and meet in one row, without their texts. Empty tables give no rows.
+    are one request and meet in one row, without their texts (80 characters of each at most). Empty tables give no rows.
     """
     ship(blocks.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = blocks.select("session", F.col("turn").cast("long").alias("turn"), "side", F.col("block").cast("long").alias("block"), text.alias("text"))
-    blank = F.trim(F.regexp_replace("text", r"[\t\n\x0B\f\r]", " ")) == ""
+    names = F.when(F.col("text").contains("local-archive://"), F.array_distinct(F.regexp_extract_all("text", F.lit(ARCHIVE), 1))).otherwise(F.array().cast("array<string>"))
     narrow = rows.select(
-        "session", "turn", "side", "block", F.when(F.col("text") != "", F.sha2("text", 256)).alias("digest"), blank.alias("blank"), F.octet_length("text").cast("long").alias("size"),
-        stable_digests(F.col("text")).alias("stable"), F.array_distinct(F.regexp_extract_all("text", F.lit(ARCHIVE), 1)).alias("ids"), F.left(F.trim("text"), F.lit(80)).alias("preview"),
+        "session", "turn", "side", "block", F.when(F.col("text") != "", _digest(F.col("text"))).alias("digest"), (~F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).alias("blank"), names.alias("ids"),
+        _payload(F.col("text")).alias("payload"), F.octet_length("text").cast("long").alias("size"), F.left(F.trim("text"), F.lit(80)).alias("preview"),
     )
-    narrow = cut(narrow)
-    at = ["session", "turn"]
     found = cut(_aligned(narrow, dict(rows.dtypes)["session"]))
-    old = narrow.filter("side = 'before'").select(*at, F.col("block").alias("b"), F.col("size").alias("old_size"), F.col("stable"), F.col("preview").alias("old_preview"))
-    new = narrow.filter("side = 'after'").select(*at, F.col("block").alias("a"), F.col("size").alias("new_size"), "ids", F.col("blank").alias("new_blank"), F.col("preview").alias("new_preview"))
 
     # The first turn in which a form of a block was passed on in full.
-    full = found.filter("kind = 'equal'").select(*at, "b").join(old, [*at, "b"])
-    seen = full.select("session", "turn", F.explode("stable").alias("form"))
+    stable = F.array_compact(F.array("digest", "payload"))
+    seen = found.filter("kind = 'equal'").select("session", "turn", F.explode(stable).alias("form"))
     first = cut(seen.groupBy(F.struct("session", "form").alias("key")).agg(F.min("turn").alias("since")))
-    changed = found.filter("kind != 'equal'").join(old, [*at, "b"], "left").join(new, [*at, "a"], "left")
-    new_size, old_size = F.coalesce("new_size", F.lit(0)), F.coalesce("old_size", F.lit(0))
-    shorter = F.coalesce("new_blank", F.lit(True)) | (new_size < old_size)
-    ids = F.when(F.size("ids") > 0, F.col("ids")).when((old_size > 0) & shorter, F.col("context"))
-    changed = changed.select(*at, "b", "a", "kind", F.coalesce("stable", F.array().cast("array<string>")).alias("stable"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"), (old_size - new_size).alias("bytes"), F.coalesce("old_preview", "new_preview").alias("preview"))
+    changed = found.filter("kind != 'equal'").select("session", "turn", "b", "a", "kind", stable.alias("stable"), "ids", "bytes", "preview")
     changed = cut(changed.withColumn("eid", F.struct("session", "turn", "b", "a")))
     forms = cut(changed.filter("kind != 'extra'").select("eid", "turn", "session", F.explode("stable").alias("form")).select("eid", "turn", F.struct("session", "form").alias("key")))
     hot = hot_keys(forms.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key")
@@ -147,12 +177,12 @@ def audit(blocks: DataFrame, archive: DataFrame | None = None) -> DataFrame:
 
 def _references(named: DataFrame, rows: DataFrame, archive: DataFrame) -> DataFrame:
     """eid and reference of the changes (eid, stable, ids) that name entries of the archive."""
-    entries = cut(archive.select(F.col("id").alias("entry"), F.sha2("body", 256).alias("digest"), F.array_distinct(F.regexp_extract_all("body", F.lit(ARCHIVE), 1)).alias("nested")))
+    entries = cut(archive.select(F.col("id").alias("entry"), "body", _digest(F.col("body")).alias("digest"), F.array_distinct(F.regexp_extract_all("body", F.lit(ARCHIVE), 1)).alias("nested")))
     asked = cut(named.select("eid", "stable", F.explode("ids").alias("entry")))
 
     def look(frontier: DataFrame) -> DataFrame:
         counts = cut(frontier.groupBy("entry").agg(F.count(F.lit(1)).alias("rows")))
-        return attach(frontier, entries, "entry", hot_keys(counts, "entry"))
+        return attach(frontier, entries.drop("body"), "entry", hot_keys(counts, "entry"))
 
     frontier, good = asked, None
     for depth in range(DEPTH + 1):
@@ -171,11 +201,11 @@ def _references(named: DataFrame, rows: DataFrame, archive: DataFrame) -> DataFr
     after = rows.filter("side = 'after'").select(F.col("session").alias("s"), F.col("turn").alias("t"), F.col("block").alias("k"), "text")
     texts = whole.join(after, (F.col("eid.session") == F.col("s")) & (F.col("eid.turn") == F.col("t")) & (F.col("eid.a") == F.col("k"))).filter(F.col("text").rlike(CHUNK)).select("eid", "stable", "text")
     chunks = texts.select("eid", "stable", "text", F.posexplode(F.regexp_extract_all("text", F.lit(CHUNK), 1)).alias("place", "entry"))
-    bodies = chunks.join(archive.select(F.col("id").alias("entry"), "body"), "entry", "left")
+    bodies = chunks.join(entries.select("entry", "body"), "entry", "left")
     put = bodies.groupBy("eid", "stable", "text").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "body"))), lambda x: x["body"]).alias("bodies"), F.count("body").alias("known"))
     marks = F.regexp_extract_all("text", F.lit(f"({CHUNK})"), 1)
     filled = F.array_join(F.flatten(F.zip_with(F.split("text", CHUNK, -1), F.zip_with("bodies", marks, lambda b, m: F.coalesce(b, m)), lambda p, x: F.array(p, F.coalesce(x, F.lit(""))))), "")
-    expanded = put.filter(F.col("known") > 0).filter(F.array_contains("stable", F.sha2(filled, 256))).select("eid")
+    expanded = put.filter(F.col("known") > 0).filter(F.array_contains("stable", _digest(filled))).select("eid")
     fine = good.unionByName(expanded).distinct().withColumn("fine", F.lit(True))
     return state.join(fine, "eid", "left").select("eid", F.when(F.col("fine"), REFERENCED).when(F.col("there") == 0, MISSING).otherwise(MISMATCH).alias("reference"))
 

@@ -187,6 +187,20 @@ def test_audit_equals_a_loop(spark, with_archive):
     assert report["t"][1:3] == (sum(w[0] == "t" for w in want), sum(w[0] == "t" and w[3] in audit.LOSSES for w in want))
 
 
+def test_audit_writes_no_row_for_each_block_of_both_sides(spark, monkeypatch):
+    rows, cut = [], audit.cut
+
+    def noted(df):
+        rows.append(df.count())
+        return cut(df)
+
+    monkeypatch.setattr(audit, "cut", noted)
+    blocks = [("s", turn, side, i, "shorter" if (side, i) == ("after", 3) else f"text {turn} {i} at length") for turn in range(20) for side in ("before", "after") for i in range(8)]
+    found = audit.audit(spark.createDataFrame(blocks, "session string, turn int, side string, block int, text string")).collect()
+    assert sorted((r.turn, r.block, r.severity, r.preview) for r in found) == [(turn, 3, audit.LOST, f"text {turn} 3 at length") for turn in range(20)]
+    assert max(rows) == len(blocks) // 2
+
+
 def test_audit_of_documents_names_severities(spark):
     blocks, entries = alignment_queries.audited_lines(spark, SF)
     assert {r.severity for r in audit.audit(blocks, entries).select("severity").distinct().collect()} >= {audit.REFERENCED, audit.MISSING, audit.LOST, audit.CHANGED, audit.EXTRA}
