@@ -113,7 +113,8 @@ def audited_lines(spark, sf):
     kept = lines.filter("k BETWEEN 3 AND 5").select(name.alias("id"), "text", "k", F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(3)).alias("way")).distinct()
     # Of three entries one holds the text, one names an entry that holds it, one isn't there; chunks hold the rest of their line.
     body = F.when(F.col("k") == 5, F.substring("text", F.lit(10), F.length("text"))).when(F.col("way") == 0, F.col("text")).otherwise(F.concat(F.lit("moved to local-archive://"), "id", F.lit("x")))
-    entries = kept.filter("k = 5 OR way < 2").select("id", body.alias("body")).unionByName(kept.filter("k < 5 AND way = 1").select(F.concat("id", F.lit("x")), "text").toDF("id", "body"))
+    held = F.array(F.when((F.col("k") == 5) | (F.col("way") < 2), F.struct("id", body.alias("body"))), F.when((F.col("k") < 5) & (F.col("way") == 1), F.struct(F.concat("id", F.lit("x")).alias("id"), F.col("text").alias("body"))))
+    entries = kept.select(F.inline(F.array_compact(held)))
     return blocks, entries
 
 

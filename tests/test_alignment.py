@@ -201,6 +201,32 @@ def test_audit_writes_no_row_for_each_block_of_both_sides(spark, monkeypatch):
     assert max(rows) == len(blocks) // 2
 
 
+def test_audit_writes_only_forms_that_a_change_asks_for(spark, monkeypatch):
+    rows, cut = [], audit.cut
+
+    def noted(df):
+        rows.append(df.count())
+        return cut(df)
+
+    monkeypatch.setattr(audit, "cut", noted)
+    # Ten equal blocks of one text are a row, as the six others of a turn are each.
+    texts = lambda turn, last: [*["}"] * 10, *[f"text {turn} {i} at length" for i in range(6)], last]
+    blocks = [("s", turn, side, i, text) for turn in range(20) for side in ("before", "after") for i, text in enumerate(texts(turn, "shorter" if side == "after" else f"last of {turn}"))]
+    blocks += [("s", 20, "before", 0, "text 3 2 at length"), ("s", 20, "after", 0, "see local-archive://e")]
+    entries = spark.createDataFrame([("e", "other")], "id string, body string")
+    found = audit.audit(spark.createDataFrame(blocks, "session string, turn int, side string, block int, text string"), entries).collect()
+    assert sorted((r.turn, r.block, r.severity) for r in found) == [*((turn, 16, audit.LOST) for turn in range(20)), (20, 0, audit.RECOVERABLE)]
+    # The form that comes back is the only one that is kept of 141.
+    assert rows[0] == 20 * 8 + 1 and max(rows[1:]) == 1
+
+
+def test_audit_of_forms_that_most_changes_ask_for(spark):
+    turns = [(turn, side, i, text) for turn in range(150) for side in ("before", "after") for i, text in enumerate(["kept once" if side == "before" or turn == 70 else "", f"own {turn}", "gone" if side == "before" else ""])]
+    blocks = spark.createDataFrame([("s", *row) for row in turns], "session string, turn int, side string, block int, text string").repartition(4)
+    got = {(r.turn, r.block): r.severity for r in audit.audit(blocks).collect()}
+    assert got == {(turn, 2): audit.LOST for turn in range(150)} | {(turn, 0): audit.RECOVERABLE if turn > 70 else audit.LOST for turn in range(150) if turn != 70}
+
+
 def test_audit_of_documents_names_severities(spark):
     blocks, entries = alignment_queries.audited_lines(spark, SF)
     assert {r.severity for r in audit.audit(blocks, entries).select("severity").distinct().collect()} >= {audit.REFERENCED, audit.MISSING, audit.LOST, audit.CHANGED, audit.EXTRA}
