@@ -177,29 +177,16 @@ def log_shape(text: Column) -> Column:
 
 
 def _analyzed(text: Column, bound: int | None = ANALYZED) -> tuple[Column, Column]:
-    """The trimmed part that is classified, and whether something was cut off; without a bound nothing is."""
+    """The part that is classified, and whether something was cut off; without a bound nothing is."""
     if bound is None:
-        return _trim(F.coalesce(text, F.lit(""))), F.lit(False)
+        return F.coalesce(text, F.lit("")), F.lit(False)
     long = F.octet_length(text) > bound
     part = F.when(long, F.substring(text.cast("binary"), 1, bound).cast("string")).otherwise(text)
-    return _trim(F.coalesce(part, F.lit(""))), F.coalesce(long, F.lit(False))
-
-
-def _diff(t: Column) -> Column:
-    has = lambda s: F.contains(t, F.lit(s))
-    return has("\n@@ ") | F.startswith(t, F.lit("@@ ")) | has("diff --git ") | (has("\n+++ ") & has("\n--- "))
-
-
-def _stacktrace(t: Column) -> Column:
-    has = lambda s: F.contains(t, F.lit(s))
-    low = F.lower(t)
-    return has("Traceback (most recent call last):") | F.contains(low, F.lit("stack trace")) | (F.contains(low, F.lit("goroutine ")) & has(".go:")) | has("\n    at ") | has("\n\tat ")
+    return F.coalesce(part, F.lit("")), F.coalesce(long, F.lit(False))
 
 
 def _path_start(line: Column) -> Column:
     """What stands before a line's first separator (a colon or dash before a digit, else the first colon) looks like a path."""
-    drive = line.rlike(r"^[A-Za-z]:[\\/]")
-    rest = F.when(drive, F.substring(line, 3, 1 << 30)).otherwise(line)
-    numbered = F.regexp_extract(rest, r"^([\s\S]*?)[:-][0-9]", 1)
-    head = F.when(rest.rlike(r"[:-][0-9]"), numbered).otherwise(F.substring_index(rest, ":", 1))
-    return F.when(drive, F.lit(True)).otherwise(head.rlike(r"[/\\.]"))
+    numbered = F.regexp_extract(line, r"(?s)^(.*?)[:-][0-9]", 1)
+    head = F.when(line.rlike(r"[:-][0-9]"), numbered).otherwise(F.substring_index(line, ":", 1))
+    return F.when(line.rlike(r"^[A-Za-z]:[\\/]"), F.lit(True)).otherwise(head.rlike(r"[/\\.]"))

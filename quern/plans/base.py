@@ -76,9 +76,14 @@ def _java(expression: str) -> str:
     return expression.replace("\\", "\\\\")
 
 
-def view(spark: SparkSession, sf: str, columns: dict[str, str]) -> DataFrame:
+def columns(expressions: dict[str, str]) -> list[str]:
+    """The columns of one of the above as Spark reads them."""
+    return [f"{_java(e)} AS {name}" for name, e in expressions.items()]
+
+
+def view(spark: SparkSession, sf: str, expressions: dict[str, str]) -> DataFrame:
     """events with the columns of one of the above."""
-    return table(spark, sf, "events").selectExpr(*[f"{_java(e)} AS {name}" for name, e in columns.items()])
+    return table(spark, sf, "events").selectExpr(*columns(expressions))
 
 
 def cte(name: str, columns: dict[str, str]) -> str:
